@@ -28,6 +28,11 @@ def _after(day: Column, days: Column | int) -> Column:
     return day + F.make_dt_interval(days=F.lit(days) if isinstance(days, int) else days)
 
 
+def _cents(hundredths: Column) -> Column:
+    """Amount from a number of cents, rounded by plain arithmetic that every engine shares."""
+    return F.floor(hundredths + 0.5).cast("double") / 100
+
+
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as invoices, and a credit memo for a third of them."""
     orders = _orders(spark, sf_dir)
@@ -54,7 +59,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("PARTY_ID"),
         _after(day, 20).alias("TRX_DATE"),
         null_ts.alias("DUE_DATE"),
-        (-F.round(amount * 0.1, 2)).alias("TRX_AMOUNT"),
+        (-_cents(amount * 10)).alias("TRX_AMOUNT"),
         F.lit("CM").alias("TRANS_TYPE"),
         F.lit("IDR").alias("CURRENCY_CODE"),
         (key % 5).alias("ORG_ID"),
@@ -77,7 +82,7 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(day)
         .alias("APPLY_DATE"),
         _after(day, 2).alias("RECEIPT_DATE"),
-        F.round(F.col("o_totalprice") * F.col("l_quantity") / 100, 2).alias("AMOUNT_APPLIED"),
+        _cents(F.col("o_totalprice") * F.col("l_quantity")).alias("AMOUNT_APPLIED"),
         F.when(F.col("l_returnflag") == "A", "APP").when(F.col("l_returnflag") == "R", "REV").alias("RECEIPT_STATUS"),
     )
     memo_day = _after(F.col("o_orderdate"), 20)

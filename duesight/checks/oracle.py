@@ -53,7 +53,7 @@ SELECT k AS CUSTOMER_TRX_ID, 'INV-' || k AS TRX_NUMBER, CASE WHEN k % 53 <> 0 TH
        'INV' AS TRANS_TYPE, 'IDR' AS CURRENCY_CODE, k % 5 AS ORG_ID, CAST(NULL AS BIGINT) AS PREVIOUS_CUSTOMER_TRX_ID
 FROM ar_orders
 UNION ALL
-SELECT k + 1000000000, 'CM-' || k, c, d + to_days(20), NULL, -round(amt * 0.1, 2), 'CM', 'IDR', k % 5, k
+SELECT k + 1000000000, 'CM-' || k, c, d + to_days(20), NULL, -floor(amt * 10 + 0.5) / 100, 'CM', 'IDR', k % 5, k
 FROM ar_orders WHERE k % 6 IN (0, 1)""")
 step("ar_line", """
 SELECT l.*, o.amt, o.d + to_days(CAST((l_partkey * 11 + l_suppkey * 7 + l_linenumber * 17) % 240 AS INTEGER)) AS pd
@@ -61,7 +61,7 @@ FROM lineitem l JOIN ar_orders o ON l.l_orderkey = o.k""")
 step("ar_receipt", """
 SELECT l_orderkey AS APPLIED_CUSTOMER_TRX_ID,
        CASE WHEN l_suppkey % 19 = 0 THEN NULL WHEN l_partkey % 211 = 0 THEN pd + to_years(200) ELSE pd END AS APPLY_DATE,
-       pd + to_days(2) AS RECEIPT_DATE, round(amt * l_quantity / 100, 2) AS AMOUNT_APPLIED,
+       pd + to_days(2) AS RECEIPT_DATE, floor(amt * l_quantity + 0.5) / 100 AS AMOUNT_APPLIED,
        CASE l_returnflag WHEN 'A' THEN 'APP' WHEN 'R' THEN 'REV' END AS RECEIPT_STATUS
 FROM ar_line
 UNION ALL
@@ -258,3 +258,125 @@ SELECT b.*, coalesce(a.n, 0) AS n_pay_mon, coalesce(a.paid, 0.0) AS amt_paid_mon
        date_diff('day', TRX_DATE, DUE_DATE) AS days_to_due, month(TRX_DATE) AS trx_month, isodow(TRX_DATE) - 1 AS trx_weekday,
        coalesce(TRX_DATE <= {{SNAP}} - 180, false) AS mon_observable
 FROM {_s} b LEFT JOIN agg_{_p} a ON a.id = b.CUSTOMER_TRX_ID""".replace("{{SNAP}}", "{SNAP}"))
+
+# ---- scores and published runs -------------------------------------------
+def linear_sql(card) -> str:
+    bias, weights = card
+    terms = [str(bias)] + [
+        f"(coalesce(CAST({n} AS DOUBLE), {c}) - {c}) / {s} * {w}" for n, (c, s, w) in weights.items()
+    ]
+    return "(" + " + ".join(terms) + ")"
+
+
+def sigmoid_sql(x: str) -> str:
+    return f"(1 / (1 + exp(-({x}))))"
+
+
+def level_sql(p: str) -> str:
+    return f"CASE WHEN {p} >= 0.6 THEN 'HIGH' WHEN {p} >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+def action_sql(level: str) -> str:
+    return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACTIONS.items()) + " ELSE 'Unknown' END"
+
+
+def scored_step(name: str, source: str, p: str) -> None:
+    step(name, f"""
+SELECT *, {level_sql('prob_bad_debt')} AS risk_level, {action_sql(level_sql('prob_bad_debt'))} AS recommended_action,
+       abs(coalesce(TRX_AMOUNT, 0.0)) * prob_bad_debt AS expected_financial_loss
+FROM (SELECT *, {p} AS prob_bad_debt FROM {source})""")
+
+
+scored_step("scored", "snapshot_feat", sigmoid_sql(linear_sql(SCORECARD)))
+step("rescored_p", "SELECT * EXCLUDE (prob_bad_debt, risk_level, recommended_action, expected_financial_loss), prob_bad_debt / 2 AS half FROM scored WHERE CUSTOMER_TRX_ID % 2 = 0")
+scored_step("rescored", "rescored_p", "half")
+
+
+def range_sql(span: str, start: str | None, end: str | None, day_col: str = "TRX_DATE") -> str:
+    if span == "all":
+        return f"{day_col} <= {SNAP}"
+    if span == "custom":
+        return f"{day_col} BETWEEN DATE '{start}' AND DATE '{end}'"
+    return f"{day_col} BETWEEN {SNAP} - {COVER_DAYS[span]} AND {SNAP}"
+
+
+_OUT = (
+    "ACCOUNT_NUMBER, CUSTOMER_NAME, SBU, CUSTOMER_TRX_ID, TRX_DATE, DUE_DATE, days_to_due, TRX_AMOUNT_GROSS, "
+    "credit_memo_reduction, TRX_AMOUNT, expected_financial_loss, prob_bad_debt, risk_level, recommended_action"
+)
+
+
+def _run_rows(source: str, run, at: str | None = None) -> str:
+    job, model, span, start, end, published = run
+    dates = [f"CAST({'NULL' if v is None else repr(v)} AS DATE)" for v in (start, end)]
+    return (
+        f"SELECT {_OUT}, '{job}' AS job_id, TIMESTAMP '{at or published}' AS published_at, {dates[0]} AS start_date, "
+        f"{dates[1]} AS end_date, '{model}' AS model_key, {SNAP} AS snapshot_date, '{span}' AS time_range "
+        f"FROM {source} WHERE {range_sql(span, start, end)}"
+    )
+
+
+def _published() -> None:
+    from duesight.checks.store import AGAIN, RUNS
+
+    again = next(x for x in RUNS if x[0] == AGAIN[0])
+    parts = [_run_rows("scored", x) for x in RUNS] + [_run_rows("rescored", again, AGAIN[1])]
+    step("pub", "\nUNION ALL ".join(parts))
+    risk = []
+    for job, model, span, start, end, published in RUNS:
+        name = job.replace("-", "_")
+        step(f"risk_{name}_rows", f"SELECT * FROM scored WHERE {range_sql(span, start, end)}")
+        step(f"risk_{name}", risk_sql(f"risk_{name}_rows"))
+        dates = [f"CAST({'NULL' if v is None else repr(v)} AS DATE)" for v in (start, end)]
+        risk.append(
+            f"SELECT *, '{job}' AS job_id, TIMESTAMP '{published}' AS published_at, {dates[0]} AS start_date, {dates[1]} AS end_date, "
+            f"'{model}' AS model_key, {SNAP} AS snapshot_date, '{span}' AS time_range FROM risk_{name}"
+        )
+    step("pub_risk", "\nUNION ALL ".join(risk))
+
+
+def risk_sql(source: str) -> str:
+    return f"""
+SELECT *, {level_sql('cust_score_max')} AS risk_cust FROM (
+SELECT PARTY_ID, ACCOUNT_NUMBER, CUSTOMER_NAME, max(prob_bad_debt) AS cust_score_max, avg(prob_bad_debt) AS cust_score_mean,
+       CASE WHEN sum(abs(coalesce(TRX_AMOUNT, 0.0))) > 0
+            THEN sum(coalesce(prob_bad_debt, 0.0) * abs(coalesce(TRX_AMOUNT, 0.0))) / sum(abs(coalesce(TRX_AMOUNT, 0.0)))
+            ELSE avg(coalesce(prob_bad_debt, 0.0)) END AS cust_score_wavg_amount,
+       count(DISTINCT CUSTOMER_TRX_ID) AS invoice_cnt, coalesce(sum(TRX_AMOUNT), 0.0) AS total_amount,
+       coalesce(sum(amt_paid_pre_due), 0.0) AS total_amt_paid_pre_due,
+       CASE WHEN sum(abs(coalesce(TRX_AMOUNT, 0.0))) > 0
+            THEN coalesce(sum(amt_paid_pre_due), 0.0) / sum(abs(coalesce(TRX_AMOUNT, 0.0))) * 100 END AS paid_ratio_pre_due_total,
+       avg(paid_ratio_pre_due) AS paid_ratio_pre_due_mean,
+       avg(CASE WHEN count_gaps_gt_90_pre_due > 0 THEN 1.0 ELSE 0.0 END) * 100 AS pct_invoices_gap_gt_90_pre_due,
+       arg_min(party_prior_invoice_cnt, CUSTOMER_TRX_ID) AS party_prior_invoice_cnt,
+       arg_min(party_prior_gap90_cnt, CUSTOMER_TRX_ID) AS party_prior_gap90_cnt,
+       CAST(NULL AS DOUBLE) AS party_prior_gap90_rate
+FROM {source} GROUP BY 1, 2, 3)"""
+
+
+_published()
+step("cust_risk", risk_sql("scored"))
+step("stacked_rows", "SELECT * FROM pub WHERE model_key = 'stacked'")
+step("publications", """
+SELECT job_id, time_range, snapshot_date, published_at, start_date, end_date, count(*) AS total_invoices,
+       CASE time_range """ + " ".join(f"WHEN '{k}' THEN {v}" for k, v in COVER_DAYS.items()) + """ ELSE 0 END AS days
+FROM stacked_rows GROUP BY 1, 2, 3, 4, 5, 6""")
+
+
+def latest_sql(rows: str) -> str:
+    return (
+        f"SELECT * FROM ({rows}) QUALIFY row_number() OVER "
+        "(PARTITION BY CUSTOMER_TRX_ID ORDER BY published_at DESC, job_id DESC) = 1"
+    )
+
+
+def answering_sql(span: str, start: str | None = None, end: str | None = None) -> str:
+    """Newest rows of the newest covering publication, cut to the range of the request."""
+    if span == "custom":
+        cover = f"time_range = 'custom' AND start_date = DATE '{start}' AND end_date = DATE '{end}'"
+        cut = f"TRX_DATE BETWEEN DATE '{start}' AND DATE '{end}'"
+    else:
+        cover = f"days >= {COVER_DAYS[span]}"
+        cut = "true" if span == "all" else f"TRX_DATE >= {SNAP} - {COVER_DAYS[span]}"
+    job = f"(SELECT job_id FROM publications WHERE {cover} ORDER BY published_at DESC, job_id LIMIT 1)"
+    return latest_sql(f"SELECT * FROM stacked_rows WHERE job_id = {job} AND {cut}")

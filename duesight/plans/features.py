@@ -45,14 +45,16 @@ def party_skew(raw: RawTables) -> Skew:
     return measure_skew(raw.invoice, "PARTY_ID")
 
 
-def snapshot_features(raw: RawTables, snapshot, skew: Skew | None = None) -> DataFrame:
+def snapshot_features(
+    raw: RawTables, snapshot, skew: Skew | None = None, keep_facts: bool = False
+) -> DataFrame:
     """The production feature table: one row per invoice."""
     skew = party_skew(raw) if skew is None else skew
     core = invoice_core(raw.invoice, raw.receipt, snapshot)
     facts = _facts(raw, core, snapshot, "AS_OF_DATE", "pre_due", skew)
     hist = party_history(facts, snapshot, skew=skew)
-    derived = pre_due_columns()
-    return hist.select("*", *derived).drop(*PAYMENT_FACTS)
+    rows = hist.select("*", *pre_due_columns())
+    return rows if keep_facts else rows.drop(*PAYMENT_FACTS)
 
 
 def monitoring_features(

@@ -54,7 +54,7 @@ SCORES = _struct(
     "credit_memo_reduction double, TRX_AMOUNT double, expected_financial_loss double, "
     "prob_bad_debt double, risk_level string, recommended_action string, "
     "job_id string, published_at timestamp, start_date date, end_date date, "
-    "model_key string, snapshot_date date, time_range string"
+    "model_key string, snapshot_date date, time_range string, date_window string"
 )
 
 CUSTOMER_RISK = _struct(
@@ -64,10 +64,14 @@ CUSTOMER_RISK = _struct(
     "paid_ratio_pre_due_total double, paid_ratio_pre_due_mean double, "
     "pct_invoices_gap_gt_90_pre_due double, party_prior_invoice_cnt bigint, "
     "party_prior_gap90_cnt bigint, party_prior_gap90_rate double, risk_cust string, "
-    "job_id string, start_date date, end_date date, "
-    "model_key string, snapshot_date date, time_range string"
+    "job_id string, published_at timestamp, start_date date, end_date date, "
+    "model_key string, snapshot_date date, time_range string, date_window string"
 )
 
+# Both published tables are partitioned by what identifies a result; the window
+# is "start_end" for a custom range and "-" otherwise.
+PARTITION = ["model_key", "snapshot_date", "time_range", "date_window"]
+
 RUNS = _struct(
     "job_id string, status string, model_key string, snapshot_date date, time_range string, "
     "start_date date, end_date date, total_invoices bigint, total_customers bigint, "
