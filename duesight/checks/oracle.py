@@ -171,7 +171,7 @@ step("known_pay", "SELECT * FROM pay_gaps WHERE PAYMENT_DATE <= {SNAP}")
 step("bd90", """
 SELECT i.CUSTOMER_TRX_ID, i.PARTY_ID, i.DUE_DATE + to_days(90) AS event_date,
        coalesce(sum(p.AMOUNT_APPLIED), 0.0) AS paid_by, any_value(i.TRX_AMOUNT) AS amount,
-       CASE WHEN any_value(i.TRX_AMOUNT) - coalesce(sum(p.AMOUNT_APPLIED), 0.0) > 0.01 THEN 1 ELSE 0 END AS flag
+       CASE WHEN round(any_value(i.TRX_AMOUNT) - coalesce(sum(p.AMOUNT_APPLIED), 0.0), 6) > 0.01 THEN 1 ELSE 0 END AS flag
 FROM base i LEFT JOIN known_pay p ON p.INVOICE_ID = i.CUSTOMER_TRX_ID AND p.PAYMENT_DATE <= i.DUE_DATE + to_days(90)
 WHERE i.PARTY_ID IS NOT NULL AND i.TRX_DATE IS NOT NULL AND i.DUE_DATE + to_days(90) <= {SNAP}
 GROUP BY 1, 2, 3""")

@@ -644,14 +644,14 @@ def _calibrate_isotonic(ctx: Context) -> DataFrame:
 def _own_model(features: pd.DataFrame) -> pd.Series:
     """Stands for a user's model: any function of the feature columns."""
     ratio = features["historical_late_payment_ratio"].fillna(0) / 100
-    return (0.217 + 0.483 * ratio + 0.291 * features["hazard_approx"].fillna(0)).clip(0, 1)
+    return (0.21713 + 0.48377 * ratio + 0.29091 * features["hazard_approx"].fillna(0)).clip(0, 1)
 
 
 add("score_gbt", f"{ID} prob_bad_debt:f", _score_gbt)
 add("score_stacked", f"{ID} prob_bad_debt:f", _score_stacked)
 add("calibrate_isotonic", f"{ID} prob_bad_debt:f calibrated:f", _calibrate_isotonic)
 add("score_with_own_model", f"{ID} prob_bad_debt:f", lambda c: sc.score_with(c.store.scored.drop("prob_bad_debt"), _own_model), """
-SELECT CUSTOMER_TRX_ID, least(greatest(0.217 + 0.483 * (historical_late_payment_ratio / 100) + 0.291 * hazard_approx, 0), 1) AS prob_bad_debt
+SELECT CUSTOMER_TRX_ID, least(greatest(0.21713 + 0.48377 * (historical_late_payment_ratio / 100) + 0.29091 * hazard_approx, 0), 1) AS prob_bad_debt
 FROM snapshot_feat""")
 KEPT_SQL = f"SELECT * FROM {{0}} WHERE {NAME_KEY.format('CUSTOMER_NAME')} NOT IN (SELECT name_key FROM excluded_keys_sql)"
 add("exclude_affiliates", f"{ID} CUSTOMER_NAME:s", lambda c: ex.exclude_affiliates(c.store.scored, c.excluded), KEPT_SQL.format("scored"))

@@ -9,6 +9,7 @@ import datetime as dt
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,7 +85,8 @@ def repair_dates(df: DataFrame, names: Iterable[str], snapshot: str | dt.date) -
     3. a day that does not exist in the new year is NULL;
     4. dates within 45 days after the snapshot move back one month.
 
-    Done in steps, so that each date is worked out once and not per use.
+    Each step is a projection of its own, so that a date is worked out once and
+    not per use. Years are told apart by comparing dates, ordinary ones first.
     """
     snap = dt.date.fromisoformat(str(snapshot))
     names = list(names)
@@ -93,22 +95,32 @@ def repair_dates(df: DataFrame, names: Iterable[str], snapshot: str | dt.date) -
     def step(frame: DataFrame, change) -> DataFrame:
         return frame.select(*rest, *[change(F.col(c)).alias(c) for c in names])
 
-    def shifted(day: Column) -> Column:
-        year = F.year(day)
-        far = F.when((year > snap.year + 200) & (year <= snap.year + 220), -210).otherwise(-200)
-        near = F.when((year > snap.year) & (year <= snap.year + 20), -10).otherwise(0)
-        years = F.when(year.between(2200, 2299), far).otherwise(near)
-        return F.struct(day.alias("was"), F.add_months(day, years * 12).alias("now"))
+    def years_back(year: int) -> int:
+        once = 200 if 2200 <= year < 2300 else 0
+        return once + (10 if snap.year < year - once <= snap.year + 20 else 0)
 
-    def existing(pair: Column) -> Column:
-        return F.when(F.dayofmonth(pair["now"]) == F.dayofmonth(pair["was"]), pair["now"])
+    # The shift is constant between these years.
+    borders = {2200, 2300, *[snap.year + 1 + n for n in (0, 20, 200, 220)], LAST_YEAR + 1}
+    edges = sorted(y for y in borders if y <= LAST_YEAR + 1)
+
+    def moved(day: Column) -> Column:
+        out = F.when(day < _new_year(edges[0]), day)
+        for low, high in zip(edges, edges[1:]):
+            back = years_back(low)
+            now = F.add_months(day, -12 * back)
+            value = F.when(F.dayofmonth(now) == F.dayofmonth(day), now) if back else day
+            out = out.when(day < _new_year(high), value)
+        return out
 
     def pulled_back(day: Column) -> Column:
         ahead = (day > F.lit(snap)) & (day <= F.lit(snap + dt.timedelta(days=45)))
         return F.when(ahead, F.add_months(day, -1)).otherwise(day).cast("timestamp")
 
-    days = step(df, lambda c: F.when(F.year(c) <= LAST_YEAR, F.to_date(c)))
-    return step(step(step(days, shifted), existing), pulled_back)
+    return step(step(step(df, F.to_date), moved), pulled_back)
+
+
+def _new_year(year: int) -> Column:
+    return F.lit(dt.date(year, 1, 1))
 
 
 def normalise_name(name: Column) -> Column:
@@ -161,11 +173,12 @@ def with_missing_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def first_by(order: Iterable[str], keep: Iterable[str]) -> Column:
-    """Aggregate: the `keep` columns of the first row by `order`, missing values last.
+def keep_first(df: DataFrame, keys: Iterable[str], order: Iterable[str]) -> DataFrame:
+    """The first row per key by `order`, missing values last.
 
-    min() of a struct combines on the map side, so copies of one key never
-    travel together to a single task.
+    Spark cuts each group to its first row before the shuffle as well as after
+    it, so copies of one key never travel together to a single task.
     """
-    ranked = [c for name in order for c in (F.isnull(name).alias(f"{name}_n"), F.col(name).alias(f"{name}_v"))]
-    return F.min(F.struct(*ranked, F.struct(*keep).alias("row")))["row"]
+    first = W.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in order])
+    ranked = df.withColumn("_rank", F.row_number().over(first))
+    return ranked.where(F.col("_rank") == 1).drop("_rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duesight.functions.cleaning import first_by, to_id, with_missing_columns
+from duesight.functions.cleaning import keep_first, to_id, with_missing_columns
 from duesight.operators.skew import NO_SKEW, Skew, lookup_join
 from duesight.schemas import CUSTOMER
 
@@ -21,22 +21,15 @@ def clean_customers(customer: DataFrame) -> DataFrame:
 def customer_per_party(customer: DataFrame) -> DataFrame:
     """First row per party, ordered by every column."""
     keep = ["ACCOUNT_NUMBER", "CUSTOMER_NAME", "BU_NAME"]
-    return (
-        customer.where(F.col("PARTY_ID").isNotNull())
-        .groupBy("PARTY_ID")
-        .agg(first_by(["TRX_NUMBER", *keep], keep).alias("row"))
-        .select("PARTY_ID", "row.*")
-    )
+    rows = customer.where(F.col("PARTY_ID").isNotNull())
+    return keep_first(rows, ["PARTY_ID"], ["TRX_NUMBER", *keep]).select("PARTY_ID", *keep)
 
 
 def customer_per_number(customer: DataFrame) -> DataFrame:
     """First row per transaction number; a missing number never matches."""
-    return (
-        customer.where(F.col("TRX_NUMBER").isNotNull())
-        .groupBy("TRX_NUMBER")
-        .agg(first_by(["PARTY_ID", "ACCOUNT_NUMBER"], ["PARTY_ID", "ACCOUNT_NUMBER"]).alias("row"))
-        .select("TRX_NUMBER", "row.*")
-    )
+    keep = ["PARTY_ID", "ACCOUNT_NUMBER"]
+    rows = customer.where(F.col("TRX_NUMBER").isNotNull()).select("TRX_NUMBER", *keep)
+    return keep_first(rows, ["TRX_NUMBER"], keep)
 
 
 def attach_customers(invoice: DataFrame, customer: DataFrame | None, skew: Skew = NO_SKEW) -> DataFrame:

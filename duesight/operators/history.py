@@ -52,7 +52,8 @@ def event_columns(snapshot, eps: float = UNPAID_EPS) -> dict[str, Column]:
     """
     known = F.col("TRX_DATE").isNotNull() & F.col("PARTY_ID").isNotNull()
     bd90 = plus_days(F.col("DUE_DATE"), 90)
-    unpaid = F.col("TRX_AMOUNT") - F.col("paid_by_bd90") > eps
+    # Rounded, so that the order in which payments were summed does not decide.
+    unpaid = F.round(F.col("TRX_AMOUNT") - F.col("paid_by_bd90"), 6) > eps
     late = days_between(F.col("first_pay_known"), F.col("TRX_DATE")) > 90
     return {
         "bd90_event_date": F.when(known & (bd90 <= midnight(snapshot)) & unpaid, bd90),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duesight.functions.cleaning import (
     as_of,
-    first_by,
+    keep_first,
     midnight,
     to_id,
     to_number,
@@ -88,9 +88,8 @@ def net_credit_memos(invoice: DataFrame, memo_source: DataFrame, snapshot) -> Da
 
 def one_per_id(invoice: DataFrame) -> DataFrame:
     """One row per CUSTOMER_TRX_ID; copies collapse before the shuffle."""
-    rows = invoice.where(F.col("CUSTOMER_TRX_ID").isNotNull())
-    kept = rows.groupBy("CUSTOMER_TRX_ID").agg(first_by(_KEEP_ORDER, _CARRIED).alias("row"))
-    return kept.select("CUSTOMER_TRX_ID", "row.*")
+    rows = invoice.where(F.col("CUSTOMER_TRX_ID").isNotNull()).select("CUSTOMER_TRX_ID", *_CARRIED)
+    return keep_first(rows, ["CUSTOMER_TRX_ID"], _KEEP_ORDER)
 
 
 def invoice_core(invoice: DataFrame, receipt: DataFrame, snapshot) -> DataFrame:

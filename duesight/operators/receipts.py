@@ -48,15 +48,15 @@ def payment_days(payments: DataFrame) -> DataFrame:
     Summing per date first keeps the window small however many receipts an
     invoice has: its rows are bounded by the calendar.
     """
-    days = (
-        payments.where(F.col("PAYMENT_DATE").isNotNull())
-        .groupBy("INVOICE_ID", "PAYMENT_DATE")
-        .agg(F.count("*").alias("day_receipts"), F.sum("AMOUNT_APPLIED").alias("day_amount"))
+    days = payments.groupBy("INVOICE_ID", "PAYMENT_DATE").agg(
+        F.count("*").alias("day_receipts"), F.sum("AMOUNT_APPLIED").alias("day_amount")
     )
     order = W.partitionBy("INVOICE_ID").orderBy("PAYMENT_DATE")
-    return days.withColumn("previous_date", F.lag("PAYMENT_DATE").over(order)).withColumn(
-        "gap_days", days_between(F.col("PAYMENT_DATE"), F.col("previous_date"))
-    )
+    lagged = days.withColumn("previous_date", F.lag("PAYMENT_DATE").over(order))
+    # Undated rows sort first and are dropped only here: a filter before the
+    # aggregation would be moved into the date repair and work it out again.
+    dated = lagged.where(F.col("PAYMENT_DATE").isNotNull())
+    return dated.withColumn("gap_days", days_between(F.col("PAYMENT_DATE"), F.col("previous_date")))
 
 
 def gap_variance(receipts: Column, gap_sum: Column, gap_squares: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duesight.functions.cleaning import first_by, midnight
+from duesight.functions.cleaning import keep_first, midnight
 from duesight.operators.skew import NO_SKEW, Skew, lookup_join
 from duesight.plans.features import RawTables
 from duesight.sources.tables import DEFAULT_YEAR, invoice_range_predicate, invoices_in_range, receipts_in_range
@@ -45,11 +45,9 @@ def history_of_parties(invoice: DataFrame, parties: DataFrame, snapshot=None) ->
 def union_history(targets: DataFrame, history: DataFrame) -> DataFrame:
     """Both, one row per id; a target row wins over a history row."""
     names = targets.columns
+    order = ["_source", "TRX_DATE", *[c for c in names if c not in ("CUSTOMER_TRX_ID", "TRX_DATE")]]
     both = targets.withColumn("_source", F.lit(0)).unionByName(history.withColumn("_source", F.lit(1)))
-    others = [c for c in names if c != "CUSTOMER_TRX_ID"]
-    order = ["_source", "TRX_DATE", *[c for c in others if c != "TRX_DATE"]]
-    picked = both.groupBy("CUSTOMER_TRX_ID").agg(first_by(order, others).alias("row"))
-    return picked.select("CUSTOMER_TRX_ID", "row.*").select(*names)
+    return keep_first(both, ["CUSTOMER_TRX_ID"], order).select(*names)
 
 
 def targets_with_history(
@@ -65,12 +63,8 @@ def targets_with_history(
     marked = lookup_join(invoice, parties, "PARTY_ID", "CUSTOMER_TRX_ID", skew)
     rows = marked.select(*invoice.columns, F.when(wanted, 0).when(history, 1).alias("_source"))
     names = invoice.columns
-    others = [c for c in names if c != "CUSTOMER_TRX_ID"]
-    order = ["_source", "TRX_DATE", *[c for c in others if c != "TRX_DATE"]]
-    picked = rows.where(F.col("_source").isNotNull()).groupBy("CUSTOMER_TRX_ID").agg(
-        first_by(order, others).alias("row")
-    )
-    return picked.select("CUSTOMER_TRX_ID", "row.*").select(*names)
+    order = ["_source", "TRX_DATE", *[c for c in names if c not in ("CUSTOMER_TRX_ID", "TRX_DATE")]]
+    return keep_first(rows.where(F.col("_source").isNotNull()), ["CUSTOMER_TRX_ID"], order).select(*names)
 
 
 def receipts_of(receipt: DataFrame, invoices: DataFrame, snapshot=None) -> DataFrame:
