@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from duesight.functions.cleaning import holds, midnight, plus_days
 from duesight.operators.customers import attach_customers, base_invoices
 from duesight.operators.features import asof_columns, pre_due_columns, window_columns
 from duesight.operators.history import POOLED, invoice_history, party_history, pooled_history
-from duesight.operators.invoices import invoice_core
+from duesight.operators.invoices import clean_invoices, invoice_core
 from duesight.operators.receipts import PAYMENT_FACTS, base_payments, payment_facts
 from duesight.operators.skew import Skew, measure_skew
 from duesight.settings import OBSERVE_MIN_DAYS
@@ -42,7 +42,7 @@ def _facts(raw: RawTables, core: DataFrame, snapshot, as_of_col: str, prefix: st
 
 def party_skew(raw: RawTables) -> Skew:
     """Rows per party of the raw invoices, an upper bound of what is windowed."""
-    return measure_skew(raw.invoice, "PARTY_ID")
+    return measure_skew(clean_invoices(raw.invoice), "PARTY_ID")
 
 
 def snapshot_features(
@@ -95,9 +95,5 @@ def pooled_snapshot_features(raw: RawTables, snapshot, skew: Skew | None = None)
 
 def pooled_skew(raw: RawTables) -> Skew:
     """As party_skew, with the invoices without a party counted as one party."""
-    pooled = raw.invoice.select(F.coalesce("PARTY_ID", F.lit(-1)).alias("PARTY_ID"))
+    pooled = clean_invoices(raw.invoice).select(F.coalesce("PARTY_ID", F.lit(-1)).alias("PARTY_ID"))
     return measure_skew(pooled, "PARTY_ID")
-
-
-def with_targets(raw: RawTables, targets: DataFrame) -> RawTables:
-    return replace(raw, target_ids=targets)

@@ -13,6 +13,8 @@ SQL_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Skips recording the Python call site of every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
