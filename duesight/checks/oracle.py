@@ -34,6 +34,22 @@ def sql(body: str) -> str:
     return f"WITH {steps}\n{body}"
 
 
+def over(name: str, tables: dict[str, str]) -> str:
+    """A copy of a step, and of all it builds on, that reads other source tables."""
+    done = dict(tables)
+
+    def copy(step_name: str) -> str:
+        if step_name not in done:
+            body = CTES[step_name]
+            changed = re.sub(r"\w+", lambda m: copy(m[0]) if m[0] in CTES and m[0] != step_name else m[0], body)
+            done[step_name] = step_name if changed == body else f"{step_name}_run"
+            if changed != body:
+                CTES[done[step_name]] = changed
+        return done[step_name]
+
+    return copy(name)
+
+
 def r(expr: str, digits: int = 4) -> str:
     """Rounded double; adding zero turns minus zero into zero."""
     return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"

@@ -880,25 +880,43 @@ def _score_files(ctx: Context) -> DataFrame:
     return jb.score_files(ctx.spark, *paths, SNAP)["scores"]
 
 
-def _run_snapshot(ctx: Context) -> DataFrame:
+def _run(ctx: Context) -> tuple[DataFrame, str, str]:
     paths = ctx.path("run-scores"), ctx.path("run-risk")
-    jb.run_snapshot(
+    run = jb.run_snapshot(
         ctx.spark, ctx.raw, SNAP, "6m", *paths, job_id="job-r", published_at="2000-07-04 06:00:00", excluded=ctx.excluded
     )
-    return pb.read_table(ctx.spark, paths[0], SCORES)
+    return run, *paths
 
 
-def _run_snapshot_risk(ctx: Context) -> DataFrame:
-    paths = ctx.path("run-scores"), ctx.path("run-risk")
-    run = jb.run_snapshot(
-        ctx.spark, ctx.raw, SNAP, "all", *paths, job_id="job-r", published_at="2000-07-04 06:00:00", excluded=ctx.excluded
-    )
-    return run
+def _retained(ctx: Context) -> DataFrame:
+    """A second run a month later, and what is kept after it."""
+    run, scores, risk = _run(ctx)
+    later = run.withColumns({"job_id": F.lit("job-s"), "started_at": F.lit("2000-08-10 06:00:00").cast("timestamp")})
+    key = pb.RunKey("job-s", "stacked", SNAP, "3m", "2000-08-10 06:00:00")
+    pb.publish_scores(sc.score_table(ctx.store.scored), scores, key)
+    pb.publish_customer_risk(cr.customer_risk(ctx.store.scored, True), risk, key)
+    new = ctx.path("kept-scores"), ctx.path("kept-risk")
+    kept = jb.retain_results(ctx.spark, run.unionByName(later), scores, risk, "2000-08-10 07:00:00", *new)
+    counts = [kept, pb.read_table(ctx.spark, new[0], SCORES), pb.read_table(ctx.spark, new[1], CUSTOMER_RISK)]
+    return counts[0].select("job_id", F.lit("runs").alias("tab")).unionByName(
+        counts[1].select("job_id", F.lit("scores").alias("tab"))
+    ).unionByName(counts[2].select("job_id", F.lit("risk").alias("tab"))).groupBy("job_id", "tab").agg(F.count("*").alias("n"))
 
 
 add("score_files", SCORE_COLS, _score_files, "SELECT * FROM scored")
-add("run_snapshot", PUBLISHED_COLS, _run_snapshot)
-add("run_snapshot_catalogue", "job_id:s status:s model_key:s snapshot_date:d time_range:s total_invoices:i total_customers:i", _run_snapshot_risk)
+RUN_SCORED = o.over("scored", {"ar_invoice": "inputs_6m", "ar_receipt": "receipts_6m"})
+o.step("run_scored", KEPT_SQL.format(RUN_SCORED) + " AND CUSTOMER_TRX_ID IN (SELECT CUSTOMER_TRX_ID FROM targets_6m)")
+o.step("run_risk", o.risk_sql("run_scored"))
+_RUN_TAIL = "'job-r' AS job_id, TIMESTAMP '2000-07-04 06:00:00' AS published_at, CAST(NULL AS DATE) AS start_date, CAST(NULL AS DATE) AS end_date, 'stacked' AS model_key, {SNAP} AS snapshot_date, '6m' AS time_range"
+add("run_snapshot", PUBLISHED_COLS, lambda c: pb.read_table(c.spark, _run(c)[1], SCORES), f"SELECT *, {_RUN_TAIL} FROM run_scored")
+add("run_snapshot_risk", RISK_COLS + " job_id:s", lambda c: pb.read_table(c.spark, _run(c)[2], CUSTOMER_RISK),
+    f"SELECT *, {_RUN_TAIL} FROM run_risk")
+add("run_snapshot_catalogue", "job_id:s status:s model_key:s snapshot_date:d time_range:s total_invoices:i total_customers:i",
+    lambda c: _run(c)[0], f"""
+SELECT 'completed' AS status, (SELECT count(*) FROM run_scored) AS total_invoices, (SELECT count(*) FROM run_risk) AS total_customers, {_RUN_TAIL}""")
+add("retain_results", "job_id:s tab:s n:i", _retained, """
+SELECT 'job-s' AS job_id, 'runs' AS tab, 1 AS n UNION ALL SELECT 'job-s', 'scores', count(*) FROM scored
+UNION ALL SELECT 'job-s', 'risk', count(*) FROM cust_risk""")
 
 
 def _stream(ctx: Context) -> DataFrame:

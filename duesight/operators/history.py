@@ -73,16 +73,16 @@ def _event_stream(rows: DataFrame, keep: list[str], work: list[str]) -> DataFram
     dates = {INVOICE_ROW: "TRX_DATE", BD90: "bd90_event_date", LATE_FIRST: "late_firstpay90_event_date",
              GAP90: "gap90_event_date"}
     entries = F.array(*[F.struct(F.lit(k).alias("_kind"), F.col(c).alias("_at")) for k, c in dates.items()])
-    is_invoice = F.col("_kind") == INVOICE_ROW
     keys = ["PARTY_ID", "_lane", "CUSTOMER_TRX_ID"]
+    payload = [c for c in dict.fromkeys([*keep, *work]) if c not in keys]
     return (
         rows.select("*", F.inline(entries))
-        .where(is_invoice | F.col("_at").isNotNull())
-        .select(
+        .where(f"_kind = {INVOICE_ROW} OR _at IS NOT NULL")
+        .selectExpr(
             *keys,
             "_kind",
             "_at",
-            *[F.when(is_invoice, F.col(c)).alias(c) for c in dict.fromkeys([*keep, *work]) if c not in keys],
+            *[f"CASE WHEN _kind = {INVOICE_ROW} THEN `{c}` END AS `{c}`" for c in payload],
         )
     )
 

@@ -54,10 +54,11 @@ def sigmoid(x: Column) -> Column:
 
 def linear(intercept: float, weights: Weights) -> Column:
     """Scorecard value; a missing feature counts as its centre."""
-    total = F.lit(float(intercept))
-    for name, (centre, scale, weight) in weights.items():
-        total = total + (F.coalesce(F.col(name).cast("double"), F.lit(centre)) - centre) / scale * weight
-    return total
+    terms = [
+        f"(coalesce(cast({name} AS double), {centre}D) - {centre}D) / {scale}D * {weight}D"
+        for name, (centre, scale, weight) in weights.items()
+    ]
+    return F.expr(" + ".join([f"{float(intercept)}D", *terms]))
 
 
 def scorecard_probability(card=SCORECARD) -> Column:

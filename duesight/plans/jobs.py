@@ -16,9 +16,18 @@ from duesight.operators.skew import Skew
 from duesight.operators.targets import restrict_to_targets, run_inputs
 from duesight.plans.features import RawTables, party_skew, snapshot_features
 from duesight.plans.reports import preview, top_loss
-from duesight.schemas import RUNS
+from duesight.schemas import CUSTOMER_RISK, RUNS, SCORES
 from duesight.session import materialise
-from duesight.sinks.publish import RunKey, publish_customer_risk, publish_scores
+from duesight.settings import KEEP_PUBLISHED_DAYS, KEEP_RUN_DAYS
+from duesight.sinks.publish import (
+    RunKey,
+    publish_customer_risk,
+    publish_scores,
+    read_table,
+    retain_published,
+    retain_runs,
+    rewrite,
+)
 from duesight.sources.files import load_raw_tables
 
 _RISK_INPUTS = [
@@ -113,6 +122,30 @@ def _json(counts: dict[str, int]) -> str:
     return json.dumps(counts, sort_keys=True)
 
 
+def retain_results(
+    spark: SparkSession,
+    runs: DataFrame,
+    scores_path: str,
+    risk_path: str,
+    as_of: str,
+    new_scores_path: str,
+    new_risk_path: str,
+    keep_published_days: int = KEEP_PUBLISHED_DAYS,
+    keep_run_days: int = KEEP_RUN_DAYS,
+) -> DataFrame:
+    """Clean up after a run: old published rows, and old runs with all their rows.
+
+    The kept rows are written to new paths beside the old tables; returns the
+    runs that stay.
+    """
+    scores = retain_published(read_table(spark, scores_path, SCORES), as_of, keep_published_days)
+    risk = read_table(spark, risk_path, CUSTOMER_RISK)
+    runs, scores, risk = retain_runs(runs, scores, risk, as_of, keep_run_days)
+    rewrite(scores, new_scores_path)
+    rewrite(risk, new_risk_path)
+    return runs
+
+
 def run_summary(runs_rows: DataFrame) -> DataFrame:
     """Rows and customers per published job."""
     customer = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CUSTOMER_KEY if c in runs_rows.columns])

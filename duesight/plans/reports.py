@@ -140,13 +140,9 @@ def answering_rows(scores: DataFrame, model_key: str, snapshot, time_range: str,
     return latest_per_invoice(scored_in_range(rows_of(wanted, run), time_range, snapshot, start, end))
 
 
-def score_report(
-    scores: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None, page: int = 1,
-    size: int = PAGE_SIZE, sort_by: str = "prob_bad_debt", direction: str = "desc",
-    level: str | None = None, search: str | None = None,
+def _score_parts(
+    rows: DataFrame, page: int, size: int, sort_by: str, direction: str, level: str | None, search: str | None
 ) -> dict[str, DataFrame]:
-    """Page, totals, counts per level and the largest expected losses."""
-    rows = answering_rows(scores, model_key, snapshot, time_range, start, end)
     shown = with_name(with_level(rows, level, "risk_level"), search)
     order = sort_order(sort_by, direction, SCORE_SORT, ["CUSTOMER_TRX_ID"])
     return {
@@ -157,6 +153,20 @@ def score_report(
     }
 
 
+def score_report(
+    scores: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None, page: int = 1,
+    size: int = PAGE_SIZE, sort_by: str = "prob_bad_debt", direction: str = "desc",
+    level: str | None = None, search: str | None = None,
+) -> dict[str, DataFrame]:
+    """Page, totals, counts per level and the largest expected losses.
+
+    The parts are separate frames over the same rows; a caller who wants several
+    of them may write the answering rows out first.
+    """
+    rows = answering_rows(scores, model_key, snapshot, time_range, start, end)
+    return _score_parts(rows, page, size, sort_by, direction, level, search)
+
+
 def alerts_report(
     scores: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None,
     threshold: float = THRESHOLD_LOW, page: int = 1, size: int = PAGE_SIZE,
@@ -178,11 +188,9 @@ def early_warning_report(
     level: str | None = None, search: str | None = None,
 ) -> dict[str, DataFrame]:
     """The score report plus alert and high-risk counts over the searched rows."""
-    report = score_report(
-        scores, model_key, snapshot, time_range, start, end, page, size, sort_by, direction, level, search
-    )
-    rows = with_name(answering_rows(scores, model_key, snapshot, time_range, start, end), search)
-    return {**report, "counts": warning_counts(rows, THRESHOLD_LOW, THRESHOLD_HIGH)}
+    rows = answering_rows(scores, model_key, snapshot, time_range, start, end)
+    parts = _score_parts(rows, page, size, sort_by, direction, level, search)
+    return {**parts, "counts": warning_counts(with_name(rows, search), THRESHOLD_LOW, THRESHOLD_HIGH)}
 
 
 def chart_rows(scores: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None) -> DataFrame:
