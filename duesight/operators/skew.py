@@ -134,6 +134,7 @@ def _running_chunked(rows, keys, order, sums, counts, lows, medians, skew) -> Da
         *[F.coalesce(F.sum(v[n]), F.lit(0.0)).alias(n) for n in sums],
         *[F.count(v[n]).alias(n) for n in counts],
         *[F.min(v[n]).alias(n) for n in lows],
+        *[F.count(v[n]).alias(f"_m_{n}") for n in medians],
     )
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     carry = totals.select(
@@ -142,13 +143,14 @@ def _running_chunked(rows, keys, order, sums, counts, lows, medians, skew) -> Da
         F.count("_chunk").over(earlier).alias("_chunks_before"),
         *[F.sum(n).over(earlier).alias(f"_c_{n}") for n in [*sums, *counts]],
         *[F.min(n).over(earlier).alias(f"_c_{n}") for n in lows],
+        *[f"_m_{n}" for n in medians],
     ).where(F.col("_chunks_before") > 0)
     # Fewer rows than chunks; written so that its uses below do not recount.
     carry = materialise(carry, "carry")
 
     body = chunked.select("*", F.lit(1).alias("_seed"), F.lit(1).cast("bigint").alias("_freq"))
     for n in medians:
-        body = body.unionByName(_histogram_seed(chunked, carry, keys, n), allowMissingColumns=True)
+        body = _with_seed(body, materialise(_histogram_seed(chunked, carry, keys, n), "seed"), carry, keys, n)
 
     here = W.partitionBy("_chunk", *keys).orderBy("_seed", *[F.asc_nulls_last(c) for c in order])
     prior = here.rowsBetween(W.unboundedPreceding, -1)
@@ -193,3 +195,40 @@ def _histogram_seed(chunked: DataFrame, carry: DataFrame, keys: list[str], name:
         F.lit(0).alias("_seed"),
         F.explode(F.sequence("_first", "_last")).alias("_chunk"),
     )
+
+
+def _with_seed(body: DataFrame, seed: DataFrame, carry: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Add the seed rows of a median, with all values cut to where it can lie.
+
+    With w earlier and m own values, the median of any row of the chunk lies
+    between the earlier values of rank (w - m) / 2 and (w + m) / 2. Cutting every
+    value to that span keeps the median and leaves few distinct values, which is
+    what the running percentile costs by.
+    """
+    value = f"_v_{name}"
+    at = [*keys, "_chunk"]
+    grown = W.partitionBy(*at).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    ranked = seed.join(F.broadcast(carry.select(*at, f"_m_{name}")), at).select(
+        *at,
+        value,
+        "_freq",
+        F.sum("_freq").over(grown).alias("_upto"),
+        F.sum("_freq").over(W.partitionBy(*at)).alias("_w"),
+        F.col(f"_m_{name}").alias("_m"),
+    )
+    low, high = F.floor((F.col("_w") - F.col("_m")) / 2) - 1, F.ceil((F.col("_w") + F.col("_m")) / 2) + 1
+    # One row per carry row at most.
+    span = ranked.groupBy(*at).agg(
+        F.max(F.when(F.col("_upto") - F.col("_freq") <= low, F.col(value))).alias("_low"),
+        F.min(F.when(F.col("_upto") > high, F.col(value))).alias("_high"),
+    )
+    span = materialise(span, "span")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        # least and greatest skip a missing bound.
+        inside = F.greatest(F.least(F.col(value), F.col("_high")), F.col("_low"))
+        joined = rows.join(F.broadcast(span), at, "left")
+        return joined.withColumn(value, F.when(F.col(value).isNotNull(), inside)).drop("_low", "_high")
+
+    few = cut(seed).groupBy(*at, "_seed", value).agg(F.sum("_freq").alias("_freq"))
+    return cut(body).unionByName(few, allowMissingColumns=True)

@@ -62,9 +62,9 @@ def test_pooled_history_with_hot_party(hot):
 
 
 def test_running_against_plain_python(spark):
-    data = [(k, i, (i * 37 + k) % 11 if i % 4 else None) for k, n in ((1, 60), (2, 3), (3, 1)) for i in range(n)]
+    data = [(k, i, (i * 37 + k) % 101 if i % 4 else None) for k, n in ((1, 300), (2, 3), (3, 1)) for i in range(n)]
     df = spark.createDataFrame(data, "k int, i int, v bigint")
-    for skew in (NO_SKEW, Skew((1,), 64, 5)):
+    for skew in (NO_SKEW, Skew((1,), 304, 8), Skew((1,), 304, 31)):
         out = running(
             df, ["k"], ["i"], sums={"s": F.col("v").cast("double")}, counts={"n": F.col("v")},
             lows={"lo": F.col("v")}, medians={"m": F.col("v")}, skew=skew,
