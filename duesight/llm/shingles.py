@@ -13,8 +13,12 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: What a byte belongs to: 0 for what parts words, and a number for each kind of word.
+WORDS = np.ones(256, np.uint8)
+WORDS[[0x20, *range(0x09, 0x0E)]] = 0
+_LETTER = np.array([chr(b).isalnum() or b >= 0x80 for b in range(256)])
+LETTERS = np.where(_LETTER, WORDS, 0).astype(np.uint8)
+LETTERS_AND_SIGNS = np.where(_LETTER, WORDS, 2 * WORDS).astype(np.uint8)
 #: A random number for each byte.
 _BYTE = np.random.Generator(np.random.PCG64(20_24)).integers(1, 1 << 63, 256, np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -36,19 +40,21 @@ def _power(which: int, n: int) -> np.ndarray:
     return _powers[which][:n]
 
 
-def hashed_words(texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, and for each text where its words begin (one more entry than texts). None counts as ''."""
+def hashed_words(texts, kinds: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and for each text where its words begin (one more entry than texts). None counts as ''.
+
+    A word is a run of bytes of one kind.
+    """
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
     joined = b"\n".join([*raw, b""])
-    data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
+    data = np.frombuffer(joined.lower(), np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    inside = ~_SPACE[data]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if inside[0]:
-        edge = np.concatenate([[0], edge])
-    begin, end = edge[::2], edge[1::2]
+    kind = kinds[data]
+    edge = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(data)]])
+    word = kind[edge[:-1]] != 0
+    begin, end = edge[:-1][word], edge[1:][word]
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * _power(0, len(data)), out=sums[1:])
