@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duesight.llm import chat, html, packing, secrets
+from duesight.llm import chat, decontaminate, html, packing, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,17 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that overlap."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept."""
+    return quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_best_fit_packing, op3_chat_formatting, op7_secret_scan, op10_html_extraction)}
+    op2_best_fit_packing, op3_chat_formatting, op4_benchmark_decontamination, op7_secret_scan, op8_quality_resampling,
+    op10_html_extraction)}
 ORACLE: dict[str, str] = {}
