@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duesight.llm import chat, decontaminate, html, packing, quality, secrets
+from duesight.llm import chat, decontaminate, fingerprints, html, packing, pii, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -41,6 +45,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms in their texts, and how many of each kind."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonyms(docs, counts=True)
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
@@ -56,6 +66,6 @@ def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_best_fit_packing, op3_chat_formatting, op4_benchmark_decontamination, op7_secret_scan, op8_quality_resampling,
+    op1_document_fingerprints, op2_best_fit_packing, op3_chat_formatting, op4_benchmark_decontamination, op7_secret_scan, op8_quality_resampling, op9_pii_pseudonyms,
     op10_html_extraction)}
 ORACLE: dict[str, str] = {}
