@@ -1,26 +1,60 @@
-"""From raw documents to packed sequences, in stages that are each written and read again."""
+"""From raw documents to packed sequences, in stages that are each written and read again.
+
+Each stage takes the documents that the one before it kept, with their columns;
+the last returns the places of their pieces in the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duesight.llm import packing
-from duesight.llm.queries import tokenizer_path
+from duesight.llm import decontaminate, neardup, packing, pii, quality
+from duesight.llm.queries import table, tokenizer_path
 from duesight.session import materialise
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance sample rejects go."""
+    kept = quality.resampled(docs, table(spark, sf_dir, "labels"))
+    return kept.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return neardup.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts becomes pseudonyms; n_chars follows."""
+    out = pii.pseudonyms(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per token piece with its place."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("best-fit packing", pack)]
-#: Word shingles, models and tokens are beyond SQL; tests/llm compares every stage with a brute-force version.
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("PII", pseudonyms),
+    ("best-fit packing", pack),
+]
+#: Models, signatures and tokens are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialise(docs, f"stage-{k}")

@@ -60,7 +60,9 @@ def packed(df: DataFrame, text: str, name: str) -> DataFrame:
     out = out.withColumn(f, F.filter(m, lambda x: x.bitwiseAND(F.lit(_REST)) != _REST))
     chosen = lambda x: F.array_min(F.transform(f, lambda y: F.struct(
         F.xxhash64(_bin(x), _bin(y)).alias("h"), y.alias("y"))))["y"]
-    dense = F.transform(m, lambda x: F.when(x.bitwiseAND(F.lit(_REST)) != _REST, x).otherwise(chosen(x)))
+    # Hashed with its new bin: else a wrong match of low bits would repeat in all bins that take the same value.
+    dense = F.transform(m, lambda x: F.when(x.bitwiseAND(F.lit(_REST)) != _REST, x).otherwise(
+        F.xxhash64(chosen(x), _bin(x))))
     # The columns that a lambda uses are used twice here: Spark then computes them once, not once an element.
     out = out.withColumn(m, F.when(F.size(f) == BINS, F.col(m)).otherwise(dense))
     word = lambda k: F.aggregate(

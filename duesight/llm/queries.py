@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duesight.llm import chat, decontaminate, fingerprints, html, neardup, packing, pii, quality, secrets
+from duesight.llm import chat, decontaminate, fingerprints, html, neardup, packing, pii, quality, scoring, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, per_100=85)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,6 @@ def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_document_fingerprints, op2_best_fit_packing, op3_chat_formatting, op4_benchmark_decontamination,
-    op5_minhash_near_dedup, op7_secret_scan, op8_quality_resampling, op9_pii_pseudonyms,
+    op5_minhash_near_dedup, op6_lm_scoring, op7_secret_scan, op8_quality_resampling, op9_pii_pseudonyms,
     op10_html_extraction)}
 ORACLE: dict[str, str] = {}
