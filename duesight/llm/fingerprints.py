@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 WIDTH = 5
 BINS = 256
 LOW = 4
+#: Bins that an empty one asks before it looks at all.
+PROBES = 8
 #: Values in a packed word of 64 bits.
 PER_WORD = 64 // LOW
 #: Neighbouring ids in a group, as a power of two.
@@ -58,10 +60,16 @@ def packed(df: DataFrame, text: str, name: str) -> DataFrame:
     out = out.withColumn(m, F.when(F.size(w) > 0, F.sort_array(F.concat(hashes, ends))))
     out = out.withColumn(m, F.filter(m, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(F.col(m), i - 1)))))
     out = out.withColumn(f, F.filter(m, lambda x: x.bitwiseAND(F.lit(_REST)) != _REST))
-    chosen = lambda x: F.array_min(F.transform(f, lambda y: F.struct(
-        F.xxhash64(_bin(x), _bin(y)).alias("h"), y.alias("y"))))["y"]
+    filled = lambda v: v.bitwiseAND(F.lit(_REST)) != _REST
+
+    def chosen(x: Column) -> Column:
+        """The bins that hashes of the empty one name, in turn; where none of the first is filled, the least hash of both."""
+        named = [F.get(F.col(m), F.pmod(F.xxhash64(_bin(x), F.lit(t)), F.lit(BINS)).cast("int")) for t in range(PROBES)]
+        least = F.array_min(F.transform(f, lambda y: F.struct(F.xxhash64(_bin(x), _bin(y)).alias("h"), y.alias("y"))))["y"]
+        return F.coalesce(*[F.when(filled(v), v) for v in named], least)
+
     # Hashed with its new bin: else a wrong match of low bits would repeat in all bins that take the same value.
-    dense = F.transform(m, lambda x: F.when(x.bitwiseAND(F.lit(_REST)) != _REST, x).otherwise(
+    dense = F.transform(m, lambda x: F.when(filled(x), x).otherwise(
         F.xxhash64(chosen(x), _bin(x))))
     # The columns that a lambda uses are used twice here: Spark then computes them once, not once an element.
     out = out.withColumn(m, F.when(F.size(f) == BINS, F.col(m)).otherwise(dense))
