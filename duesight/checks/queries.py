@@ -7,6 +7,7 @@ s text.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -206,7 +207,7 @@ SELECT * EXCLUDE (CUSTOMER_TRX_ID, TRX_DATE), CAST(try_cast(CUSTOMER_TRX_ID AS D
 
 def _write_csv(ctx: Context, frame: DataFrame, name: str) -> str:
     path = ctx.path(name)
-    frame.write.option("header", True).csv(path)
+    frame.write.option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -245,7 +246,7 @@ def _scan_customer(kind: str) -> Callable[[Context], DataFrame]:
         path = f"{ctx.path('customer')}.{kind}"
         rows = ctx.raw.customer
         if kind == "csv":
-            rows.write.option("header", True).csv(path)
+            rows.write.option("header", True).option("escape", '"').csv(path)
         elif kind == "parquet":
             rows.write.parquet(path)
         elif kind == "jsonl":
@@ -275,12 +276,12 @@ add(
 )
 add(
     "scan_year_fallback", INVOICE_COLS,
-    lambda c: tb.invoices_in_range(c.raw.invoice, "unknown", year=1999),
+    lambda c: tb.invoices_in_range(c.raw.invoice, "year", year=1999),
     "SELECT * FROM ar_invoice WHERE year(TRX_DATE) = 1999",
 )
 add(
     "scan_receipts_year", RECEIPT_COLS,
-    lambda c: tb.receipts_in_range(c.raw.receipt, "unknown", year=1999),
+    lambda c: tb.receipts_in_range(c.raw.receipt, "year", year=1999),
     "SELECT * FROM ar_receipt WHERE year(APPLY_DATE) = 1999 OR year(RECEIPT_DATE) = 1999",
 )
 add(
@@ -753,7 +754,7 @@ def ct_runs(ctx: Context) -> DataFrame:
 def _export(ctx: Context) -> DataFrame:
     path = ctx.path("export")
     pb.export_csv(sc.score_table(ctx.store.scored).withColumn("_rn", F.lit(1)), path)
-    back = ctx.spark.read.option("header", True).csv(path)
+    back = ctx.spark.read.option("header", True).option("escape", '"').csv(path)
     return back.withColumns({d: F.col(d).cast("timestamp") for d in ("TRX_DATE", "DUE_DATE")})
 
 
@@ -920,15 +921,21 @@ UNION ALL SELECT 'job-s', 'risk', count(*) FROM cust_risk""")
 
 
 def _stream(ctx: Context) -> DataFrame:
-    """Receipts of one month arrive as files; their parties are scored again."""
+    """Three batches of receipts, the last of them months late; the parties of each are scored again."""
     folder, out, checkpoint = ctx.path("stream-in"), ctx.path("stream-out"), ctx.path("stream-cp")
-    arrived = ctx.raw.receipt.where(F.col("RECEIPT_DATE").between(F.lit("2000-06-01"), F.lit("2000-06-30")))
-    arrived.write.json(folder)
-    handle = rt.rescore_batch(lambda: ctx.raw, SNAP, out, "stacked", "2000-07-05 06:00:00")
-    rt.start_trigger(rt.receipt_stream(ctx.spark, folder), handle, checkpoint).awaitTermination()
-    return pb.latest_per_invoice(pb.read_table(ctx.spark, out, SCORES))
+    served = pb.RunKey("job-s", "stacked", SNAP, "all", "2000-07-05 06:00:00")
+    handle = rt.rescore_batch(lambda: ctx.raw, SNAP, out, served, lambda: dt.datetime(2000, 7, 5, 7))
+    for low, high in (("2000-06-01", "2000-06-14"), ("2000-06-15", "2000-06-30"), ("2000-01-01", "2000-01-31")):
+        arrived = ctx.raw.receipt.where(F.col("RECEIPT_DATE").between(F.lit(low), F.lit(high)))
+        arrived.write.mode("append").json(folder)
+        rt.start_trigger(rt.receipt_stream(ctx.spark, folder), handle, checkpoint).awaitTermination()
+    return pb.latest_per_invoice(pb.published_scores(ctx.spark, out, "stacked", SNAP))
 
 
 add("stream_receipt_trigger", f"{ID} prob_bad_debt:f risk_level:s", _stream, """
-SELECT * FROM scored WHERE PARTY_ID IN (SELECT PARTY_ID FROM ar_invoice WHERE PARTY_ID IS NOT NULL AND CUSTOMER_TRX_ID IN
- (SELECT APPLIED_CUSTOMER_TRX_ID FROM ar_receipt WHERE RECEIPT_DATE BETWEEN DATE '2000-06-01' AND DATE '2000-06-30'))""")
+WITH hit AS (SELECT * FROM ar_invoice WHERE CUSTOMER_TRX_ID IN (SELECT APPLIED_CUSTOMER_TRX_ID FROM ar_receipt
+  WHERE RECEIPT_DATE BETWEEN DATE '2000-06-01' AND DATE '2000-06-14' OR RECEIPT_DATE BETWEEN DATE '2000-06-15' AND DATE '2000-06-30'
+     OR RECEIPT_DATE BETWEEN DATE '2000-01-01' AND DATE '2000-01-31')),
+ touched AS (SELECT * FROM hit UNION ALL SELECT * FROM ar_invoice WHERE CUSTOMER_TRX_ID IN (SELECT PREVIOUS_CUSTOMER_TRX_ID FROM hit))
+SELECT * FROM scored WHERE PARTY_ID IN (SELECT PARTY_ID FROM touched WHERE PARTY_ID IS NOT NULL)
+ OR (PARTY_ID IS NULL AND CUSTOMER_TRX_ID IN (SELECT CUSTOMER_TRX_ID FROM touched))""")

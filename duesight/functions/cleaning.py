@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DAY_MICROS = 86_400_000_000
-# Years past this one do not fit a nanosecond timestamp and count as missing.
-LAST_YEAR = 2261
-DATE_PATTERNS = ("d-MMM-yyyy",)
+DATE_PATTERNS = ("d-MMM-yyyy", "d MMM yyyy", "yyyyMMdd", "M/d/yyyy")
+# A cast to timestamp also takes a time alone, and means today by it.
+STARTS_WITH_YEAR = r"^\s*[0-9]{4}(?:[^0-9]|\s*$)"
 
 
 def midnight(day: str | dt.date) -> Column:
@@ -31,8 +31,7 @@ def plus_days(col: Column, days: int) -> Column:
 def parse_timestamp(text: Column) -> Column:
     """Each row is tried against every known format; what fits none is NULL."""
     tries = [F.try_to_timestamp(text, F.lit(p)) for p in DATE_PATTERNS]
-    stamp = F.coalesce(*tries, text.try_cast("timestamp"))
-    return F.when(F.year(stamp) <= LAST_YEAR, stamp)
+    return F.coalesce(*tries, F.when(text.rlike(STARTS_WITH_YEAR), text.try_cast("timestamp")))
 
 
 def to_timestamp(df: DataFrame, name: str) -> Column:
@@ -100,8 +99,7 @@ def repair_dates(df: DataFrame, names: Iterable[str], snapshot: str | dt.date) -
         return once + (10 if snap.year < year - once <= snap.year + 20 else 0)
 
     # The shift is constant between these years.
-    borders = {2200, 2300, *[snap.year + 1 + n for n in (0, 20, 200, 220)], LAST_YEAR + 1}
-    edges = sorted(y for y in borders if y <= LAST_YEAR + 1)
+    edges = sorted({2200, 2300, *[snap.year + 1 + n for n in (0, 20, 200, 220)]})
 
     def moved(day: Column) -> Column:
         out = F.when(day < _new_year(edges[0]), day)
@@ -110,7 +108,7 @@ def repair_dates(df: DataFrame, names: Iterable[str], snapshot: str | dt.date) -
             now = F.add_months(day, -12 * back)
             value = F.when(F.dayofmonth(now) == F.dayofmonth(day), now) if back else day
             out = out.when(day < _new_year(high), value)
-        return out
+        return out.otherwise(day)
 
     def pulled_back(day: Column) -> Column:
         ahead = (day > F.lit(snap)) & (day <= F.lit(snap + dt.timedelta(days=45)))

@@ -14,4 +14,8 @@ def exclude_affiliates(rows: DataFrame, keys: DataFrame, name_col: str = "CUSTOM
     Spark broadcasts the key list when it is small, which it decides by size.
     """
     keyed = rows.withColumn("_name_key", normalise_name(F.col(name_col)))
-    return keyed.join(keys, F.col("_name_key") == F.col("name_key"), "left_anti").select(*rows.columns)
+    # Blank names match nothing; they are spread by row, so that they are no hot key.
+    spread = F.when(F.col("_name_key") == "", F.xxhash64(*rows.columns)).otherwise(F.lit(0))
+    named = keys.select("name_key", F.lit(0).cast("bigint").alias("_spread_key"))
+    matched = (F.col("_name_key") == F.col("name_key")) & (F.col("_spread") == F.col("_spread_key"))
+    return keyed.withColumn("_spread", spread).join(named, matched, "left_anti").select(*rows.columns)

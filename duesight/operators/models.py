@@ -77,13 +77,9 @@ def predict_stack(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return predict(meta, base_probabilities(base, rows))
 
 
-def fit_isotonic(scored: DataFrame, digits: int = 3) -> IsotonicRegressionModel:
-    """Monotone calibration of prob_bad_debt against label.
-
-    The rows are summed per rounded probability first, so the fit sees at most
-    1001 weighted points whatever the number of rows.
-    """
-    points = scored.groupBy(F.round("prob_bad_debt", digits).alias("p")).agg(
+def fit_isotonic(scored: DataFrame) -> IsotonicRegressionModel:
+    """Monotone calibration of prob_bad_debt against label; equal probabilities are one weighted point."""
+    points = scored.groupBy(F.col("prob_bad_debt").alias("p")).agg(
         F.avg(F.col("label").cast("double")).alias("label"), F.count("*").cast("double").alias("weight")
     )
     return IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight").fit(points)

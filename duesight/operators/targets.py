@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from duesight.functions.cleaning import keep_first, midnight
 from duesight.operators.skew import NO_SKEW, Skew, lookup_join
 from duesight.plans.features import RawTables
-from duesight.sources.tables import DEFAULT_YEAR, invoice_range_predicate, invoices_in_range, receipts_in_range
+from duesight.sources.tables import invoice_range_predicate, invoices_in_range, receipts_in_range
 
 
 def target_ids(targets: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def union_history(targets: DataFrame, history: DataFrame) -> DataFrame:
 
 def targets_with_history(
     invoice: DataFrame, customer: DataFrame, time_range: str, snapshot=None, start=None, end=None,
-    year: int = DEFAULT_YEAR, skew: Skew = NO_SKEW,
+    year: int | None = None, skew: Skew = NO_SKEW,
 ) -> DataFrame:
     """Targets and history in one pass over the invoices, instead of a union of two."""
     wanted = invoice_range_predicate(invoice, time_range, snapshot, start, end, year)
@@ -74,12 +74,12 @@ def receipts_of(receipt: DataFrame, invoices: DataFrame, snapshot=None) -> DataF
         snap = midnight(snapshot)
         rows = rows.where((F.col("APPLY_DATE") <= snap) | (F.col("RECEIPT_DATE") <= snap))
     ids = target_ids(invoices).withColumnRenamed("CUSTOMER_TRX_ID", "_id")
-    # Exact copies collapse first, so that they do not meet in the join.
-    return rows.dropDuplicates().join(ids, F.col("APPLIED_CUSTOMER_TRX_ID") == F.col("_id"), "left_semi")
+    # The copies of a row share its id, so they collapse where the join has put them.
+    return rows.join(ids, F.col("APPLIED_CUSTOMER_TRX_ID") == F.col("_id"), "left_semi").dropDuplicates()
 
 
 def run_inputs(
-    source: RawTables, time_range: str, snapshot=None, start=None, end=None, year: int = DEFAULT_YEAR,
+    source: RawTables, time_range: str, snapshot=None, start=None, end=None, year: int | None = None,
     skew: Skew = NO_SKEW,
 ) -> RawTables:
     """The tables a run works on, and the ids it reports.

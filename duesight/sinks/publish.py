@@ -60,15 +60,28 @@ def _write(rows: DataFrame, path: str, replace: bool) -> None:
         writer.mode("append").parquet(path)
 
 
+def drop_partition(spark: SparkSession, path: str, run: RunKey) -> None:
+    """Remove the partition of a run, as a rerun without rows replaces nothing by itself."""
+    values = {n: getattr(run, n) for n in PARTITION}
+    folder = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{n}={v}" for n, v in values.items())]))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _publish(rows: DataFrame, path: str, run: RunKey, replace: bool) -> None:
+    _write(rows, path, replace)
+    if replace and rows.isEmpty():
+        drop_partition(rows.sparkSession, path, run)
+
+
 def publish_scores(scored: DataFrame, path: str, run: RunKey, replace: bool = True) -> None:
     """Publish invoice scores. Replacing touches only the run's own partition,
     custom windows each having their own; appending leaves older rows, which
     readers skip by taking the newest row per invoice."""
-    _write(conform(scored, SCORES, run), path, replace)
+    _publish(conform(scored, SCORES, run), path, run, replace)
 
 
 def publish_customer_risk(risk: DataFrame, path: str, run: RunKey, replace: bool = True) -> None:
-    _write(conform(risk, CUSTOMER_RISK, run), path, replace)
+    _publish(conform(risk, CUSTOMER_RISK, run), path, run, replace)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -130,7 +143,7 @@ def rewrite(rows: DataFrame, new_path: str) -> None:
 def export_csv(rows: DataFrame, path: str) -> None:
     """All columns but technical ones, with a header, dates as YYYY-MM-DD."""
     out = rows.drop("id", "_rn")
-    out.write.option("header", True).option("dateFormat", "yyyy-MM-dd").mode("errorifexists").csv(path)
+    out.write.options(header=True, escape='"', dateFormat="yyyy-MM-dd").mode("errorifexists").csv(path)
 
 
 def json_records(rows: DataFrame) -> DataFrame:

@@ -14,9 +14,20 @@ from duesight.schemas import BRONZE_CUSTOMER, BRONZE_INVOICE, BRONZE_RECEIPT
 FORMATS = {"parquet": "parquet", "pq": "parquet", "csv": "csv", "json": "json", "jsonl": "jsonl"}
 
 
-def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """By header name: columns may be in any order, more or fewer than the schema's."""
-    found = spark.read.option("header", True).csv(path)
+# A quote inside a quoted field is doubled.
+CSV = {"header": True, "escape": '"'}
+
+
+def _csv(spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = True) -> DataFrame:
+    """By header name: columns may be in any order, more or fewer than the schema's.
+
+    Files of one folder must have the same header; another one is an error. With
+    `line_breaks` fields may hold line breaks, and a file is read by one task;
+    without, large files are split.
+    """
+    reader = spark.read.options(**CSV, multiLine=line_breaks)
+    header = reader.csv(path).schema
+    found = reader.schema(header).option("enforceSchema", False).csv(path)
     return found.select(
         *[(F.col(f.name) if f.name in found.columns else F.lit(None).cast("string")).alias(f.name) for f in schema]
     )
@@ -67,7 +78,7 @@ def load_raw_tables(
 
 def read_excluded_names(spark: SparkSession, path: str) -> DataFrame:
     """Headerless CSV of names in any number of columns."""
-    return spark.read.option("header", False).csv(path)
+    return spark.read.options(**{**CSV, "header": False}).csv(path)
 
 
 def excluded_keys(names: DataFrame) -> DataFrame:

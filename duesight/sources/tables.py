@@ -14,7 +14,6 @@ from duesight.functions.cleaning import midnight
 from duesight.schemas import CUSTOMER
 from duesight.settings import RANGE_DAYS
 
-DEFAULT_YEAR = 2026
 # Bounds reported when the table has no readable date.
 FALLBACK_DATES = ("2020-01-01", "2026-03-15")
 
@@ -29,7 +28,7 @@ def date_range(invoice: DataFrame) -> DataFrame:
     )
 
 
-def _bounds(invoice: DataFrame | None, time_range, snapshot, start, end) -> tuple[Column | None, Column | None] | None:
+def _bounds(invoice: DataFrame | None, time_range, snapshot, start, end, year) -> tuple[Column | None, Column | None] | None:
     """(from, to) of a request, or None when it is a year request."""
     if time_range == "all":
         return None, midnight(snapshot) if snapshot else None
@@ -42,7 +41,9 @@ def _bounds(invoice: DataFrame | None, time_range, snapshot, start, end) -> tupl
             return midnight(first), midnight(snapshot)
         latest = date_range(invoice).select(F.col("max_date").cast("timestamp")).scalar()
         return latest - F.make_dt_interval(days=F.lit(days)), latest
-    return None
+    if time_range == "year" and year is not None:
+        return None
+    raise ValueError(f"no such range, or its dates are missing: {time_range}")
 
 
 def _within(col: Column, low: Column | None, high: Column | None) -> Column:
@@ -55,22 +56,22 @@ def _within(col: Column, low: Column | None, high: Column | None) -> Column:
 
 
 def invoices_in_range(
-    invoice: DataFrame, time_range: str, snapshot=None, start=None, end=None, year: int = DEFAULT_YEAR
+    invoice: DataFrame, time_range: str, snapshot=None, start=None, end=None, year: int | None = None
 ) -> DataFrame:
-    """Invoices of a request; an unknown range means the given year."""
+    """Invoices of a request: a preset, `all`, `custom` with both dates, or `year` with a year."""
     return invoice.where(invoice_range_predicate(invoice, time_range, snapshot, start, end, year))
 
 
 def invoice_range_predicate(
-    invoice: DataFrame, time_range: str, snapshot=None, start=None, end=None, year: int = DEFAULT_YEAR
+    invoice: DataFrame, time_range: str, snapshot=None, start=None, end=None, year: int | None = None
 ) -> Column:
-    bounds = _bounds(invoice, time_range, snapshot, start, end)
+    bounds = _bounds(invoice, time_range, snapshot, start, end, year)
     day = F.col("TRX_DATE")
     return F.year(day) == year if bounds is None else _within(day, *bounds)
 
 
 def receipts_in_range(
-    receipt: DataFrame, time_range: str, snapshot=None, start=None, end=None, year: int = DEFAULT_YEAR,
+    receipt: DataFrame, time_range: str, snapshot=None, start=None, end=None, year: int | None = None,
     invoice: DataFrame | None = None,
 ) -> DataFrame:
     """Receipts whose apply or receipt date lies in the range.
@@ -78,7 +79,7 @@ def receipts_in_range(
     `invoice` is needed only for a preset without a snapshot: the newest invoice
     date is then the anchor.
     """
-    bounds = _bounds(invoice, time_range, snapshot, start, end)
+    bounds = _bounds(invoice, time_range, snapshot, start, end, year)
     apply, received = F.col("APPLY_DATE"), F.col("RECEIPT_DATE")
     if bounds is None:
         return receipt.where((F.year(apply) == year) | (F.year(received) == year))

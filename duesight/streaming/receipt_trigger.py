@@ -1,13 +1,17 @@
 """Re-score the parties that new receipts touch.
 
-A file stream of receipts: exact repeats within the watermark are dropped, and
-each micro-batch scores the touched parties again from the full tables and
-publishes them. Re-running a batch replaces what it published before.
+A file stream of receipts, however late they are booked: each micro-batch scores
+the touched parties again from the full tables and appends them to the run that
+is served, as a newer publication. A repeated receipt touches the same parties
+once more, which changes nothing. A repeated batch appends the same rows, of
+which readers take one per invoice.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,30 +25,38 @@ from duesight.schemas import RECEIPT
 from duesight.session import materialise
 from duesight.sinks.publish import RunKey, publish_scores
 
-IDENTITY = ["APPLIED_CUSTOMER_TRX_ID", "APPLY_DATE", "RECEIPT_DATE", "AMOUNT_APPLIED", "RECEIPT_STATUS"]
-
-
-def receipt_stream(spark: SparkSession, folder: str, lateness: str = "30 days", files_per_batch: int = 100) -> DataFrame:
-    """New receipt rows without repeats, by receipt date."""
-    rows = spark.readStream.schema(RECEIPT).option("maxFilesPerTrigger", files_per_batch).json(folder)
-    return rows.withWatermark("RECEIPT_DATE", lateness).dropDuplicatesWithinWatermark(IDENTITY)
+def receipt_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
+    return spark.readStream.schema(RECEIPT).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
 def touched_invoices(receipts: DataFrame, invoice: DataFrame) -> DataFrame:
-    """All invoices of the parties whose invoices got a receipt."""
+    """All invoices of the parties whose invoices got a receipt, and those without a party themselves.
+
+    A receipt of a credit memo also touches the invoice that the memo is netted with.
+    """
     paid = receipts.select(F.col("APPLIED_CUSTOMER_TRX_ID").alias("CUSTOMER_TRX_ID")).distinct()
-    hit = invoice.join(paid, "CUSTOMER_TRX_ID", "left_semi")
-    parties = hit.select("PARTY_ID").where(F.col("PARTY_ID").isNotNull()).distinct()
-    return history_of_parties(invoice, parties)
+    narrow = invoice.select("CUSTOMER_TRX_ID", "PARTY_ID", "PREVIOUS_CUSTOMER_TRX_ID")
+    hit = narrow.join(paid, "CUSTOMER_TRX_ID", "left_semi")
+    originals = hit.select(F.col("PREVIOUS_CUSTOMER_TRX_ID").alias("CUSTOMER_TRX_ID")).where(
+        F.col("CUSTOMER_TRX_ID").isNotNull()).distinct()
+    netted = narrow.join(originals, "CUSTOMER_TRX_ID", "left_semi")
+    both = hit.unionByName(netted)
+    parties = both.select("PARTY_ID").where(F.col("PARTY_ID").isNotNull()).distinct()
+    alone = both.where(F.col("PARTY_ID").isNull()).select("CUSTOMER_TRX_ID").distinct()
+    without = invoice.where(F.col("PARTY_ID").isNull()).join(alone, "CUSTOMER_TRX_ID", "left_semi")
+    return history_of_parties(invoice, parties).unionByName(without.select(*invoice.columns))
 
 
 def rescore_batch(
-    source: Callable[[], RawTables], snapshot: str, scores_path: str, model_key: str, published_at: str,
+    source: Callable[[], RawTables], snapshot: str, scores_path: str, served: RunKey,
+    clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
     probability: Column | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """Handler for foreachBatch. The tables are read anew, as they hold the receipts by then.
 
-    Batch n is published as its own run, so a repeated batch replaces itself.
+    The rows are appended under the key of the run that is served, with the
+    batch's own time and number, so that reports show them at once and the
+    latest batch wins.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
@@ -53,8 +65,9 @@ def rescore_batch(
         invoices = materialise(touched_invoices(batch, tables.invoice), "touched")
         raw = RawTables(invoices, receipts_of(tables.receipt, invoices), tables.customer)
         scored = score_table(score_snapshot(raw, snapshot, probability))
-        run = RunKey(f"stream-{number}", model_key, snapshot, f"stream-{number}", published_at)
-        publish_scores(scored, scores_path, run)
+        # Of one moment's batches the larger number sorts last as text, too.
+        run = replace(served, job_id=f"stream-{number:019d}", published_at=clock().isoformat(" "))
+        publish_scores(scored, scores_path, run, replace=False)
 
     return handle
 

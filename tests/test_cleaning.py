@@ -58,10 +58,11 @@ def test_as_of(spark):
 
 
 def test_dates_of_mixed_formats(spark):
-    texts = ["3-Sep-2017", "03-Sep-2017", "2017-09-03T00:00:00.000+00:00", "junk", None, "2400-01-01"]
+    texts = ["3-Sep-2017", "03-Sep-2017", "2017-09-03T00:00:00.000+00:00", "20170903", "09/03/2017", "3 Sep 2017",
+             "2017-09-03", "junk", None, "12:30", "T12:30", "2400-01-01"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     rows = [r[0] for r in df.select(cl.parse_timestamp(F.col("t")).cast("date").cast("string")).collect()]
-    assert rows == ["2017-09-03"] * 3 + [None] * 3
+    assert rows == ["2017-09-03"] * 7 + [None] * 4 + ["2400-01-01"]
 
 
 def test_ids_and_numbers(spark):
