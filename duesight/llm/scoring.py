@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from duesight.llm.shingles import LETTERS_AND_SIGNS, batches, hashed_words, mix
 from duesight.session import materialise
 
-WORDS = 1 << 20
+WORDS = 1 << 18
 SEEN = 2
 BACKOFF = 0.4
 #: Share of all words, or pairs, from which one is frequent.

@@ -28,7 +28,7 @@ def brute(texts, most):
         if d else 0.0 for d in docs]
 
 
-@pytest.mark.parametrize("most, partitions", [(1 << 20, None), (30, 7), (1 << 20, 5)])
+@pytest.mark.parametrize("most, partitions", [(scoring.WORDS, None), (30, 7), (scoring.WORDS, 5)])
 def test_same_scores_as_brute_force(spark, monkeypatch, most, partitions):
     monkeypatch.setattr(scoring, "GATHERED", 3000)
     rng = random.Random(4)
