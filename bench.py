@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from duesight.checks.fixtures import raw_tables  # noqa: E402
 from duesight.checks.queries import spark_query  # noqa: E402
 from duesight.checks.store import store  # noqa: E402
-from duesight.session import build_session  # noqa: E402
+from duesight.session import build_session, prepare  # noqa: E402
 
 HEADLINE = [
     "snapshot_features",
@@ -47,6 +47,7 @@ def main() -> None:
         "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
     })
     spark.sparkContext.setLogLevel("ERROR")
+    prepare(spark)
     raw = raw_tables(spark, sf_dir)
     store(spark, sf_dir)
     rows = {"invoice": raw.invoice.count(), "receipt": raw.receipt.count(), "customer": raw.customer.count()}

@@ -608,6 +608,8 @@ add("single_pass_inputs_receipts", RECEIPT_COLS, lambda c: _inputs(c, "all").rec
 # ---- scores --------------------------------------------------------------
 add("score_linear", f"{ID} prob_bad_debt:f", lambda c: st.scored_all(c.spark, c.sf_dir), "SELECT * FROM scored")
 add("score_invoices", SCORE_COLS, lambda c: sc.score_table(jb.score_snapshot(c.raw, SNAP)), "SELECT * FROM scored")
+add("score_invoices_by_key", f"{ID} prob_bad_debt:f", lambda c: jb.score_snapshot(c.raw, SNAP, jb.model_of("lgbm_hyper_smote")),
+    f"SELECT CUSTOMER_TRX_ID, {o.sigmoid_sql(o.linear_sql(sc.PAYMENT_SCORECARD))} AS prob_bad_debt FROM snapshot_feat")
 STACK_SQL = o.sigmoid_sql(
     f"{sc.STACK[0]} + {sc.STACK[1]} * {o.sigmoid_sql(o.linear_sql(SCORECARD))} + {sc.STACK[2]} * {o.sigmoid_sql(o.linear_sql(sc.PAYMENT_SCORECARD))}"
 )
@@ -882,11 +884,12 @@ def _score_files(ctx: Context) -> DataFrame:
 
 
 def _run(ctx: Context) -> tuple[DataFrame, str, str]:
-    paths = ctx.path("run-scores"), ctx.path("run-risk")
-    run = jb.run_snapshot(
-        ctx.spark, ctx.raw, SNAP, "6m", *paths, job_id="job-r", published_at="2000-07-04 06:00:00", excluded=ctx.excluded
+    paths, runs = (ctx.path("run-scores"), ctx.path("run-risk")), ctx.path("runs")
+    jb.run_snapshot(
+        ctx.spark, ctx.raw, SNAP, "6m", *paths, job_id="job-r", published_at="2000-07-04 06:00:00", excluded=ctx.excluded,
+        runs_path=runs,
     )
-    return run, *paths
+    return jb.stored_runs(ctx.spark, runs), *paths
 
 
 def _retained(ctx: Context) -> DataFrame:

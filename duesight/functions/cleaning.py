@@ -162,6 +162,14 @@ def as_of(due: Column, snapshot: str | dt.date) -> Column:
     return F.when(due > snap, snap).otherwise(due)
 
 
+def require(df: DataFrame, names: Iterable[str], what: str) -> DataFrame:
+    """`df`, if it has the columns; a misspelt one would else be a column of missing values."""
+    lacking = [n for n in names if n not in df.columns]
+    if lacking:
+        raise ValueError(f"{what} table lacks columns: {lacking}")
+    return df
+
+
 def with_missing_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Add the columns of `schema` that the input lacks as typed NULLs."""
     have = set(df.columns)

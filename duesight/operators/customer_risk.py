@@ -34,7 +34,9 @@ def first_known(name: str) -> Column:
     return F.min_by(F.col(name), F.when(F.col(name).isNotNull(), F.col("CUSTOMER_TRX_ID")))
 
 
-def customer_risk(scored: DataFrame, one_row_per_invoice: bool = False) -> DataFrame:
+def customer_risk(
+    scored: DataFrame, one_row_per_invoice: bool = False, low: float = THRESHOLD_LOW, high: float = THRESHOLD_HIGH
+) -> DataFrame:
     """One row per (party, account, name); missing keys form groups of their own.
 
     With `one_row_per_invoice` the invoices are counted instead of counted
@@ -59,7 +61,7 @@ def customer_risk(scored: DataFrame, one_row_per_invoice: bool = False) -> DataF
         # Read by the report but produced by no step: always missing.
         F.lit(None).cast("double").alias("party_prior_gap90_rate"),
     )
-    return out.withColumn("risk_cust", risk_level(F.col("cust_score_max")))
+    return out.withColumn("risk_cust", risk_level(F.col("cust_score_max"), low, high))
 
 
 def level_counts(rows: DataFrame, level: str) -> DataFrame:

@@ -9,6 +9,7 @@ from duesight.functions.cleaning import (
     as_of,
     keep_first,
     midnight,
+    require,
     to_id,
     to_number,
     to_timestamp,
@@ -17,14 +18,16 @@ from duesight.functions.cleaning import (
 from duesight.operators.receipts import invoices_with_receipt
 from duesight.schemas import INVOICE
 
+# Columns without which there is nothing to work on.
+REQUIRED = ("CUSTOMER_TRX_ID", "TRX_DATE", "DUE_DATE", "TRX_AMOUNT")
 _CARRIED = ["TRX_NUMBER", "PARTY_ID", "TRX_DATE", "DUE_DATE", "TRX_AMOUNT", "TRANS_TYPE", "CURRENCY_CODE", "ORG_ID"]
 # Which row of several with one id is kept: the earliest, then by every kept column.
 _KEEP_ORDER = ["TRX_DATE", *[c for c in _CARRIED if c != "TRX_DATE"]]
 
 
 def clean_invoices(invoice: DataFrame) -> DataFrame:
-    """Typed columns in a fixed order; columns the input lacks are typed NULLs."""
-    df = with_missing_columns(invoice, INVOICE)
+    """Typed columns in a fixed order; columns the input lacks are typed NULLs, required ones an error."""
+    df = with_missing_columns(require(invoice, REQUIRED, "invoice"), INVOICE)
     kinds = {"bigint": to_id, "double": to_number, "timestamp": to_timestamp}
 
     def typed(name: str, kind: str) -> Column:

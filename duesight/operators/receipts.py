@@ -6,11 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duesight.functions.cleaning import days_between, holds, midnight, plus_days, repair_dates, to_id, to_number, to_timestamp
-from duesight.functions.cleaning import with_missing_columns
+from duesight.functions.cleaning import (
+    days_between,
+    holds,
+    midnight,
+    plus_days,
+    repair_dates,
+    require,
+    to_id,
+    to_number,
+    to_timestamp,
+    with_missing_columns,
+)
 from duesight.schemas import RECEIPT
 
 
+# Columns without which there is nothing to work on.
+REQUIRED = ("APPLIED_CUSTOMER_TRX_ID", "AMOUNT_APPLIED")
+
+
 def status_counts(status: Column) -> Column:
     """Applied receipts, and those without a status."""
     return status.isNull() | (status == "APP")
@@ -21,7 +35,7 @@ def base_payments(receipt: DataFrame, snapshot, repair_years: bool = True) -> Da
 
     The apply date wins over the receipt date. Rows without any date stay.
     """
-    df = with_missing_columns(receipt, RECEIPT).where(status_counts(F.col("RECEIPT_STATUS")))
+    df = with_missing_columns(require(receipt, REQUIRED, "receipt"), RECEIPT).where(status_counts(F.col("RECEIPT_STATUS")))
     names = ["APPLY_DATE", "RECEIPT_DATE"]
     rows = df.select(
         to_id(df, "APPLIED_CUSTOMER_TRX_ID").alias("INVOICE_ID"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duesight.functions.risk import action, expected_loss, risk_level
-from duesight.settings import DEFAULT_MODEL_KEY, FEATURES, MODEL_KEYS, SCORECARD
+from duesight.settings import DEFAULT_MODEL_KEY, FEATURES, MODEL_KEYS, SCORECARD, THRESHOLD_HIGH, THRESHOLD_LOW
 
 Weights = Mapping[str, tuple[float, float, float]]
 
@@ -82,11 +82,23 @@ def with_features(rows: DataFrame) -> DataFrame:
     return rows.select("*", *[F.lit(None).cast("double").alias(c) for c in lacking])
 
 
-def score(features: DataFrame, probability: Column | None = None) -> DataFrame:
+#: What a model key stands for: a probability as a column, or a function that adds `prob_bad_debt` to the features,
+#: such as a fitted pipeline with its calibration. Both entries are illustrative; pass your own.
+Model = Column | Callable[[DataFrame], DataFrame]
+
+
+def default_models() -> dict[str, Model]:
+    return {"stacked": scorecard_probability(), "lgbm_hyper_smote": scorecard_probability(PAYMENT_SCORECARD)}
+
+
+def score(
+    features: DataFrame, model: Model | None = None, low: float = THRESHOLD_LOW, high: float = THRESHOLD_HIGH
+) -> DataFrame:
     """Feature table plus prob_bad_debt, loss, level and action."""
-    p = scorecard_probability() if probability is None else probability
-    rows = with_features(features).withColumn("prob_bad_debt", p)
-    rows = rows.withColumn("risk_level", risk_level(F.col("prob_bad_debt")))
+    model = scorecard_probability() if model is None else model
+    rows = with_features(features)
+    rows = rows.withColumn("prob_bad_debt", model) if isinstance(model, Column) else model(rows)
+    rows = rows.withColumn("risk_level", risk_level(F.col("prob_bad_debt"), low, high))
     return rows.select(
         "*",
         expected_loss(F.col("TRX_AMOUNT"), F.col("prob_bad_debt")).alias("expected_financial_loss"),

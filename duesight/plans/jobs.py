@@ -5,20 +5,21 @@ from __future__ import annotations
 import datetime as dt
 import json
 import time
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duesight.operators.customer_risk import CUSTOMER_KEY, customer_risk, level_counts
 from duesight.operators.exclusion import exclude_affiliates
-from duesight.operators.scoring import SCORE_COLUMNS, resolve_model_key, score, score_table
+from duesight.operators.scoring import SCORE_COLUMNS, Model, default_models, resolve_model_key, score, score_table
 from duesight.operators.skew import Skew
 from duesight.operators.targets import restrict_to_targets, run_inputs
 from duesight.plans.features import RawTables, party_skew, snapshot_features
 from duesight.plans.reports import preview, top_loss
 from duesight.schemas import CUSTOMER_RISK, RUNS, SCORES
 from duesight.session import materialise
-from duesight.settings import KEEP_PUBLISHED_DAYS, KEEP_RUN_DAYS
+from duesight.settings import KEEP_PUBLISHED_DAYS, KEEP_RUN_DAYS, THRESHOLD_HIGH, THRESHOLD_LOW
 from duesight.sinks.publish import (
     RunKey,
     publish_customer_risk,
@@ -41,21 +42,28 @@ _RISK_INPUTS = [
 
 
 def score_snapshot(
-    raw: RawTables, snapshot, probability: Column | None = None, skew: Skew | None = None
+    raw: RawTables, snapshot, model: Model | None = None, skew: Skew | None = None,
+    low: float = THRESHOLD_LOW, high: float = THRESHOLD_HIGH,
 ) -> DataFrame:
     """Features and scores of the target invoices (of all when there are no targets)."""
-    return restrict_to_targets(score(snapshot_features(raw, snapshot, skew), probability), raw.target_ids)
+    return restrict_to_targets(score(snapshot_features(raw, snapshot, skew), model, low, high), raw.target_ids)
+
+
+def model_of(key: str | None, models: Mapping[str, Model] | None = None) -> Model:
+    """The model of a key, an unknown key meaning the default one."""
+    return {**default_models(), **(models or {})}[resolve_model_key(key)]
 
 
 def score_files(
     spark: SparkSession, invoice_path: str, receipt_path: str, customer_path: str | None, snapshot,
-    customer_name: str | None = None, customer_format: str | None = None, probability: Column | None = None,
+    customer_name: str | None = None, customer_format: str | None = None, model_key: str | None = None,
+    models: Mapping[str, Model] | None = None, low: float = THRESHOLD_LOW, high: float = THRESHOLD_HIGH,
 ) -> dict[str, DataFrame]:
-    """Score delivered files. Affiliates are not left out here."""
+    """Score delivered files by the model of the key. Affiliates are not left out here."""
     raw = load_raw_tables(spark, invoice_path, receipt_path, customer_path, customer_name, customer_format)
-    scored = score_snapshot(raw, snapshot, probability)
+    scored = score_snapshot(raw, snapshot, model_of(model_key, models), low=low, high=high)
     rows = score_table(scored)
-    risk = customer_risk(scored, one_row_per_invoice=True)
+    risk = customer_risk(scored, True, low, high)
     return {
         "scores": rows,
         "preview": preview(rows),
@@ -83,25 +91,30 @@ def run_snapshot(
     start: str | None = None,
     end: str | None = None,
     excluded: DataFrame | None = None,
-    probability: Column | None = None,
+    models: Mapping[str, Model] | None = None,
     replace: bool = True,
+    runs_path: str | None = None,
+    year: int | None = None,
+    low: float = THRESHOLD_LOW,
+    high: float = THRESHOLD_HIGH,
 ) -> DataFrame:
     """Fetch, score, exclude, aggregate and publish one run; returns its catalogue row.
 
-    The scored rows are written out once and feed both result tables.
+    The scored rows are written out once and feed both result tables. The row is
+    appended to the run catalogue at `runs_path`, once both tables are published.
     """
     began = time.time()
     key = resolve_model_key(model_key)
     run = RunKey(job_id, key, snapshot, time_range, published_at, start, end)
     skew = party_skew(source)
-    raw = run_inputs(source, time_range, snapshot, start, end, skew=skew)
-    scored = score_snapshot(raw, snapshot, probability, skew)
+    raw = run_inputs(source, time_range, snapshot, start, end, year, skew)
+    scored = score_snapshot(raw, snapshot, model_of(key, models), skew, low, high)
     if excluded is not None:
         scored = exclude_affiliates(scored, excluded)
     names = [*SCORE_COLUMNS, *[c for c in _RISK_INPUTS if c not in SCORE_COLUMNS]]
     kept = materialise(scored.select(*names), "scored")
 
-    risk = customer_risk(kept, one_row_per_invoice=True)
+    risk = customer_risk(kept, True, low, high)
     publish_scores(score_table(kept), scores_path, run, replace)
     publish_customer_risk(risk, risk_path, run, replace)
 
@@ -115,7 +128,15 @@ def run_snapshot(
         sum(levels.values()), sum(risk_levels.values()), _json(levels), _json(risk_levels), None,
         started, started + dt.timedelta(seconds=seconds), seconds,
     )
-    return spark.createDataFrame([row], RUNS)
+    found = spark.createDataFrame([row], RUNS)
+    if runs_path is not None:
+        found.coalesce(1).write.mode("append").parquet(runs_path)
+    return found
+
+
+def stored_runs(spark: SparkSession, runs_path: str) -> DataFrame:
+    """The run catalogue, which the reports look their run up in."""
+    return read_table(spark, runs_path, RUNS)
 
 
 def _json(counts: dict[str, int]) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duesight.operators.customer_risk import level_counts, warning_counts
 from duesight.plans.catalogue import covering_publication, latest_covering_run, rows_of
+from duesight.functions.risk import checked
 from duesight.settings import MAX_PAGE_SIZE, PAGE_SIZE, PREVIEW_ROWS, RISK_LEVELS, THRESHOLD_HIGH, THRESHOLD_LOW, TOP_LOSS_ROWS
 from duesight.sinks.publish import latest_per_invoice
 from duesight.sources.tables import scored_in_range
@@ -185,12 +186,13 @@ def alerts_report(
 def early_warning_report(
     scores: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None, page: int = 1,
     size: int = PAGE_SIZE, sort_by: str = "prob_bad_debt", direction: str = "desc",
-    level: str | None = None, search: str | None = None,
+    level: str | None = None, search: str | None = None, low: float = THRESHOLD_LOW, high: float = THRESHOLD_HIGH,
 ) -> dict[str, DataFrame]:
     """The score report plus alert and high-risk counts over the searched rows."""
+    low, high = checked(low, high)
     rows = answering_rows(scores, model_key, snapshot, time_range, start, end)
     parts = _score_parts(rows, page, size, sort_by, direction, level, search)
-    return {**parts, "counts": warning_counts(with_name(rows, search), THRESHOLD_LOW, THRESHOLD_HIGH)}
+    return {**parts, "counts": warning_counts(with_name(rows, search), low, high)}
 
 
 def chart_rows(scores: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None) -> DataFrame:
@@ -221,7 +223,9 @@ def customer_risk_report(
 ) -> dict[str, DataFrame]:
     """Customer risk of the run that answers, with the run itself."""
     run = latest_covering_run(runs, model_key, snapshot, time_range, start, end)
-    rows = rows_of(risk, run.select("job_id"))
+    # The model and the snapshot are literals, so only their partitions are read; the run's own are pruned by the join.
+    wanted = risk.where((F.col("model_key") == model_key) & (F.col("snapshot_date") == F.lit(str(snapshot)).cast("date")))
+    rows = rows_of(wanted, run.select("job_id", "time_range"))
     shown = with_name(with_level(rows, level, "risk_cust"), search)
     order = sort_order(sort_by, direction, RISK_SORT, RISK_TIE)
     return {

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +17,6 @@ SQL_CONF = {
 }
 
 
-_local_root: str | None = None
-
-
 def build_session(app: str = "duesight", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -31,22 +27,20 @@ def build_session(app: str = "duesight", master: str | None = None, **conf) -> S
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings that results depend on to a session made elsewhere."""
+    """Apply the settings that results depend on to a session made elsewhere, and name a folder to a local one without."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    unset = not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir()
+    if unset and spark.sparkContext.master.startswith("local"):
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     return spark
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only for local sessions."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """The shared folder that the session names."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    global _local_root
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="duesight-")
-    return _local_root
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -13,11 +13,11 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from duesight.operators.scoring import score_table
+from duesight.operators.scoring import Model, score_table
 from duesight.operators.targets import history_of_parties, receipts_of
 from duesight.plans.features import RawTables
 from duesight.plans.jobs import score_snapshot
@@ -50,7 +50,7 @@ def touched_invoices(receipts: DataFrame, invoice: DataFrame) -> DataFrame:
 def rescore_batch(
     source: Callable[[], RawTables], snapshot: str, scores_path: str, served: RunKey,
     clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
-    probability: Column | None = None,
+    model: Model | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """Handler for foreachBatch. The tables are read anew, as they hold the receipts by then.
 
@@ -64,7 +64,7 @@ def rescore_batch(
         # Written out: the batch is read once, the invoices several times.
         invoices = materialise(touched_invoices(batch, tables.invoice), "touched")
         raw = RawTables(invoices, receipts_of(tables.receipt, invoices), tables.customer)
-        scored = score_table(score_snapshot(raw, snapshot, probability))
+        scored = score_table(score_snapshot(raw, snapshot, model))
         # Of one moment's batches the larger number sorts last as text, too.
         run = replace(served, job_id=f"stream-{number:019d}", published_at=clock().isoformat(" "))
         publish_scores(scored, scores_path, run, replace=False)

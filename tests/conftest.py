@@ -11,7 +11,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    from duesight.session import build_session
+    from duesight.session import build_session, prepare
 
     session = build_session(
         "tests",
@@ -23,7 +23,7 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    yield prepare(session)
     session.stop()
 
 

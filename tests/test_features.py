@@ -99,7 +99,8 @@ def test_amounts_stay_without_any_memo(spark):
 
 
 def test_missing_columns_are_typed(spark):
-    bare = spark.createDataFrame([("1", "3-Sep-2017")], "CUSTOMER_TRX_ID string, TRX_DATE string")
+    bare = spark.createDataFrame([("1", "3-Sep-2017", None, None)],
+                                 "CUSTOMER_TRX_ID string, TRX_DATE string, DUE_DATE string, TRX_AMOUNT string")
     row = clean_invoices(bare).first()
     assert row.CUSTOMER_TRX_ID == 1 and row.PARTY_ID is None and row.TRX_DATE == day("2017-09-03")
 

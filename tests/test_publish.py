@@ -93,3 +93,55 @@ def test_reads_only_the_partition(spark, sf_dir):
 
 def test_chart_is_empty_without_a_run(spark, sf_dir):
     assert rp.chart_rows(store(spark, sf_dir).scores, "nobody", SNAPSHOT, "1m").count() == 0
+
+
+def test_an_empty_rerun_serves_no_rows(spark, sf_dir):
+    from duesight.checks.store import store
+    from duesight.operators.scoring import score_table
+    from duesight.schemas import SCORES
+    from duesight.session import scratch_path
+    from duesight.sinks.publish import RunKey, publish_scores, read_table
+
+    rows, path = score_table(store(spark, sf_dir).scored), scratch_path(spark, "rerun")
+    run, other = (RunKey("j", "stacked", "2000-06-30", span, "2000-07-02 06:00:00") for span in ("3m", "6m"))
+    publish_scores(rows, path, run)
+    publish_scores(rows, path, other)
+    publish_scores(rows.limit(0), path, run)
+    assert [r["time_range"] for r in read_table(spark, path, SCORES).select("time_range").distinct().collect()] == ["6m"]
+
+
+def test_thresholds_and_ranges_are_checked(spark, sf_dir):
+    from duesight.functions.risk import checked
+    from duesight.checks.fixtures import raw_tables
+    from duesight.operators.invoices import clean_invoices
+    from duesight.sources.tables import invoices_in_range
+
+    invoice = raw_tables(spark, sf_dir).invoice
+    for low, high in ((0.6, 0.3), (0.3, 0.3), (-0.1, 0.5)):
+        with pytest.raises(ValueError):
+            checked(low, high)
+    for name in ("unknown", "year", "custom"):
+        with pytest.raises(ValueError):
+            invoices_in_range(invoice, name)
+    with pytest.raises(ValueError):
+        clean_invoices(invoice.drop("DUE_DATE"))
+
+
+def test_many_late_batches_are_scored_in_order(spark, sf_dir):
+    """Twelve batches of a moment, each scoring one invoice's party: the last one counts."""
+    import datetime as dt
+
+    from duesight.checks.fixtures import SNAPSHOT, raw_tables
+    from duesight.schemas import SCORES
+    from duesight.session import scratch_path
+    from duesight.sinks.publish import RunKey, latest_per_invoice, read_table
+    from duesight.streaming.receipt_trigger import rescore_batch
+
+    raw, path = raw_tables(spark, sf_dir), scratch_path(spark, "batches")
+    paid = raw.receipt.where("APPLIED_CUSTOMER_TRX_ID IS NOT NULL").orderBy("RECEIPT_DATE", "APPLIED_CUSTOMER_TRX_ID").limit(1)
+    served = RunKey("job", "stacked", SNAPSHOT, "all", "2000-07-01 00:00:00")
+    handle = rescore_batch(lambda: raw, SNAPSHOT, path, served, lambda: dt.datetime(2000, 7, 2))
+    for number in (9, 10, 11, 10):
+        handle(paid, number)
+    rows = latest_per_invoice(read_table(spark, path, SCORES)).select("job_id", "time_range").distinct().collect()
+    assert [(int(r["job_id"].split("-")[1]), r["time_range"]) for r in rows] == [(11, "all")]
