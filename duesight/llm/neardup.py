@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duesight.llm.components import components
+from duesight.llm.components import components, settled
 from duesight.llm.shingles import mix, shingle_sets
 from duesight.session import materialise
 
@@ -133,7 +133,7 @@ def candidates(classes: DataFrame, per_100: int) -> DataFrame:
     for depth in range(SHALLOW, DEPTH + 1):
         name = f"p{depth}"
         counts = rows.groupBy(name).agg(F.count("*").alias("c")).where("c > 1")
-        rows = materialise(rows.join(counts, name), "regions")
+        rows = settled(rows.join(counts, name), "regions")
         found.append(rows.where(F.col("c") <= SMALL).select("id", F.col(name).alias("region")))
         rows = rows.where(F.col("c") > SMALL)
         large = rows.select("id", F.col(name).alias("region"))
@@ -180,13 +180,16 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, per_100: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked: those of the asking sets with all sets, without rings."""
+    """What the links of the asking sets with all sets connect: each set with the smallest id of its part."""
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     joined = np.concatenate(sets)
     order = np.argsort(joined, kind="stable")
     joined, owner = joined[order], owner[order]
-    parent = np.arange(len(sets))
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    parent = np.arange(len(sets))  # by rank of the id, so a root has the smallest
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -194,36 +197,35 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, per_100: i
             i = parent[i]
         return i
 
-    out = []
     for i in np.flatnonzero(asks):
         low, high = np.searchsorted(joined, sets[i], "left"), np.searchsorted(joined, sets[i], "right")
         n = high - low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         common = np.bincount(owner[at], minlength=len(sets))
         for j in np.flatnonzero(100 * common >= per_100 * (size + size[i] - common)):
-            x, y = root(int(i)), root(int(j))
-            if x != y:
-                parent[x] = y
-                out.append((int(ids[i]), int(ids[j])))
-    return out
+            x, y = root(rank[i]), root(rank[j])
+            parent[max(x, y)] = min(x, y)
+    roots = [root(i) for i in range(len(ids))]
+    return [(int(ids[order[i]]), int(ids[order[r]])) for i, r in enumerate(roots) if i != r]
 
 
 def compared(tasks: DataFrame, sets: DataFrame, per_100: int) -> DataFrame:
-    """a, b from (task, id, asks): within each task the asking classes are compared with all."""
+    """a, b, whole from (task, id, asks): in each task the asking classes are compared with all, and each gets the
+    smallest id of its part; `whole` says that the task had whole groups, so that the part is a component."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         links = linked(group["id"].to_numpy(), [unpacked(s) for s in group["shingles"]], group["asks"].to_numpy(), per_100)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64").assign(whole=group["task"].iloc[0][0] == "s")
 
     # A task holds two blocks at most.
-    return tasks.join(sets, "id").groupBy("task").applyInPandas(run, "a long, b long")
+    return tasks.join(sets, "id").groupBy("task").applyInPandas(run, "a long, b long, whole boolean")
 
 
-def links(docs: DataFrame, classes: DataFrame, width: int, per_100: int) -> DataFrame:
-    """a, b: links between classes that connect all that is linked."""
-    groups = materialise(components(candidates(classes, per_100)), "groups")
+def connected(docs: DataFrame, classes: DataFrame, width: int, per_100: int) -> DataFrame:
+    """node, component: for the classes with links, but the first of each component."""
+    groups = components(candidates(classes, per_100))
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    groups = materialise(groups.join(sizes, "component").select(
+    groups = settled(groups.join(sizes, "component").select(
         F.col("node").alias("id"), "component", "size",
         F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).alias("block")), "groups")
     sets = materialise(sets_of(docs, groups.select("id"), width), "sets")
@@ -239,22 +241,24 @@ def links(docs: DataFrame, classes: DataFrame, width: int, per_100: int) -> Data
     own = large.select(name("block").alias("task"), "id", F.lit(True).alias("asks"))
     lent = large.where("block = 0").select("component", "id").join(
         blocks.where("block > 0"), "component").select(name("block").alias("task"), "id", F.lit(False).alias("asks"))
-    first = materialise(compared(small.union(own).union(lent), sets, per_100), "links")
+    first = settled(compared(small.union(own).union(lent), sets, per_100), "links")
+    alone = first.where("whole").select(F.col("a").alias("node"), F.col("b").alias("component"))
     if large.isEmpty():
-        return first
+        return alone
+    first = first.where("NOT whole")
     found = components(first).withColumnRenamed("component", "part")
-    parts = materialise(large.join(found, F.col("id") == F.col("node"), "left").select(
+    parts = settled(large.join(found, F.col("id") == F.col("node"), "left").select(
         "component", "id", "block", F.coalesce("part", "id").alias("part")), "parts")
     sizes = parts.groupBy("component", "part").agg(F.count("*").alias("n"))
     main = sizes.groupBy("component").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    left = materialise(parts.join(main, "component").where("part != main").select("component", "id"), "left")
+    left = settled(parts.join(main, "component").where("part != main").select("component", "id"), "left")
     per = left.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
     left = left.join(per, "component").select("component", "id", F.pmod(F.xxhash64("id", F.lit(1)), "cuts").alias("cut"))
     cuts = left.select("component", "cut").distinct()
     asks = left.join(blocks, "component").select(name("block", "cut").alias("task"), "id", F.lit(True).alias("asks"))
     told = large.join(cuts, "component").select(name("block", "cut").alias("task"), "id", F.lit(False).alias("asks"))
     both = asks.union(told).groupBy("task", "id").agg(F.max("asks").alias("asks"))
-    return first.union(compared(both, sets, per_100))
+    return alone.union(components(first.union(compared(both, sets, per_100))))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, per_100: int = 80) -> DataFrame:
@@ -269,7 +273,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_100: int = 80) -> DataF
             F.min(F.struct("doc_id", "n", "signature")).alias("first")).select(
             "key", F.col("first.doc_id").alias("id"), F.col("first.n").alias("n"), F.col("first.signature").alias("signature")),
         "classes")
-    found = components(links(docs, classes, width, per_100))
+    found = connected(docs, classes, width, per_100)
     labels = classes.select("key", "id").join(found, F.col("id") == F.col("node"), "left").select(
         "key", F.coalesce("component", "id").alias("component_id"))
     full = F.col("n") > 0
