@@ -186,7 +186,7 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
         width = (high - low) / 4096
         # At most 4097 rows.
         found = df.where(F.col(column).between(low, high)).groupBy(
-            F.floor((F.col(column) - low) / F.lit(width)).alias("b")).agg(
+            F.floor((F.col(column).cast("double") - low) / F.lit(width)).alias("b")).agg(
             F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).orderBy(F.desc("b")).collect()
         for r in found:
             if left <= r["n"]:

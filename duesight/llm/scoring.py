@@ -10,7 +10,8 @@ of a text its share of the corpus.
 
 The pairs of each document, counted within it, go to the partition of their
 hash; there they are counted over the corpus, each count is joined back to the
-documents' pairs, and the logarithms are summed, by document. A pair that makes
+documents' pairs, and the logarithms are summed, by document. A task deals its
+documents in blocks, and the sums of a block meet again in one place. A pair that makes
 up a thousandth of all pairs or more (there are a thousand of them at most) is
 counted beforehand and never moves, so no partition is crowded.
 
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duesight.llm.quality import kth_largest
 from duesight.llm.shingles import LETTERS_AND_SIGNS, batches, hashed_words, mix
 from duesight.session import materialise
 
@@ -103,8 +105,15 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, most: int = WORDS) -> Vocabulary:
     total = counts.agg(F.sum("n")).first()[0] or 0
+    least = kth_largest(counts, "n", most)
+    if least is not None:
+        ties = counts.where(F.col("n") == least).select("*", F.bitwise_not("word").alias("order"))
+        last = kth_largest(ties, "order", most - counts.where(F.col("n") > least).count())
+        chosen = F.col("n") > least
+        counts = counts.where(chosen if last is None else chosen | (F.col("n") == least) & (F.bitwise_not("word") >= last))
+        counts = counts if last is not None else counts.union(ties.select("word", "n"))
     # At most `most` rows of 16 bytes.
-    top = counts.orderBy(F.desc("n"), "word").limit(most).toPandas()
+    top = counts.toPandas()
     return Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total)
 
 
@@ -155,13 +164,13 @@ def pair_scores(pair: np.ndarray, count: np.ndarray, words: Vocabulary) -> np.nd
 
 def dealt(docs: DataFrame, words: Vocabulary, frequent: tuple[np.ndarray, np.ndarray], partitions: int) -> DataFrame:
     """Blocks of pairs for each partition: pair (5 bytes), document of the block, times; or sums that are known already."""
-    schema = "p int, ids binary, pairs binary, owners binary, times binary, sums binary, words binary"
+    schema = "p int, block long, ids binary, pairs binary, owners binary, times binary, sums binary, words binary"
     hot, hot_counts = frequent
     hot_scores = pair_scores(hot, hot_counts, words)
 
     def block(ids, doc, pair, sums, n_words, number):
         """What a task has gathered, as rows."""
-        yield number % partitions, ids.tobytes(), b"", b"", b"", sums.tobytes(), n_words.tobytes()
+        yield number % partitions, number, ids.tobytes(), b"", b"", b"", sums.tobytes(), n_words.tobytes()
         order = np.lexsort((doc, pair))
         doc, pair = doc[order], pair[order]
         new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])])) if len(doc) else []
@@ -173,20 +182,20 @@ def dealt(docs: DataFrame, words: Vocabulary, frequent: tuple[np.ndarray, np.nda
         ends = np.flatnonzero(np.concatenate([place[1:] != place[:-1], [True]])) + 1 if len(place) else []
         begin = 0
         for end in ends:
-            own, owner = np.unique(doc[begin:end], return_inverse=True)
             packed = pair[begin:end].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-            yield (int(place[begin]), ids[own].tobytes(), packed, owner.astype("<u2").tobytes(),
+            yield (int(place[begin]), number, b"", packed, doc[begin:end].astype("<u2").tobytes(),
                    times[begin:end].astype("<u4").tobytes(), b"", b"")
             begin = end
 
     def run(parts):
         from pyspark import TaskContext
 
-        number, ids, docs_, pairs, sums, counts, size, n = TaskContext.get().partitionId(), [], [], [], [], [], 0, 0
+        # Blocks are numbered task by task.
+        number, ids, docs_, pairs, sums, counts, size, n = TaskContext.get().partitionId() << 24, [], [], [], [], [], 0, 0
 
         def rows():
             columns = list(zip(*block(*(np.concatenate(x) for x in (ids, docs_, pairs, sums, counts)), number)))
-            types = [pa.int32(), *[pa.binary()] * 6]
+            types = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)],
                                    names=[c.split()[0] for c in schema.split(", ")])
 
@@ -230,10 +239,9 @@ def scored(docs: DataFrame, most: int = WORDS, partitions: int | None = None) ->
     blocks = dealt(docs, words, frequent_pairs(docs, words), partitions)
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        known = group[group["sums"].str.len() > 0]
-        out = [(np.frombuffer(i, np.int64), np.frombuffer(s, float), np.frombuffer(w, np.int64))
-               for i, s, w in zip(known["ids"], known["sums"], known["words"])]
-        rest = group[group["pairs"].str.len() > 0]
+        """Sums by block: its documents' numbers with their sums, or what was known from the start."""
+        known, rest = group[group["ids"].str.len() > 0], group[group["pairs"].str.len() > 0]
+        out = known[["block", "ids", "owners", "sums", "words"]]
         if len(rest):
             raw = np.frombuffer(b"".join(rest["pairs"]), np.uint8).reshape(-1, 5)
             pair = np.zeros((len(raw), 8), np.uint8)
@@ -242,17 +250,26 @@ def scored(docs: DataFrame, most: int = WORDS, partitions: int | None = None) ->
             times = np.frombuffer(b"".join(rest["times"]), "<u4").astype(np.int64)
             unique, at = np.unique(pair, return_inverse=True)
             scores = pair_scores(unique, np.bincount(at, times).astype(np.int64), words)[at] * times
-            begin = 0
-            for i, o in zip(rest["ids"], rest["owners"]):
-                ids, owner = np.frombuffer(i, np.int64), np.frombuffer(o, "<u2")
-                sums = np.bincount(owner, scores[begin : begin + len(owner)], len(ids))
-                out.append((ids, sums, np.zeros(len(ids), np.int64)))
+            rows, begin = [], 0
+            for number, o in zip(rest["block"], rest["owners"]):
+                own, owner = np.unique(np.frombuffer(o, "<u2"), return_inverse=True)
+                rows.append((number, b"", own.tobytes(), np.bincount(owner, scores[begin : begin + len(owner)]).tobytes(), b""))
                 begin += len(owner)
-        ids, sums, n = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"doc_id": ids, "s": sums, "n": n})
+            out = pd.concat([out, pd.DataFrame(rows, columns=out.columns)])
+        return out
 
-    # A group holds PER_PARTITION pairs or so: frequent ones have been taken out.
-    sums = blocks.groupBy("p").applyInPandas(join, "doc_id long, s double, n long").groupBy("doc_id").agg(
+    def total(group: pd.DataFrame) -> pd.DataFrame:
+        first = group[group["ids"].str.len() > 0].iloc[0]
+        sums = np.frombuffer(first["sums"], float).copy()
+        for owners, s in zip(group["owners"], group["sums"]):
+            if owners:
+                sums[np.frombuffer(owners, "<u2")] += np.frombuffer(s, float)
+        return pd.DataFrame({"doc_id": np.frombuffer(first["ids"], np.int64), "s": sums,
+                             "n": np.frombuffer(first["words"], np.int64)})
+
+    # A partition holds PER_PARTITION pairs or so, as frequent ones have been taken out; a block GATHERED at most.
+    sums = blocks.groupBy("p").applyInPandas(join, "block long, ids binary, owners binary, sums binary, words binary").groupBy(
+        "block").applyInPandas(total, "doc_id long, s double, n long").groupBy("doc_id").agg(
         F.sum("n").alias("n_words"), F.round(F.sum("s"), 6).alias("log_score"))
     return sums.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_words", "log_score",
                        F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("per_word"))
