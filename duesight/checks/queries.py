@@ -738,6 +738,24 @@ def _retain(ctx: Context) -> DataFrame:
     return pb.read_table(ctx.spark, path, SCORES)
 
 
+def _retain_in_place(ctx: Context) -> DataFrame:
+    path = ctx.path("retained-in-place")
+    pb.rewrite(ctx.store.scores, path)
+    pb.drop_expired(ctx.spark, path, SCORES, "2000-07-02 07:30:00", 1)
+    return pb.read_table(ctx.spark, path, SCORES)
+
+
+def _page_after(ctx: Context) -> DataFrame:
+    """The third page, from the last row of the second."""
+    order = rp.sort_order("TRX_AMOUNT", "desc", rp.SCORE_SORT, ["CUSTOMER_TRX_ID"])
+    last = rp.page_of(ctx.store.scored, order, 2).collect()[-1].asDict()
+    return rp.page_after(ctx.store.scored, last, "TRX_AMOUNT", "desc", rp.SCORE_SORT, ["CUSTOMER_TRX_ID"])
+
+
+add("page_after", f"{ID} TRX_AMOUNT:f prob_bad_debt:f", _page_after,
+    "SELECT * FROM scored ORDER BY TRX_AMOUNT DESC NULLS LAST, CUSTOMER_TRX_ID LIMIT 50 OFFSET 100")
+
+
 def _cascade(ctx: Context) -> DataFrame:
     """Runs, score rows and risk rows that survive, counted per job."""
     runs = ct_runs(ctx)
@@ -777,6 +795,7 @@ add("replace_partition_custom", PUBLISHED_COLS, _publish_custom,
 add("publish_customer_risk", RISK_COLS + " job_id:s model_key:s snapshot_date:d time_range:s", _publish_risk,
     _published_sql("true", "job-x", "2000-07-02 06:00:00", "3m", source="cust_risk"))
 add("retain_published", PUBLISHED_COLS, _retain, "SELECT * FROM pub WHERE published_at >= TIMESTAMP '2000-07-01 07:30:00'")
+add("retain_in_place", PUBLISHED_COLS, _retain_in_place, "SELECT * FROM pub WHERE published_at >= TIMESTAMP '2000-07-01 07:30:00'")
 add("retain_runs_cascade", "job_id:s tab:s n:i", _cascade, """
 SELECT job_id, 'runs' AS tab, 1 AS n FROM (SELECT DISTINCT job_id FROM pub_risk WHERE published_at >= TIMESTAMP '2000-07-01 07:30:00')
 UNION ALL SELECT job_id, 'scores', count(*) FROM pub WHERE job_id IN (SELECT job_id FROM pub_risk WHERE published_at >= TIMESTAMP '2000-07-01 07:30:00') GROUP BY 1

@@ -22,6 +22,7 @@ from duesight.session import materialise
 from duesight.settings import KEEP_PUBLISHED_DAYS, KEEP_RUN_DAYS, THRESHOLD_HIGH, THRESHOLD_LOW
 from duesight.sinks.publish import (
     RunKey,
+    drop_expired,
     publish_customer_risk,
     publish_scores,
     read_table,
@@ -94,6 +95,7 @@ def run_snapshot(
     models: Mapping[str, Model] | None = None,
     replace: bool = True,
     runs_path: str | None = None,
+    keep_published_days: int | None = None,
     year: int | None = None,
     low: float = THRESHOLD_LOW,
     high: float = THRESHOLD_HIGH,
@@ -102,6 +104,7 @@ def run_snapshot(
 
     The scored rows are written out once and feed both result tables. The row is
     appended to the run catalogue at `runs_path`, once both tables are published.
+    With `keep_published_days` older score rows go then.
     """
     began = time.time()
     key = resolve_model_key(model_key)
@@ -131,6 +134,8 @@ def run_snapshot(
     found = spark.createDataFrame([row], RUNS)
     if runs_path is not None:
         found.coalesce(1).write.mode("append").parquet(runs_path)
+    if keep_published_days is not None:
+        drop_expired(spark, scores_path, SCORES, published_at, keep_published_days)
     return found
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +108,28 @@ def page_of(rows: DataFrame, order: list[Column], page: int = 1, size: int = PAG
     return rows.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_after(
+    rows: DataFrame, last: Mapping[str, object], sort_by: str, direction: str, allowed: list[str], ties: list[str],
+    size: int = PAGE_SIZE,
+) -> DataFrame:
+    """The page after the row `last` in the order of sort_order. However deep it is, a task keeps `size` rows."""
+    if not 1 <= size <= MAX_PAGE_SIZE:
+        raise ValueError(f"size must be within 1..{MAX_PAGE_SIZE}")
+    name = sort_by if sort_by in allowed else allowed[0]
+    names = [name, *[c for c in ties if c != name]]
+    later, same = F.lit(False), F.lit(True)
+    for k, c in enumerate(names):
+        rising, value = k > 0 or direction.lower() == "asc", last[c]
+        # Missing values come first in rising order, last in falling.
+        if value is None:
+            beyond = F.col(c).isNotNull() if rising else F.lit(False)
+        else:
+            beyond = F.col(c) > F.lit(value) if rising else (F.col(c) < F.lit(value)) | F.col(c).isNull()
+        later = later | (same & beyond)
+        same = same & F.col(c).eqNullSafe(F.lit(value))
+    return rows.where(later).orderBy(*sort_order(sort_by, direction, allowed, ties)).limit(size)
+
+
 def page_totals(rows: DataFrame, page: int = 1, size: int = PAGE_SIZE) -> DataFrame:
     total = F.count("*")
     return rows.agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from duesight.functions.cleaning import finite
 from duesight.schemas import CUSTOMER_RISK, PARTITION, SCORES
+from duesight.session import materialise
 
 
 @dataclass(frozen=True)
@@ -60,17 +62,16 @@ def _write(rows: DataFrame, path: str, replace: bool) -> None:
         writer.mode("append").parquet(path)
 
 
-def drop_partition(spark: SparkSession, path: str, run: RunKey) -> None:
+def drop_partition(spark: SparkSession, path: str, values: dict) -> None:
     """Remove the partition of a run, as a rerun without rows replaces nothing by itself."""
-    values = {n: getattr(run, n) for n in PARTITION}
-    folder = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{n}={v}" for n, v in values.items())]))
+    folder = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{n}={values[n]}" for n in PARTITION)]))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _publish(rows: DataFrame, path: str, run: RunKey, replace: bool) -> None:
     _write(rows, path, replace)
     if replace and rows.isEmpty():
-        drop_partition(rows.sparkSession, path, run)
+        drop_partition(rows.sparkSession, path, {n: getattr(run, n) for n in PARTITION})
 
 
 def publish_scores(scored: DataFrame, path: str, run: RunKey, replace: bool = True) -> None:
@@ -119,6 +120,26 @@ def retain_published(rows: DataFrame, as_of: str, keep_days: int) -> DataFrame:
     return rows.where(F.coalesce(~old, F.lit(True)))
 
 
+def drop_expired(spark: SparkSession, path: str, schema: T.StructType, as_of: str, keep_days: int) -> None:
+    """retain_published in place: partitions that are old as a whole go, and only those that appends have mixed are rewritten."""
+    if keep_days < 0:
+        return
+    rows = read_table(spark, path, schema)
+    cutoff = _cutoff(as_of, keep_days)
+    # One row per partition, that is, per published run.
+    found = rows.groupBy(*PARTITION).agg(
+        F.coalesce(F.max("published_at") < cutoff, F.lit(False)).alias("whole"),
+        F.coalesce(F.min("published_at") < cutoff, F.lit(False)).alias("part"),
+        F.count_if(F.col("published_at").isNull()).alias("undated")).where("part").collect()
+    for r in found:
+        if r["whole"] and not r["undated"]:
+            drop_partition(spark, path, r.asDict())
+        else:
+            same = [F.col(n).eqNullSafe(F.lit(r[n])) for n in PARTITION]
+            mixed = retain_published(rows.where(reduce(lambda a, b: a & b, same)), as_of, keep_days)
+            _write(materialise(mixed, "retained"), path, True)
+
+
 def expired_runs(runs: DataFrame, as_of: str, keep_days: int) -> DataFrame:
     return runs.where(F.col("started_at") < _cutoff(as_of, keep_days))
 
