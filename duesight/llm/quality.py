@@ -83,8 +83,10 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     verdict = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         ((F.min("quality") > 0) & (F.max("toxic") == 0)).alias("good"))
     hashed = docs.select("doc_id", F.xxhash64("text").alias("h"))
-    chosen = (hashed.join(verdict, "doc_id").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min("good").alias("good"))
-              .orderBy("h").limit(rows).select("doc_id", "good"))
+    known = materialise(hashed.join(verdict, "doc_id").groupBy(F.bitwise_not("h").alias("order")).agg(
+        F.min("doc_id").alias("doc_id"), F.min("good").alias("good")), "labelled")
+    least = kth_largest(known, "order", rows)
+    chosen = (known if least is None else known.where(F.col("order") >= least)).select("doc_id", "good")
     # At most `rows` rows of 9 bytes.
     return docs.select("doc_id", "text").join(F.broadcast(materialise(chosen, "fitted")), "doc_id")
 
