@@ -13,6 +13,7 @@ from duesight.settings import DEFAULT_MODEL_KEY, FEATURES, MODEL_KEYS, SCORECARD
 
 Weights = Mapping[str, tuple[float, float, float]]
 
+# Columns of a scored table, in order.
 SCORE_COLUMNS = [
     "ACCOUNT_NUMBER",
     "CUSTOMER_NAME",

@@ -47,7 +47,7 @@ CUSTOMER = _struct(
     "CUSTOMER_NAME string, BU_NAME string"
 )
 
-# Published invoice scores; the last columns say which run they belong to.
+# Published invoice scores; the last columns say which run they belong to.
 SCORES = _struct(
     "ACCOUNT_NUMBER string, CUSTOMER_NAME string, SBU string, CUSTOMER_TRX_ID bigint, "
     "TRX_DATE date, DUE_DATE date, days_to_due bigint, TRX_AMOUNT_GROSS double, "
@@ -57,6 +57,7 @@ SCORES = _struct(
     "model_key string, snapshot_date date, time_range string, date_window string"
 )
 
+# Published customer risk.
 CUSTOMER_RISK = _struct(
     "PARTY_ID bigint, ACCOUNT_NUMBER string, CUSTOMER_NAME string, "
     "cust_score_max double, cust_score_mean double, cust_score_wavg_amount double, "
