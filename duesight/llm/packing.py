@@ -35,7 +35,7 @@ GROUPS = 48
 #: Lengths above a share of the capacity are grouped; smaller ones fill gaps. The better of these shares counts.
 LARGE = (1 / 3, 1 / 2)
 #: Words a task remembers.
-REMEMBERED = 900_000
+REMEMBERED = 1_200_000
 
 #: Texts of other characters, or with a special token in them, go through the tokenizer whole.
 _ODD = re.compile(r"<\||[^\t\n\r\x20-\x7eÀ-ÿ]")
@@ -58,23 +58,29 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # Words and parts of words; when there are many, only those that occur again stay.
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
-            self.parts.clear()
+    def learn(self, words: set[str], forget: bool = True) -> None:
+        if forget and len(self.words) + len(words) > REMEMBERED // 2:
+            self.old, self.words = self.words, {}
+        again = words.intersection(self.old)
+        self.words.update({w: self.old[w] for w in again})
+        words = words - again
         plain = {}
         for w in words:
             if "'" in w:
                 self.words[w] = self.whole(w)
             else:
                 plain[w] = _PART.findall(w)
-        new = {p for parts in plain.values() for p in parts}.difference(self.parts)
+        new = {p for parts in plain.values() for p in parts}.difference(self.words)
+        again = new.intersection(self.old)
+        self.words.update({p: self.old[p] for p in again})
+        new -= again
         letters = [p for p in new if _LETTERS.match(p)]
         if letters:
             ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
@@ -83,11 +89,11 @@ class WordTokens:
                 raise ValueError("this tokenizer doesn't mark the ends of words")
             data, begin = ids.tobytes(), 0
             for p, stop in zip(letters, stops.tolist()):
-                self.parts[p], begin = data[begin:stop], stop
+                self.words[p], begin = data[begin:stop], stop
         for p in new:
-            if p not in self.parts:
-                self.parts[p] = self.whole(p)
-        get = self.parts.__getitem__
+            if p not in self.words:
+                self.words[p] = self.whole(p)
+        get = self.words.__getitem__
         for w, parts in plain.items():
             self.words[w] = b"".join(map(get, parts))
 
@@ -99,8 +105,8 @@ class WordTokens:
         get = self.words.__getitem__
         try:
             return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
-        except KeyError:  # learning forgot the earlier words
-            self.learn(set().union(*filter(None, split)).difference(self.words))
+        except KeyError:  # learning put earlier words aside
+            self.learn(set().union(*filter(None, split)).difference(self.words), forget=False)
             return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
 

@@ -63,7 +63,7 @@ def hashed_words(texts, kinds: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarr
     return hashes, np.searchsorted(begin, np.concatenate([[0], np.cumsum(sizes)]))
 
 
-def batches(texts, most: int = 1 << 21):
+def batches(texts, most: int = 1 << 19):
     """Index ranges of about `most` characters each."""
     start = size = 0
     for i, t in enumerate(texts):
