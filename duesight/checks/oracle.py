@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from duesight.settings import ACTIONS, COVER_DAYS, FEATURES, SCORECARD
+from duesight.settings import ACTIONS, COVER_DAYS, SCORECARD
 
 SNAP = "DATE '2000-06-30'"
 CTES: dict[str, str] = {}

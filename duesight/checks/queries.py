@@ -37,7 +37,7 @@ from duesight.plans import jobs as jb
 from duesight.plans import reports as rp
 from duesight.schemas import CUSTOMER_RISK, SCORES
 from duesight.session import materialise, prepare, scratch_path
-from duesight.settings import COLD_START, FEATURES, SCORECARD
+from duesight.settings import COLD_START, SCORECARD
 from duesight.sinks import publish as pb
 from duesight.sources import files as sf
 from duesight.sources import tables as tb

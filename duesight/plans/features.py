@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from duesight.functions.cleaning import holds, midnight, plus_days
 from duesight.operators.customers import attach_customers, base_invoices
-from duesight.operators.features import asof_columns, pre_due_columns, window_columns
+from duesight.operators.features import asof_columns, pre_due_columns
 from duesight.operators.history import POOLED, invoice_history, party_history, pooled_history
 from duesight.operators.invoices import clean_invoices, invoice_core
 from duesight.operators.receipts import PAYMENT_FACTS, base_payments, payment_facts
