@@ -1,18 +1,17 @@
 """Stupid-backoff scores of documents under a word-pair model of the whole corpus.
 
-Three tables of counts are made of all documents: words; pairs of very frequent
-words; and all other pairs, which are counted where they meet. The `WORDS` most
-frequent words (equally frequent ones by hash) are the vocabulary, and all
-others are one unknown word, so the vocabulary that every task gets has a fixed
-bound. A pair seen at least `SEEN` times scores count(pair) / count(first word),
+Words are counted by their 64-bit hash, in a Spark table of all words of the
+corpus. A pair seen at least `SEEN` times scores count(pair) / count(first word),
 another `BACKOFF` * count(second word) / words in the corpus, and the first word
 of a text its share of the corpus.
 
-The pairs of each document, counted within it, go to the partition of their
-hash; there they are counted over the corpus, each count is joined back to the
-documents' pairs, and the logarithms are summed, by document. A task deals its
-documents in blocks, and the sums of a block meet again in one place. A pair that makes
-up a thousandth of all pairs or more (there are a thousand of them at most) is
+Pairs become rows (document, first word, second word, times), once for each
+document, and go to the partition of their pair, where a window adds up their
+count. The word whose count decides is joined by its hash. Only words that make
+up `COMMON` of the corpus or more (there are 1 / `COMMON` at most) are known to
+all tasks; they have short numbers in place of their hashes, and their counts are
+joined by broadcast. All others stay in the table. A pair that makes up a
+thousandth of all pairs or more (there are a thousand of them at most) is
 counted beforehand and never moves, so no partition is crowded.
 
 Words are runs of letters and digits, or of other signs, without regard to
@@ -26,16 +25,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duesight.llm.quality import kth_largest
 from duesight.llm.shingles import LETTERS_AND_SIGNS, batches, hashed_words, mix
 from duesight.session import materialise
 
-WORDS = 1 << 18
+#: Words of the vocabulary: all. A caller may ask for fewer; the others are one unknown word then.
+WORDS = None
+#: Share of all words from which a word is known to all tasks.
+COMMON = 1 / (1 << 20)
+#: A pair counted less often is scored as never seen: a document's own pair is no evidence for it.
 SEEN = 2
 BACKOFF = 0.4
 #: Share of all words, or pairs, from which one is frequent.
@@ -45,6 +47,8 @@ PER_PARTITION = 2_000_000
 #: Words that a task gathers before it deals out their pairs.
 GATHERED = 4_000_000
 NO_ID = -(1 << 63)
+#: First words of rows that are no pairs: a sum known already, a number of words, the first word of a text.
+KNOWN, LENGTH, START = -1, -2, -3
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -77,9 +81,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Numbers of words by their hash, counts by number; the last number is the unknown word's."""
+    """Numbers of words by their hash, counts by number; the last number is that of all other words.
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
+    If it is `open` these are told apart by their hash, else they are one unknown word.
+    """
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, open: bool = False):
+        self.open = open
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.counts = np.append(counts[order], total - int(counts.sum()))
@@ -103,8 +111,12 @@ class Vocabulary:
         return out
 
 
-def vocabulary(counts: DataFrame, most: int = WORDS) -> Vocabulary:
+def vocabulary(counts: DataFrame, most: int | None = WORDS) -> Vocabulary:
     total = counts.agg(F.sum("n")).first()[0] or 0
+    if most is None:
+        # At most 1 / COMMON rows of 16 bytes.
+        top = counts.where(F.col("n") >= COMMON * total).toPandas()
+        return Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total, open=True)
     least = kth_largest(counts, "n", most)
     if least is not None:
         ties = counts.where(F.col("n") == least).select("*", F.bitwise_not("word").alias("order"))
@@ -117,11 +129,20 @@ def vocabulary(counts: DataFrame, most: int = WORDS) -> Vocabulary:
     return Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total)
 
 
-def numbered(texts: list[str | None], words: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, last, numbers of their words, where each text's words begin) by batches."""
+def numbered(texts: list[str | None], words: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, last, numbers of their words, their keys, where each text's words begin) by batches.
+
+    The key of a word is its number, or if it has none its hash below zero.
+    """
     for a, b in batches(texts):
         hashes, starts = hashed_words(texts[a:b], LETTERS_AND_SIGNS)
-        yield a, b, words.numbers(hashes), starts
+        numbers = words.numbers(hashes)
+        keys = np.where(numbers == words.unknown, rare_key(hashes), numbers) if words.open else numbers
+        yield a, b, numbers, keys, starts
+
+
+def rare_key(hashes: np.ndarray) -> np.ndarray:
+    return hashes.view(np.int64) | np.int64(-(1 << 63))
 
 
 def pairs_of(numbers: np.ndarray, starts: np.ndarray, unknown: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +155,8 @@ def pairs_of(numbers: np.ndarray, starts: np.ndarray, unknown: int) -> tuple[np.
 def frequent_pairs(docs: DataFrame, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Sorted pairs with their counts: all that make up FREQUENT of the pairs (and so consist of frequent words)."""
     often = np.flatnonzero(words.counts >= FREQUENT * words.total)
+    if words.open:
+        often = often[often != words.unknown]
     place = np.full(words.unknown + 1, -1)
     place[often] = np.arange(len(often))
     base = words.unknown + 1
@@ -141,7 +164,7 @@ def frequent_pairs(docs: DataFrame, words: Vocabulary) -> tuple[np.ndarray, np.n
     def run(parts):
         table = np.zeros((len(often), len(often)), np.int64)
         for part in parts:
-            for _, _, numbers, starts in numbered(part.column("text").to_pylist(), words):
+            for _, _, numbers, _, starts in numbered(part.column("text").to_pylist(), words):
                 _, pair = pairs_of(place[numbers], starts, len(often))
                 first, second = pair // (len(often) + 1), pair % (len(often) + 1)
                 # A place of -1 shows as the end of the row before.
@@ -162,114 +185,89 @@ def pair_scores(pair: np.ndarray, count: np.ndarray, words: Vocabulary) -> np.nd
                     np.log(BACKOFF) + np.log(np.maximum(words.counts[second], 1)) - np.log(max(words.total, 1)))
 
 
-def dealt(docs: DataFrame, words: Vocabulary, frequent: tuple[np.ndarray, np.ndarray], partitions: int) -> DataFrame:
-    """Blocks of pairs for each partition: pair (5 bytes), document of the block, times; or sums that are known already."""
-    schema = "p int, block long, ids binary, pairs binary, owners binary, times binary, sums binary, words binary"
+def pair_rows(docs: DataFrame, words: Vocabulary, frequent: tuple[np.ndarray, np.ndarray], rare: bool) -> DataFrame:
+    """doc_id, a, b (keys of words), x (times) for each pair of a document.
+
+    The pairs with a rare word, or the others with what is known of each document.
+    """
     hot, hot_counts = frequent
     hot_scores = pair_scores(hot, hot_counts, words)
 
-    def block(ids, doc, pair, sums, n_words, number):
-        """What a task has gathered, as rows."""
-        yield number % partitions, number, ids.tobytes(), b"", b"", b"", sums.tobytes(), n_words.tobytes()
-        order = np.lexsort((doc, pair))
-        doc, pair = doc[order], pair[order]
-        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])])) if len(doc) else []
-        times = np.diff(np.append(new, len(doc)))
-        doc, pair = doc[new], pair[new]
-        place = (mix(pair.view(np.uint64)) % np.uint64(partitions)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        doc, pair, times, place = doc[order], pair[order], times[order], place[order]
-        ends = np.flatnonzero(np.concatenate([place[1:] != place[:-1], [True]])) + 1 if len(place) else []
-        begin = 0
-        for end in ends:
-            packed = pair[begin:end].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-            yield (int(place[begin]), number, b"", packed, doc[begin:end].astype("<u2").tobytes(),
-                   times[begin:end].astype("<u4").tobytes(), b"", b"")
-            begin = end
-
     def run(parts):
-        from pyspark import TaskContext
-
-        # Blocks are numbered task by task.
-        number, ids, docs_, pairs, sums, counts, size, n = TaskContext.get().partitionId() << 24, [], [], [], [], [], 0, 0
-
-        def rows():
-            columns = list(zip(*block(*(np.concatenate(x) for x in (ids, docs_, pairs, sums, counts)), number)))
-            types = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)],
-                                   names=[c.split()[0] for c in schema.split(", ")])
-
         for part in parts:
-            keys = np.array([NO_ID if i is None else i for i in part.column("doc_id").to_pylist()], np.int64)
+            ids = np.array([NO_ID if i is None else i for i in part.column("doc_id").to_pylist()], np.int64)
             texts = part.column("text").to_pylist()
-            for a, b, numbers, starts in numbered(texts, words):
-                lengths = np.diff(starts)
+            for at, end, numbers, keys, starts in numbered(texts, words):
+                n, lengths = end - at, np.diff(starts)
                 doc, pair = pairs_of(numbers, starts, words.unknown)
-                first = np.zeros(b - a)
-                full = lengths > 0
-                first[full] = np.log(words.counts[numbers[starts[:-1][full]]]) - np.log(words.total)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, pair), len(hot) - 1)
-                    known = hot[at] == pair
-                    first += np.bincount(doc[known], hot_scores[at[known]], b - a)
-                    doc, pair = doc[~known], pair[~known]
-                # A block's documents have numbers of two bytes.
-                for low in range(0, b - a, 60_000):
-                    high = min(low + 60_000, b - a)
-                    if n and (n + high - low > 65_000 or size > GATHERED):
-                        yield rows()
-                        number, ids, docs_, pairs, sums, counts, size, n = number + 1, [], [], [], [], [], 0, 0
-                    mine = (doc >= low) & (doc < high)
-                    ids.append(keys[a + low : a + high])
-                    docs_.append(doc[mine] - low + n)
-                    pairs.append(pair[mine])
-                    sums.append(first[low:high])
-                    counts.append(lengths[low:high].astype(np.int64))
-                    size, n = size + int(mine.sum()), n + high - low
-        if n:
-            yield rows()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-
-
-def scored(docs: DataFrame, most: int = WORDS, partitions: int | None = None) -> DataFrame:
+                inside = np.repeat(np.arange(n), lengths)
+                inside = inside[1:] == inside[:-1]
+                first, second = keys[:-1][inside], keys[1:][inside]
+                scarce = (first < 0) | (second < 0)
+                head, full = np.zeros(n, np.int64), lengths > 0
+                head[full] = keys[starts[:-1][full]]
+                if rare:
+                    mine, at_start = scarce, np.flatnonzero(head < 0)
+                    more = [(at_start, np.full(len(at_start), START), head[at_start], np.ones(len(at_start)))]
+                else:
+                    mine, known = ~scarce, np.zeros(n)
+                    common = full & (head >= 0)
+                    known[common] = np.log(words.counts[head[common]]) - np.log(words.total)
+                    if len(hot):
+                        place = np.minimum(np.searchsorted(hot, pair), len(hot) - 1)
+                        found = hot[place] == pair
+                        known += np.bincount(doc[found], hot_scores[place[found]], n)
+                        mine &= ~found
+                    every, spread = np.arange(n), mix((ids[at:end] + np.arange(n)).view(np.uint64)).view(np.int64)
+                    more = [(every, np.full(n, KNOWN), spread, known),
+                            (every, np.full(n, LENGTH), spread, lengths.astype(float))]
+                doc, first, second = doc[mine], first[mine], second[mine]
+                with np.errstate(over="ignore"):
+                    h = (first.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ second.view(np.uint64)
+                    h = mix(mix(h) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                _, once, times = np.unique(h, return_index=True, return_counts=True)
+                doc, first, second, x = (np.concatenate(c) for c in zip(
+                    (doc[once], first[once], second[once], times.astype(float)), *more))
+                yield pa.record_batch([pa.array(c) for c in (ids[at:end][doc], first, second, x)],
+                                      names=["doc_id", "a", "b", "x"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, a long, b long, x double")
+
+
+def scored(docs: DataFrame, most: int | None = WORDS, partitions: int | None = None) -> DataFrame:
     """doc_id, n_words, log_score, per_word: one row per document."""
-    words = vocabulary(materialise(word_counts(docs), "words"), most)
+    spark = docs.sparkSession
+    counts = materialise(word_counts(docs), "words")
+    words = vocabulary(counts, most)
     partitions = partitions or words.total // PER_PARTITION + 1
-    blocks = dealt(docs, words, frequent_pairs(docs, words), partitions)
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        """Sums by block: its documents' numbers with their sums, or what was known from the start."""
-        known, rest = group[group["ids"].str.len() > 0], group[group["pairs"].str.len() > 0]
-        out = known[["block", "ids", "owners", "sums", "words"]]
-        if len(rest):
-            raw = np.frombuffer(b"".join(rest["pairs"]), np.uint8).reshape(-1, 5)
-            pair = np.zeros((len(raw), 8), np.uint8)
-            pair[:, :5] = raw
-            pair = pair.view("<i8").ravel()
-            times = np.frombuffer(b"".join(rest["times"]), "<u4").astype(np.int64)
-            unique, at = np.unique(pair, return_inverse=True)
-            scores = pair_scores(unique, np.bincount(at, times).astype(np.int64), words)[at] * times
-            rows, begin = [], 0
-            for number, o in zip(rest["block"], rest["owners"]):
-                own, owner = np.unique(np.frombuffer(o, "<u2"), return_inverse=True)
-                rows.append((number, b"", own.tobytes(), np.bincount(owner, scores[begin : begin + len(owner)]).tobytes(), b""))
-                begin += len(owner)
-            out = pd.concat([out, pd.DataFrame(rows, columns=out.columns)])
-        return out
-
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        first = group[group["ids"].str.len() > 0].iloc[0]
-        sums = np.frombuffer(first["sums"], float).copy()
-        for owners, s in zip(group["owners"], group["sums"]):
-            if owners:
-                sums[np.frombuffer(owners, "<u2")] += np.frombuffer(s, float)
-        return pd.DataFrame({"doc_id": np.frombuffer(first["ids"], np.int64), "s": sums,
-                             "n": np.frombuffer(first["words"], np.int64)})
-
-    # A partition holds PER_PARTITION pairs or so, as frequent ones have been taken out; a block GATHERED at most.
-    sums = blocks.groupBy("p").applyInPandas(join, "block long, ids binary, owners binary, sums binary, words binary").groupBy(
-        "block").applyInPandas(total, "doc_id long, s double, n long").groupBy("doc_id").agg(
-        F.sum("n").alias("n_words"), F.round(F.sum("s"), 6).alias("log_score"))
+    frequent, log_total = frequent_pairs(docs, words), float(np.log(max(words.total, 1)))
+    # At most 1 / COMMON rows (or as many as the caller asks for).
+    common = F.broadcast(spark.createDataFrame(
+        pa.table({"key": np.arange(len(words.counts)), "c": np.log(np.maximum(words.counts, 1))})))
+
+    def terms(rows: DataFrame) -> DataFrame:
+        """doc_id, s, n_words, key and how often the logarithm of its count comes to s; c where the key is common."""
+        rows = rows.repartition(partitions, "a", "b").withColumn("n", F.sum("x").over(Window.partitionBy("a", "b")))
+        a, x, plain = F.col("a"), F.col("x"), (F.col("a") == KNOWN) | (F.col("a") == LENGTH)
+        seen = (a != START) & (F.col("n") >= SEEN)
+        s = (F.when(a == KNOWN, x).when(a == LENGTH, 0.0).when(a == START, -x * log_total)
+             .when(seen, x * F.log("n")).otherwise(x * (float(np.log(BACKOFF)) - log_total)))
+        return rows.select("doc_id", s.alias("s"), F.when(a == LENGTH, x).otherwise(0.0).alias("n_words"),
+                           F.when(~plain, F.when(seen, a).otherwise(F.col("b"))).alias("key"),
+                           F.when(plain, 0.0).when(seen, -x).otherwise(x).alias("times")).join(common, "key", "left")
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", "n_words", (F.col("s") + F.col("times") * F.coalesce("c", F.lit(0.0))).alias("s"))
+
+    sums = summed(terms(pair_rows(docs, words, frequent, rare=False)))
+    if words.open:
+        found = terms(pair_rows(docs, words, frequent, rare=True))
+        rest = counts.where(F.col("n") < COMMON * words.total).select(
+            F.col("word").bitwiseOR(F.lit(NO_ID)).alias("key"), F.log("n").alias("own"))
+        # Rows whose key was common join nothing; they are dealt out by document.
+        apart = found.withColumn("key", F.when(F.col("c").isNull(), F.col("key")).otherwise(F.xxhash64("doc_id").bitwiseAND((1 << 63) - 1)))
+        sums = sums.union(summed(apart.join(rest, "key", "left").withColumn("c", F.coalesce("c", "own"))))
+    sums = sums.groupBy("doc_id").agg(F.sum("n_words").cast("long").alias("n_words"), F.round(F.sum("s"), 6).alias("log_score"))
     return sums.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_words", "log_score",
                        F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("per_word"))

@@ -58,3 +58,23 @@ def test_odd_documents(spark, odd, empty):
     assert len(rows) == odd.select("doc_id").distinct().count()
     assert {r["doc_id"]: r["n_words"] for r in rows}[6] == 2
     assert scoring.scored(empty).count() == 0
+
+
+def same_as_brute_force(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = brute(texts, None)
+    found = {r["doc_id"]: r["log_score"] for r in scoring.scored(df).collect()}
+    assert found == {i: pytest.approx(w, abs=1e-3) for i, w in enumerate(want)}
+
+
+def test_more_distinct_words_than_2_to_18_stay_apart(spark):
+    texts = [" ".join(f"w{i * 1000 + j}" for j in range(1000)) + " the end of the text" for i in range(300)]
+    same_as_brute_force(spark, texts + texts[:20])
+
+
+def test_words_that_no_task_knows_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "COMMON", 1 / 100)
+    rng = random.Random(6)
+    vocabulary = prose(10, 400).split()
+    same_as_brute_force(spark, [" ".join(rng.choice(vocabulary[: rng.choice((5, 60, 400))]) for _ in range(rng.randrange(60)))
+                                for _ in range(300)] + ["", vocabulary[-1], vocabulary[-1]])
