@@ -1,7 +1,8 @@
 """Secrets: fixed patterns, and runs of characters that a battery of randomness tests can't tell from chance.
 
 Three patterns give the base spans. Besides, every run of at least 20 key
-characters with a digit in it is tested: its encoding is inferred from its
+characters is tested, wherever it stands and whatever they are ('=' belongs to
+it only as padding at its end): its encoding is inferred from its
 characters, and chi-squared tests of alphabet uniformity, a runs test and a
 serial-correlation test each give a probability. They are combined by Fisher's
 method. Short runs have less power than long ones, so false discoveries are
@@ -30,17 +31,21 @@ ASSIGN = re.compile(
     r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?(?![A-Za-z0-9+/_-])")
 #: Encodings from the narrowest; a run has the first whose alphabet holds it.
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "UPPER": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 #: Bins of -log10 p: a tenth each, up to 30.
 BINS, LAST_BIN = 10, 300
@@ -71,8 +76,14 @@ def uniformity(x: np.ndarray, size: int) -> float:
 
 
 def classes(run: str, alphabet: str) -> float:
-    """Chi-squared test over digits, capitals, small letters and signs, as the alphabet has them."""
-    of = lambda s: np.array([sum(map(str.isdigit, s)), sum(map(str.isupper, s)), sum(map(str.islower, s))])
+    """Chi-squared test over digits, capitals, small letters and signs, as the alphabet has them.
+
+    Letters alone are told apart by vowels, too: words have more of them than chance gives.
+    """
+    kinds = [str.isdigit, str.isupper, str.islower]
+    if alphabet.isalpha():
+        kinds = [lambda c: c in "AEIOU", lambda c: c in "aeiou", lambda c: c.isupper() and c not in "AEIOU"]
+    of = lambda s: np.array([sum(map(k, s)) for k in kinds])
     seen, share = of(run), of(alphabet) / len(alphabet)
     seen, share = np.append(seen, len(run) - seen.sum()), np.append(share, 1 - share.sum())
     seen, share = seen[share > 1e-9], share[share > 1e-9] * len(run)
@@ -127,7 +138,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
     out = []
     for m in RUN.finditer(text):
         run, (start, stop) = m[0], m.span()
-        if not any(map(str.isdigit, run)) or any(a < stop and start < b for _, a, b in base):
+        if any(a < stop and start < b for _, a, b in base):
             continue
         if result := battery(run):
             out.append((start, stop, result[0], min(LAST_BIN, int(-BINS * math.log10(max(result[1], 1e-300))))))

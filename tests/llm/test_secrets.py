@@ -65,3 +65,25 @@ def test_cutoffs_follow_the_step_up_rule():
 def test_odd_documents(spark, odd, empty):
     assert secrets.secret_report(odd).count() == odd.count()
     assert secrets.secret_report(empty).count() == 0
+
+
+def test_every_run_of_key_characters_is_tested():
+    found = lambda text: [text[a:b] for a, b, *_ in secrets.candidates(text, [])]
+    key = "9f8Kq2LmZx71PqWv0TbRnYc4"
+    for text in (f"?sig={key}", f"?sig={key}&x=1", f"?{key}=1", f"AWS_KEY={key}", f"sig: {key}", f"sig=={key}", f"sig={key}==="):
+        assert key in [x.rstrip("=") for x in found(text)], text
+    assert found(f"x={key}== y") == [key + "=="]
+    for key in ("qZxwLkRtVbNmPsDfGhJcYuWe", "mwqzkxvbtrnplsdfghjc", "aB3+/x-Y_9kQz7LmWv0TbRnP", "QWZXKVBTRNPLSDFGHJCM"):
+        assert found(f"sig={key}") == [key]
+
+
+def test_keys_without_digits_or_of_mixed_alphabets_are_found(spark):
+    rng = random.Random(11)
+    made = lambda alphabet: ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(40)]
+    keys = [k for name in ("lower", "letters", "mixed") for k in made(secrets.ALPHABETS[name])]
+    plain = [f"some/long_path-to/a-file_with/plain-{'very-' * (i % 5)}names" for i in range(40)]
+    texts = [f"?sig={k}" for k in keys] + [f"see {w}" for w in plain]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.secret_report(df).collect()}
+    assert sum(found[i] == "random:5:45" for i in range(len(keys))) >= 0.9 * len(keys)
+    assert sum(found[len(keys) + i] != "" for i in range(40)) <= 2
