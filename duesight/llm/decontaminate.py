@@ -1,16 +1,16 @@
-"""Benchmark passages in documents, by spaced seeds.
-
-A seed is a mask over neighbouring words that looks at some positions and
-ignores the others, so that a changed word spoils only the seeds that look at
-it. The hashes of all benchmark positions under each mask form a table; the
-words of every document are hashed in the same way and joined with it. A hit
-says where an item would lie in a document. There the words are compared one by
-one, and the best stretch (a match counts 1, a substitution -2) is an overlap if
-it has `MATCHES` equal words or `SHARE` of the item's words.
-
-Words are runs of letters and digits without regard to case. Items shorter than
-a mask count by their whole sequence of words if they have at least `SHORTEST`;
-shorter ones, empty and null items never match. Null text counts as empty.
+"""Benchmark passages in documents, by seeds of three words.
+
+A hit of a seed says where an item would lie in a document. There the words are
+compared one by one, and the best stretch (a match counts 1, a substitution -2)
+is an overlap if it has `MATCHES` equal words or `SHARE` of the item's words. No
+overlap is without a seed: where no three neighbours are equal, a run of equal
+words never makes up for the substitution before it, so the best stretch has
+two words at most. The hashes of all seeds of the benchmark form a table; those
+of every document are looked up in it.
+
+Words are runs of letters and digits without regard to case. Items of fewer than
+`SHORTEST` words, empty and null ones among them, never match: texts that don't
+quote them hold them, too. Null text counts as empty.
 Every row is looked at; repeated rows have repeated results. The benchmark
 comes to the tasks in blocks of at most `BLOCK` words, one pass for each.
 """
@@ -25,21 +25,22 @@ from pyspark.sql import DataFrame
 
 from duesight.llm.shingles import LETTERS, batches, hashed_words, mix
 
-MASKS = ("11111111", "1101101011011", "110010111010111")
+SEED = 3
 SHORTEST = 5
 MATCHES, SHARE = 13, 0.8
 BLOCK = 500_000
+#: Words that are compared at a time.
+COMPARED = 4_000_000
 
 
-def seeds(words: np.ndarray, mask: str) -> np.ndarray:
-    """The hash under a mask at each position where it fits."""
-    n = len(words) - len(mask) + 1
+def seeds(words: np.ndarray) -> np.ndarray:
+    """The hash of SEED words from each position."""
+    n = len(words) - SEED + 1
     out = np.zeros(max(n, 0), np.uint64)
     if n > 0:
         with np.errstate(over="ignore"):
-            for i, m in enumerate(mask):
-                if m == "1":
-                    out = (out ^ words[i : i + n]) * np.uint64(0xD6E8FEB86659FD93)
+            for i in range(SEED):
+                out = (out ^ words[i : i + n]) * np.uint64(0xD6E8FEB86659FD93)
     return mix(out)
 
 
@@ -49,37 +50,53 @@ class Index:
     def __init__(self, ids: list, texts: list[str]):
         self.ids = ids
         self.words, self.starts = hashed_words(texts, LETTERS)
-        lengths = np.diff(self.starts)
-        self.tables = []
-        short = sorted({int(n) for n in lengths if SHORTEST <= n < len(MASKS[-1])})
-        for mask, exact in [*((m, False) for m in MASKS), *(("1" * n, True) for n in short)]:
-            item = np.repeat(np.arange(len(ids)), lengths)
-            n = max(len(self.words) - len(mask) + 1, 0)
-            item, at = item[:n], np.arange(n) - self.starts[item[:n]]
-            fits = (at == 0) & (lengths[item] == len(mask)) if exact else at + len(mask) <= lengths[item]
-            hashes = seeds(self.words, mask)[fits]
-            order = np.argsort(hashes, kind="stable")
-            hashes, item, at = hashes[order], item[fits][order], at[fits][order]
-            # A bit for each seed rules out most positions at once.
-            size = max(16, int(len(hashes) * 16).bit_length())
-            bits = np.zeros(1 << size, bool)
-            bits[(hashes >> np.uint64(64 - size)).astype(np.int64)] = True
-            if len(hashes):
-                self.tables.append((mask, np.uint64(64 - size), bits, hashes, item, at))
+        self.lengths = np.diff(self.starts)
+        item = np.repeat(np.arange(len(ids)), self.lengths)[: max(len(self.words) - SEED + 1, 0)]
+        at = np.arange(len(item)) - self.starts[item]
+        fits = (at + SEED <= self.lengths[item]) & (self.lengths[item] >= SHORTEST)
+        hashes = seeds(self.words)[fits]
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.item, self.at = hashes[order], item[fits][order], at[fits][order]
+        # A bit for each seed rules out most positions at once.
+        size = max(16, int(len(hashes) * 16).bit_length())
+        self.shift, self.bits = np.uint64(64 - size), np.zeros(1 << size, bool)
+        self.bits[(hashes >> self.shift).astype(np.int64)] = True
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, where its first word would stand) among the words."""
-        found = []
-        for mask, shift, bits, hashes, item, at in self.tables:
-            h = seeds(words, mask)
-            where = np.flatnonzero(bits[(h >> shift).astype(np.int64)])
-            low, high = (np.searchsorted(hashes, h[where], side) for side in ("left", "right"))
-            n = high - low
-            k = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            found.append(np.stack([item[k], np.repeat(where, n) - at[k]]))
+        """(item, where its first word would stand) among the words, if enough words are equal there."""
+        h = seeds(words)
+        where = np.flatnonzero(self.bits[(h >> self.shift).astype(np.int64)])
+        low, high = (np.searchsorted(self.hashes, h[where], side) for side in ("left", "right"))
+        where, low, n = where[high > low], low[high > low], (high - low)[high > low]
+        ends, found, begin = np.cumsum(n), [], 0
+        while begin < len(where):
+            done = int(ends[begin - 1]) if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, done + COMPARED, "right")))
+            m = n[begin:stop]
+            k = np.repeat(low[begin:stop] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            found.append(self.enough(words, self.item[k], np.repeat(where[begin:stop], m) - self.at[k]))
+            begin = stop
         both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return tuple(np.unique(both, axis=1)) if both.shape[1] else (both[0], both[1])
 
+    def enough(self, words: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The hits with as many equal words as an overlap has, wherever they are in the item."""
+        key = np.unique(item * (len(words) + len(self.words)) + place + len(self.words))
+        item, place = key // (len(words) + len(self.words)), key % (len(words) + len(self.words)) - len(self.words)
+        good, ends, begin = np.zeros(len(item), bool), np.cumsum(self.lengths[item]), 0
+        while begin < len(item):
+            done = int(ends[begin - 1]) if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, done + COMPARED, "right")))
+            m = self.lengths[item[begin:stop]]
+            hit = np.repeat(np.arange(stop - begin), m)
+            step = np.arange(len(hit)) - np.repeat(np.cumsum(m) - m, m)
+            there = place[begin:stop][hit] + step
+            inside = (there >= 0) & (there < len(words))
+            equal = inside & (words[np.where(inside, there, 0)] == self.words[self.starts[item[begin:stop]][hit] + step])
+            good[begin:stop] = np.bincount(hit[equal], minlength=stop - begin) >= np.minimum(MATCHES, SHARE * m)
+            begin = stop
+        return np.stack([item[good], place[good]])
+
     def overlaps(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, matching words, words of the item) for each overlap, the best for each text and item."""
         for a, b in batches(texts):

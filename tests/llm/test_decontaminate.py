@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import numpy as np
 import pytest
 
 from duesight.llm import decontaminate
@@ -61,3 +63,29 @@ def test_odd_and_empty_tables(spark, odd, empty, benchmark):
     assert decontaminate.overlaps(empty, benchmark).count() == 0
     assert decontaminate.decontaminated(odd, benchmark.limit(0)).count() == odd.count()
     assert decontaminate.overlaps(odd, benchmark.limit(0)).count() == 0
+
+
+def test_every_place_of_substitutions_as_brute_force():
+    rng = random.Random(8)
+    for n in (5, 6, 8, 10, 12, 15, 17, 20, 25, 30):
+        item = [f"w{n}x{i}" for i in range(n)]
+        index = decontaminate.Index([7], [" ".join(item)])
+        texts, want = [], []
+        for changes in range(n // 5 + 2):
+            places = list(itertools.combinations(range(n), changes)) if n <= 15 and changes <= 3 else [
+                rng.sample(range(n), changes) for _ in range(300)]
+            for chosen in places:
+                equal = np.array([i not in chosen for i in range(n)])
+                texts.append(" ".join(["before"] * 3 + [w if e else "other" for w, e in zip(item, equal)] + ["after"]))
+                want.append(decontaminate.best_stretch(equal))
+        least = min(decontaminate.MATCHES, decontaminate.SHARE * n)
+        assert {t: m for t, _, m, _ in index.overlaps(texts)} == {t: m for t, m in enumerate(want) if m >= least}
+
+
+def test_many_hits_are_compared_in_parts(monkeypatch):
+    items = [prose(60, 12) + " " + prose(61 + i, 8) for i in range(30)]
+    texts = [prose(1, 50) + " " + t + " " + prose(2, 40) for t in items]
+    found = list(decontaminate.Index(list(range(30)), items).overlaps(texts))
+    assert {(t, i) for t, i, *_ in found} >= {(i, i) for i in range(30)}
+    monkeypatch.setattr(decontaminate, "COMPARED", 50)
+    assert list(decontaminate.Index(list(range(30)), items).overlaps(texts)) == found
