@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from duesight.llm import (
-    chat, decontaminate, fingerprints, html, neardup, packing, pii, quality, scoring, secrets, spelling,
+    chat, decontaminate, fingerprints, html, neardup, packing, pii, quality, repair, scoring, secrets, spelling,
     suffixes)
 
 
@@ -75,6 +75,10 @@ def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -86,5 +90,5 @@ def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_document_fingerprints, op2_best_fit_packing, op3_chat_formatting, op4_benchmark_decontamination,
     op5_minhash_near_dedup, op6_lm_scoring, op7_secret_scan, op8_quality_resampling, op9_pii_pseudonyms,
-    op10_html_extraction, op12_spelling_variants, op13_suffix_array_dedup)}
+    op10_html_extraction, op11_conversation_repair, op12_spelling_variants, op13_suffix_array_dedup)}
 ORACLE: dict[str, str] = {}
