@@ -12,9 +12,9 @@ A byte goes if it lies in a string of THRESHOLD bytes that also starts earlier (
    twice as many from the pairs (rank at i, rank at i + length), until the rank is unique or its length is THRESHOLD.
    Equal ranks then are equal strings, of which all but the first go.
 
-A seed of very many blocks spreads over ranges: both sorts include the position, so no group has to fit a task. What a
-range can't tell by itself is about its first and last row in step 2 (three rows a range are compared on the driver),
-and its first and last seed, or one of over CLASS_ROWS blocks, in step 3: their starts are sorted by Spark once more.
+A seed of very many blocks spreads over ranges in step 2, as the position is part of the order; what a range can't tell
+by itself is about its first and last rows (three rows a range are compared on the driver). In step 3 the starts of a
+seed of over CLASS_ROWS open blocks are sorted by Spark once more, in ranges again.
 
 Documents are ordered by id (null first), rows of one id by a hash of the text. Rows with the same id and text are one
 document; each of them is returned, with the same figures. A null text is empty. Texts may be of any length; they are
@@ -42,7 +42,8 @@ BEFORE = WINDOW - 1
 CONTEXT = BEFORE + THRESHOLD
 #: Bytes looked at together; with another piece of that length a place takes PLACE_BITS.
 SLICE, PLACE_BITS = 1 << 19, 21
-CLASS_ROWS = 20_000
+#: Open blocks of a seed that a task takes (about 8 KB a row), and those it looks at together.
+CLASS_ROWS = 30_000
 GROUP_ROWS = 4_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BYTES = np.random.Generator(np.random.PCG64(13)).integers(1, 1 << 63, (2, 256), np.uint64)
@@ -363,94 +364,86 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(step == -1)[1] - 1
 
 
+def _matrix(table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("around").to_pylist()), np.uint8).reshape(-1, CONTEXT)
+
+
+def _inside(table) -> np.ndarray:
+    """Which places before the anchor are starts of the block."""
+    d = BEFORE - np.arange(WINDOW)
+    low, high = (table.column(c).to_numpy()[:, None] for c in ("low", "high"))
+    return (d >= low) & (d <= high)
+
+
+def _decided(table: pa.Table) -> pa.RecordBatch:
+    """The starts that go, as runs, of whole seeds whose rows are in order of position."""
+    first = doubled(_matrix(table), table.column("k1").to_numpy(), _inside(table))
+    doc = table.column("doc_id").combine_chunks()
+    same = np.ones(first.shape, bool)  # a repeated row of the document is not later
+    for k in (doc.fill_null(0), doc.is_null(), table.column("h"), table.column("at")):
+        k = k.to_numpy(zero_copy_only=False) if isinstance(k, pa.Array) else k.to_numpy()
+        same &= k[np.maximum(first, 0)] == k[:, None]
+    row, a, b = runs_of((first >= 0) & ~same)
+    at, take = table.column("at").to_numpy()[row] - BEFORE, pa.array(row)
+    return pa.record_batch([doc.take(take), table.column("h").combine_chunks().take(take), pa.array(at + a), pa.array(at + b)],
+                           names=["doc_id", "h", "first", "last"])
+
+
+def _spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Each start of the blocks as a row of its own, with two names of its string."""
+    around = _matrix(batch)
+    row, place = np.nonzero(_inside(batch))
+    begin, take = row * CONTEXT + place, pa.array(row)
+    k1, k2 = (Names(around.ravel(), which).of(begin, begin + THRESHOLD).view(np.int64) for which in (0, 1))
+    at = batch.column("at").to_numpy()[row] - BEFORE + place
+    zero = pa.array(np.zeros(len(row), np.int32))
+    return pa.record_batch(
+        [batch.column("doc_id").take(take), batch.column("h").take(take), pa.array(at), zero, zero, pa.array(k1), pa.array(k2)],
+        names=["doc_id", "h", "at", "low", "high", "k1", "k2"])
+
+
 def open_verdicts(contexts: DataFrame) -> DataFrame:
-    """Removed starts of the open blocks, and single starts (with their names) that Spark has to sort.
+    """doc_id, h, first, last: the removed starts of the open blocks.
 
-    k1 is null in the runs (first to last), and the name of the string in the single starts.
+    Seeds come whole to a task; those of more than CLASS_ROWS blocks are told apart by Spark, start by start.
     """
+    many = contexts.groupBy("k1").agg(F.count("*").alias("n")).where(F.col("n") > CLASS_ROWS).select("k1")
+    many = materialise(many, "many")
     order = ["k1", F.asc_nulls_first("doc_id"), "h", "at"]
-    parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = contexts.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-
-    def matrix(table):
-        flat = b"".join(table.column("around").to_pylist())
-        return np.frombuffer(flat, np.uint8).reshape(-1, CONTEXT)
-
-    def inside(table):
-        d = BEFORE - np.arange(WINDOW)  # distance of each place to the anchor
-        low, high = (table.column(c).to_numpy()[:, None] for c in ("low", "high"))
-        return (d >= low) & (d <= high)
-
-    def starts(table, row, first, last, k1, k2):
-        take = pa.array(row)
-        at = table.column("at").to_numpy()[row]
-        null = k1 is None
-        cells = [pa.nulls(len(row), pa.int64()) if null else pa.array(k.view(np.int64)) for k in (k1, k2)]
-        doc, h = (table.column(c).combine_chunks().take(take) for c in ("doc_id", "h"))
-        return pa.record_batch([doc, h, pa.array(at - BEFORE + first), pa.array(at - BEFORE + last), *cells],
-                               names=["doc_id", "h", "first", "last", "k1", "k2"])
-
-    def decided(table):
-        # Rows of a seed are in order of position, so the first row is the earliest; a repeated row is not later.
-        first = doubled(matrix(table), table.column("k1").to_numpy(), inside(table))
-        keys = [table.column("doc_id").fill_null(0).to_numpy(), table.column("doc_id").is_null().to_numpy(),
-                table.column("h").to_numpy(), table.column("at").to_numpy()]
-        flags = first >= 0
-        same = np.ones_like(flags)
-        for k in keys:
-            same &= k[np.maximum(first, 0)] == k[:, None]
-        row, a, b = runs_of(flags & ~same)
-        return starts(table, row, a, b, None, None)
-
-    def spread(table):
-        around = matrix(table)
-        row, place = np.nonzero(inside(table))
-        at = row * CONTEXT + place
-        names, others = Names(around.ravel(), 0), Names(around.ravel(), 1)
-        return starts(table, row, place, place, names.of(at, at + THRESHOLD), others.of(at, at + THRESHOLD))
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []  # whole k1 groups, then the one that is still growing
-        grows = None  # (k1, rows, whether its starts are already sent on)
-        at_head = True
-        done: list[pa.Table] = []
-
-        def flush():
-            if done:
-                yield decided(pa.concat_tables(done))
-                done.clear()
+    dealt = contexts.join(many, "k1", "left_anti").repartition("k1").sortWithinPartitions(*order)
 
+    def decide(batches):
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
         for batch in batches:
             k1 = batch.column("k1").to_numpy()
-            cuts = np.flatnonzero(np.diff(k1)) + 1
-            for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(k1)]])):
-                if a == b:
-                    continue
-                piece = batch.slice(a, b - a)
-                if grows is not None and grows[0] != k1[a]:
-                    if held:
-                        table = pa.Table.from_batches(held)
-                        if at_head:
-                            yield spread(table)
-                        else:
-                            done.append(table)
-                            if sum(t.num_rows for t in done) >= GROUP_ROWS:
-                                yield from flush()
-                    held, at_head, grows = [], False, None
-                if grows is None:
-                    grows = [k1[a], 0, False]
-                held.append(piece)
-                grows[1] += b - a
-                if grows[1] > CLASS_ROWS or grows[2]:
-                    grows[2] = True
-                    for part in held:
-                        yield spread(pa.Table.from_batches([part]))
-                    held = []
-        yield from flush()
+            begin = 0
+            while begin < len(k1):
+                # What is held may end where a new seed begins.
+                if size >= GROUP_ROWS:
+                    new = np.flatnonzero(np.concatenate([[k1[begin] != last], k1[begin + 1 :] != k1[begin:-1]]))
+                    stop = begin + int(new[0]) if len(new) else len(k1)
+                else:
+                    stop = min(len(k1), begin + GROUP_ROWS - size)
+                if stop > begin:
+                    held.append(batch.slice(begin, stop - begin))
+                    size, last = size + stop - begin, k1[stop - 1]
+                if size >= GROUP_ROWS and stop < len(k1) and k1[stop] != last:
+                    yield _decided(pa.Table.from_batches(held))
+                    held, size = [], 0
+                begin = stop
         if held:
-            yield spread(pa.Table.from_batches(held))
+            yield _decided(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, f"{RUN}, k1 long, k2 long")
+    def spread(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, GROUP_ROWS):
+                yield _spread(batch.slice(begin, GROUP_ROWS))
+
+    single = contexts.join(many, "k1", "left_semi").select(
+        "doc_id", "h", "at", "low", "high", "k1", "around").mapInArrow(spread, BLOCK)
+    later = ranked(single).where(F.col("verdict") == DUP).select("doc_id", "h", F.col("at").alias("first"), F.col("at").alias("last"))
+    return dealt.mapInArrow(decide, RUN).unionByName(later)
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -459,12 +452,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     whole = blocks_.where(F.col("verdict") == DUP).select(
         "doc_id", "h", (F.col("at") - F.col("high")).alias("first"), (F.col("at") - F.col("low")).alias("last"))
     contexts = materialise(with_context(blocks_.where(F.col("verdict") == OPEN), docs), "contexts")
-    opened = materialise(open_verdicts(contexts), "starts")
-    runs = ["doc_id", "h", "first", "last"]
-    single = opened.where(F.col("k1").isNotNull()).select(
-        "doc_id", "h", F.col("first").alias("at"), F.lit(0).alias("low"), F.lit(0).alias("high"), "k1", "k2")
-    later = ranked(single).where(F.col("verdict") == DUP).select("doc_id", "h", F.col("at").alias("first"), F.col("at").alias("last"))
-    return whole.unionByName(opened.where(F.col("k1").isNull()).select(*runs)).unionByName(later)
+    return whole.unionByName(open_verdicts(contexts))
 
 
 def removed_spans(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -57,7 +57,7 @@ def test_against_brute_force(spark):
 
 @pytest.mark.parametrize("rows, parts", [(1, 3), (2, 40), (20_000, 64)])
 def test_groups_that_spread_over_ranges(spark, monkeypatch, rows, parts):
-    """Most rows share their seeds; classes above the limit and at the borders of ranges go through Spark again."""
+    """Most rows share their seeds; those above the limit go through Spark start by start."""
     monkeypatch.setattr(suffixes, "CLASS_ROWS", rows)
     monkeypatch.setattr(suffixes, "GROUP_ROWS", 3)
     common = prose(77, 30)
