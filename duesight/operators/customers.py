@@ -50,7 +50,7 @@ def attach_customers(invoice: DataFrame, customer: DataFrame | None, skew: Skew
         "TRX_NUMBER", F.col("ACCOUNT_NUMBER").alias("_account_by_number"), F.lit(1).alias("_in_numbers")
     )
     by_party = customer_per_party(clean).withColumn("_in_parties", F.lit(1))
-    rows = lookup_join(invoice, by_number, "TRX_NUMBER", "CUSTOMER_TRX_ID").drop("_lane")
+    rows = lookup_join(invoice, by_number, "TRX_NUMBER", "CUSTOMER_TRX_ID", skew).drop("_lane")
     rows = lookup_join(rows, by_party, "PARTY_ID", "CUSTOMER_TRX_ID", skew)
     return rows.select(
         *invoice.columns,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from duesight.functions.cleaning import clip, days_between, flag, holds, log1p_floor0, midnight, plus_days
 from duesight.operators.features import paid_fraction
-from duesight.operators.skew import NO_SKEW, Skew, lane, running
+from duesight.operators.skew import NO_SKEW, Skew, running, with_lane
 from duesight.settings import COLD_START, UNPAID_EPS
 
 INVOICE_ROW, BD90, LATE_FIRST, GAP90 = 0, 1, 2, 3
@@ -101,14 +101,16 @@ def prior_measures() -> dict[str, dict[str, Column]]:
             "_amount": amount,
             "_unpaid": F.when(paid, F.lit(0.0)).otherwise(amount),
             "_rest": clip(rest, low=0),
-            "_dpd": of_paid("actual_dpd").cast("double"),
-            "_late": of_paid("is_late").cast("double"),
-            "_partial": of_paid("is_partial").cast("double"),
             "_completion": of_paid("paid_ratio"),
             "_gapvar": of_paid("gap_variance"),
-            "_w30": F.col("paid_within_30d").cast("double"),
-            "_w60": F.col("paid_within_60d").cast("double"),
-            "_bad": F.col("bad_debt_flag").cast("double"),
+        },
+        "totals": {
+            "_dpd": of_paid("actual_dpd"),
+            "_late": of_paid("is_late"),
+            "_partial": of_paid("is_partial"),
+            "_w30": F.col("paid_within_30d"),
+            "_w60": F.col("paid_within_60d"),
+            "_bad": F.col("bad_debt_flag"),
         },
         "counts": {
             "_n": F.col("CUSTOMER_TRX_ID"),
@@ -166,9 +168,9 @@ def party_history(facts: DataFrame, snapshot, eps: float = UNPAID_EPS, skew: Ske
     Invoices without a party get the cold-start values. They are windowed one by
     one, by id, so that they do not pile up in one task.
     """
-    if skew.hot or "_lane" not in facts.columns:
+    if "PARTY_ID" in skew.lanes or "_lane" not in facts.columns:
         # Lanes that spread a hot party for the join must not split its window.
-        facts = facts.withColumn("_lane", lane("PARTY_ID", "CUSTOMER_TRX_ID"))
+        facts = with_lane(facts.drop("_lane"), "PARTY_ID", "CUSTOMER_TRX_ID")
     keep = [c for c in facts.columns if c != "_lane"]
     outcome, events = outcome_columns(), event_columns(snapshot, eps)
     aged = facts.withColumn("actual_dpd", days_past_due())
@@ -178,6 +180,7 @@ def party_history(facts: DataFrame, snapshot, eps: float = UNPAID_EPS, skew: Ske
     measures = prior_measures()
     is_invoice = F.col("_kind") == INVOICE_ROW
     sums = {n: F.when(is_invoice, c) for n, c in measures["sums"].items()}
+    totals = {n: F.when(is_invoice, c) for n, c in measures["totals"].items()}
     counts = {n: F.when(is_invoice, c) for n, c in measures["counts"].items()}
     counts |= {n: F.when(F.col("_kind") == k, 1) for k, n in EVENT_COUNTS.items()}
     done = running(
@@ -185,6 +188,7 @@ def party_history(facts: DataFrame, snapshot, eps: float = UNPAID_EPS, skew: Ske
         ["PARTY_ID", "_lane"],
         ["_at", "_kind", "CUSTOMER_TRX_ID"],
         sums=sums,
+        totals=totals,
         counts=counts,
         lows=measures["lows"],
         medians=measures["medians"],
@@ -222,6 +226,7 @@ def pooled_history(history: DataFrame, skew: Skew = NO_SKEW) -> DataFrame:
         ["PARTY_ID"],
         ["TRX_DATE", "CUSTOMER_TRX_ID"],
         sums=measures["sums"],
+        totals=measures["totals"],
         counts=measures["counts"],
         lows=measures["lows"],
         skew=skew,

@@ -16,6 +16,7 @@ from duesight.functions.cleaning import (
     with_missing_columns,
 )
 from duesight.operators.receipts import invoices_with_receipt
+from duesight.operators.skew import exact_sum
 from duesight.schemas import INVOICE
 
 # Columns without which there is nothing to work on.
@@ -58,7 +59,7 @@ def credit_memo_totals(invoice: DataFrame, snapshot) -> DataFrame:
         invoice.where(F.col("PREVIOUS_CUSTOMER_TRX_ID").isNotNull())
         .groupBy(F.col("PREVIOUS_CUSTOMER_TRX_ID").alias("_original_id"))
         .agg(
-            F.coalesce(F.sum(F.when(in_time, F.coalesce("TRX_AMOUNT", F.lit(0.0)))), F.lit(0.0)).alias("cm_amount"),
+            F.coalesce(exact_sum(F.when(in_time, F.coalesce("TRX_AMOUNT", F.lit(0.0)))), F.lit(0.0)).alias("cm_amount"),
             F.count_if(in_time).alias("cm_count"),
             F.min(F.when(in_time, F.col("TRX_DATE"))).alias("cm_first_date"),
         )

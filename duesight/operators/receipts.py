@@ -18,6 +18,7 @@ from duesight.functions.cleaning import (
     to_timestamp,
     with_missing_columns,
 )
+from duesight.operators.skew import exact_sum
 from duesight.schemas import RECEIPT
 
 
@@ -63,7 +64,7 @@ def payment_days(payments: DataFrame) -> DataFrame:
     invoice has: its rows are bounded by the calendar.
     """
     days = payments.groupBy("INVOICE_ID", "PAYMENT_DATE").agg(
-        F.count("*").alias("day_receipts"), F.sum("AMOUNT_APPLIED").alias("day_amount")
+        F.count("*").alias("day_receipts"), exact_sum(F.col("AMOUNT_APPLIED")).alias("day_amount")
     )
     order = W.partitionBy("INVOICE_ID").orderBy("PAYMENT_DATE")
     lagged = days.withColumn("previous_date", F.lag("PAYMENT_DATE").over(order))
@@ -90,7 +91,7 @@ def _receipt_totals() -> list[Column]:
         n.alias("receipt_count"),
         F.min("PAYMENT_DATE").alias("first_pay_date"),
         F.max("PAYMENT_DATE").alias("last_pay_date"),
-        F.sum("day_amount").alias("total_paid"),
+        exact_sum(F.col("day_amount")).alias("total_paid"),
         gap_variance(n, F.sum(gap), F.sum(gap * gap)).alias("gap_variance"),
     ]
 
@@ -124,7 +125,7 @@ def payment_facts(invoices: DataFrame, payments: DataFrame, snapshot, as_of_col:
         return F.coalesce(F.sum(F.when(cond, F.col("day_receipts"))), F.lit(0))
 
     def sum_where(cond):
-        return F.coalesce(F.sum(F.when(cond, F.col("day_amount"))), F.lit(0.0))
+        return F.coalesce(exact_sum(F.when(cond, F.col("day_amount"))), F.lit(0.0))
 
     return (
         invoices.join(payment_days(payments), F.col("CUSTOMER_TRX_ID") == F.col("INVOICE_ID"), "left")

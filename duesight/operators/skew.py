@@ -1,22 +1,26 @@
-"""Party-ordered running aggregates that hold up when one party is huge.
+"""Party-ordered running aggregates and lookups that hold up when one key is huge.
 
-Two physical forms give the same values:
+Two physical forms of the running aggregates give the same values, bit by bit:
 
 * plain: one exchange and one sort on the party, every aggregate in one window
-  operator. Right while no party exceeds what a task can sort.
+  operator. Right while no party exceeds what a running median bears, as that
+  costs a party's rows times its distinct values.
 * chunked: the rows are range-partitioned on (party, order), so a huge party
-  spreads over many chunks. Each chunk runs the same window on its own rows and
-  adds what the party had accumulated in earlier chunks. Only a party that
-  crosses a chunk border needs that carry, at most one party per border, so the
-  carry has fewer rows than there are chunks and may be broadcast.
-
-`measure_skew` decides between them from a count per party.
+  spreads over many tasks, and the sorted rows of a task are cut into chunks of
+  a few thousand. Each chunk runs the same window on its own rows and adds what
+  the party had accumulated in earlier chunks; its medians start from a histogram
+  of the earlier values, cut to where the median can lie. Only a party that
+  crosses a chunk border needs that carry, at most one party per border.
+
+Sums are exact (see `exact_sum`), so neither the form nor the partitioning can be
+seen in them. `measure_skew` decides between the forms from a count per party, and
+gives the keys whose rows a lookup join has to deal to several lanes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,67 +28,124 @@ from pyspark.sql import functions as F
 
 from duesight.session import materialise
 
-HOT_ROWS = 100_000
-MAX_HOT_KEYS = 1_000
-CHUNK_ROWS = 1_000_000
-LANES = 64
+#: Rows of one party that the plain form takes.
+HOT_ROWS = 4_000
+#: Rows of a chunk, of a task that holds chunks, and of a lane.
+CHUNK_ROWS = 2_048
+TASK_ROWS = 1_000_000
+LANE_ROWS = 1_000_000
+#: Lane tables of no more rows are broadcast (16 bytes a row).
+BROADCAST_KEYS = 1_000_000
+_LIMB = 1 << 20
+
+
+@dataclass(frozen=True)
+class Lanes:
+    """Keys with more than LANE_ROWS rows, as a table (key, _lanes) with about LANE_ROWS rows a lane, and how many."""
+
+    table: DataFrame
+    keys: int
+
+    def beside(self, df: DataFrame, key: str) -> DataFrame:
+        """`df` with the number of lanes of its key; missing for a key that needs no more than one."""
+        table = F.broadcast(self.table) if self.keys <= BROADCAST_KEYS else self.table
+        return df.join(table, key, "left")
 
 
 @dataclass(frozen=True)
 class Skew:
-    """What the count per key says: keys above the limit, largest first, and all rows."""
+    """What the counts say: rows of the largest window key, all rows, and the lanes by key column."""
 
-    hot: tuple = ()
+    top_rows: int = 0
     total_rows: int = 0
+    lanes: Mapping[str, Lanes] = field(default_factory=dict)
+    hot_rows: int = HOT_ROWS
     chunk_rows: int = CHUNK_ROWS
 
-    def chunks(self, df: DataFrame) -> int:
+    @property
+    def heavy(self) -> bool:
+        return self.top_rows > self.hot_rows
+
+    def tasks(self, df: DataFrame) -> int:
         floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return max(floor, -(-self.total_rows // self.chunk_rows))
+        return max(floor, -(-self.total_rows // TASK_ROWS))
 
 
 NO_SKEW = Skew()
 
 
 def measure_skew(
-    df: DataFrame, key: str, hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, key: str, *others: str, hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS,
+    lane_rows: int = LANE_ROWS,
 ) -> Skew:
-    """Count rows per key; runs a job over that one column.
+    """Count rows per key; runs a job over that one column, and over the `others` where one lane may not do.
 
-    At most MAX_HOT_KEYS keys come back. Any key beyond them holds less than a
-    thousandth of the rows, so it needs no lanes of its own in a join.
+    The numbers come to the driver, the keys stay in tables.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    top = counts.agg(F.max("n").alias("top"), F.sum("n").alias("total")).first()
-    if top["top"] is None or top["top"] <= hot_rows:
-        return Skew((), top["total"] or 0, chunk_rows)
-    rows = counts.where(F.col("n") > hot_rows).orderBy(F.desc("n")).limit(MAX_HOT_KEYS).collect()
-    return Skew(tuple(r[key] for r in rows), top["total"], chunk_rows)
 
-
-def lane(key: str, row_id: str, skew: Skew = NO_SKEW) -> Column:
-    """Second join key: spreads missing keys by row, hot keys over LANES, others stay in lane 0."""
-    out = F.when(F.col(key).isNull(), F.coalesce(F.col(row_id), F.lit(0)))
-    if skew.hot:
-        out = out.when(F.col(key).isin(*skew.hot), F.pmod(F.xxhash64(row_id), F.lit(LANES)))
-    return out.otherwise(F.lit(0)).cast("bigint")
-
-
-def lanes_of(key: str, skew: Skew = NO_SKEW) -> Column:
-    """The lanes a lookup row must appear in; one, or LANES for a hot key."""
-    one = F.array(F.lit(0).cast("bigint"))
-    if not skew.hot:
-        return one
-    many = F.sequence(F.lit(0).cast("bigint"), F.lit(LANES - 1).cast("bigint"))
-    return F.when(F.col(key).isin(*skew.hot), many).otherwise(one)
+    def counted(name: str) -> tuple[DataFrame, dict]:
+        counts = df.groupBy(name).agg(F.count("*").alias("n"))
+        known = F.col(name).isNotNull()
+        found = counts.agg(
+            F.coalesce(F.max(F.when(known, F.col("n"))), F.lit(0)).alias("top"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+            F.count_if(known & (F.col("n") > lane_rows)).alias("many"))
+        return counts.where(known), found.first().asDict()
+
+    lanes = {}
+    counts, found = counted(key)
+    top, total = found["top"], found["total"]
+    for name in (key, *others):
+        if total <= lane_rows:  # no key can have more
+            break
+        if name != key:
+            counts, found = counted(name)
+        if found["many"]:
+            many = counts.where(F.col("n") > lane_rows).select(name, F.ceil(F.col("n") / lane_rows).alias("_lanes"))
+            lanes[name] = Lanes(materialise(many, "lanes"), found["many"])
+    return Skew(top, total, lanes, hot_rows, chunk_rows)
+
+
+def with_lane(df: DataFrame, key: str, row_id: str, skew: Skew = NO_SKEW) -> DataFrame:
+    """Add `_lane`, the second join key: spreads missing keys by row and hot keys over their lanes, others stay in lane 0."""
+    spread = F.when(F.col(key).isNull(), F.coalesce(F.col(row_id), F.lit(0)).cast("bigint"))
+    names = df.columns
+    if key in skew.lanes:
+        df = skew.lanes[key].beside(df, key)
+        spread = spread.when(F.col("_lanes").isNotNull(), F.pmod(F.xxhash64(row_id), F.col("_lanes")))
+    return df.select(*names, spread.otherwise(F.lit(0)).cast("bigint").alias("_lane"))
 
 
 def lookup_join(
     rows: DataFrame, lookup: DataFrame, key: str, row_id: str, skew: Skew = NO_SKEW
 ) -> DataFrame:
     """Left join to a lookup that has one row per key. Leaves the `_lane` column in place."""
-    right = lookup.withColumn("_lane", F.explode(lanes_of(key, skew)))
-    return rows.withColumn("_lane", lane(key, row_id, skew)).join(right, [key, "_lane"], "left")
+    names, lane = lookup.columns, F.lit(0).cast("bigint")
+    if key in skew.lanes:
+        lookup = skew.lanes[key].beside(lookup, key)
+        lane = F.explode(F.sequence(lane, F.coalesce("_lanes", F.lit(1)).cast("bigint") - 1))
+    return with_lane(rows, key, row_id, skew).join(lookup.select(*names, lane.alias("_lane")), [key, "_lane"], "left")
+
+
+def limbs(value: Column) -> list[Column]:
+    """A double as whole part and two fractions of 2^-20, all integers, to 2^-40; beyond 2^62 it is missing."""
+    value = F.when(F.abs(value) < float(1 << 62), value)
+    whole = F.floor(value)
+    rest = (value - whole) * _LIMB
+    high = F.floor(rest)
+    return [whole, high, F.round((rest - high) * _LIMB).cast("bigint")]
+
+
+def from_limbs(parts: Sequence[Column]) -> Column:
+    whole, high, low = (p.cast("double") for p in parts)
+    return whole + (high + low / _LIMB) / _LIMB
+
+
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles that does not depend on the order of rows. Missing if there is no value.
+
+    Integers are added, of which each limb takes 2^43 rows.
+    """
+    return from_limbs([F.sum(p) for p in limbs(value)])
 
 
 def running(
@@ -93,6 +154,7 @@ def running(
     order: Sequence[str],
     *,
     sums: Mapping[str, Column] | None = None,
+    totals: Mapping[str, Column] | None = None,
     counts: Mapping[str, Column] | None = None,
     lows: Mapping[str, Column] | None = None,
     medians: Mapping[str, Column] | None = None,
@@ -101,52 +163,69 @@ def running(
     """Add aggregates over the rows of the same key that come earlier in `order`.
 
     `order` names columns that are total within a key; missing values sort last.
-    sums: 0 when there is no earlier value. counts: earlier non-missing values.
-    lows: minimum so far, the row itself included. medians: exact, of integers.
+    sums: of doubles, exact; totals: of integers; both 0 when there is no earlier
+    value. counts: earlier non-missing values. lows: minimum so far, the row
+    itself included. medians: exact, of integers.
     """
-    spec = (dict(sums or {}), dict(counts or {}), dict(lows or {}), dict(medians or {}))
-    if skew.hot:
+    spec = (dict(sums or {}), dict(totals or {}), dict(counts or {}), dict(lows or {}), dict(medians or {}))
+    if skew.heavy:
         return _running_chunked(rows, list(keys), list(order), *spec, skew)
-    sums, counts, lows, medians = spec
+    sums, totals, counts, lows, medians = spec
     here = W.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in order])
     prior = here.rowsBetween(W.unboundedPreceding, -1)
     so_far = here.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.select(
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c).over(prior), F.lit(0))
+
+    parts = {f"_{k}_{n}": p for n, c in sums.items() for k, p in enumerate(limbs(c))}
+    found = rows.select(
         "*",
-        *[F.coalesce(F.sum(c).over(prior), F.lit(0.0)).alias(n) for n, c in sums.items()],
+        *[total(p).alias(n) for n, p in parts.items()],
+        *[total(c).alias(n) for n, c in totals.items()],
         *[F.count(c).over(prior).alias(n) for n, c in counts.items()],
         *[F.min(c).over(so_far).alias(n) for n, c in lows.items()],
         *[F.percentile(c, F.lit(0.5)).over(prior).alias(n) for n, c in medians.items()],
     )
+    return _summed(found, rows.columns, sums, [*totals, *counts, *lows, *medians])
+
 
+def _summed(found: DataFrame, names: Sequence[str], sums, rest: Sequence[str]) -> DataFrame:
+    return found.select(*names, *[from_limbs([F.col(f"_{k}_{n}") for k in range(3)]).alias(n) for n in sums], *rest)
 
-def _running_chunked(rows, keys, order, sums, counts, lows, medians, skew) -> DataFrame:
-    values = {**sums, **counts, **lows, **medians}
+
+def _running_chunked(rows, keys, order, sums, totals, counts, lows, medians, skew) -> DataFrame:
+    parts = {f"_{k}_{n}": p for n, c in sums.items() for k, p in enumerate(limbs(c))}
+    added = {**parts, **totals}
+    values = {**added, **counts, **lows, **medians}
     wide = rows.select("*", *[c.alias(f"_v_{n}") for n, c in values.items()])
-    spread = wide.repartitionByRange(
-        skew.chunks(rows), *[F.col(k) for k in keys], *[F.asc_nulls_last(c) for c in order]
-    )
+    along = [*[F.col(k) for k in keys], *[F.asc_nulls_last(c) for c in order]]
+    spread = wide.repartitionByRange(skew.tasks(rows), *along).sortWithinPartitions(*along)
+    # The id counts the rows of a task in their order, from a number that grows with the task's.
+    number, task = F.monotonically_increasing_id(), F.spark_partition_id().cast("bigint")
+    within = F.floor((number - F.shiftleft(task, 33)) / skew.chunk_rows)
     # Written out, because the chunk number must not change between its uses.
-    chunked = materialise(spread.withColumn("_chunk", F.spark_partition_id()), "chunks")
+    chunked = materialise(spread.withColumn("_chunk", F.shiftleft(task, 33) + within), "chunks")
 
     v = {n: F.col(f"_v_{n}") for n in values}
-    totals = chunked.groupBy(*keys, "_chunk").agg(
-        *[F.coalesce(F.sum(v[n]), F.lit(0.0)).alias(n) for n in sums],
+    sizes = chunked.groupBy(*keys, "_chunk").agg(
+        *[F.coalesce(F.sum(v[n]), F.lit(0)).alias(n) for n in added],
         *[F.count(v[n]).alias(n) for n in counts],
         *[F.min(v[n]).alias(n) for n in lows],
         *[F.count(v[n]).alias(f"_m_{n}") for n in medians],
     )
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(
+    carry = sizes.select(
         *keys,
         "_chunk",
-        F.count("_chunk").over(earlier).alias("_chunks_before"),
-        *[F.sum(n).over(earlier).alias(f"_c_{n}") for n in [*sums, *counts]],
+        F.count("_chunk").over(earlier).alias("_pos"),
+        F.count("_chunk").over(W.partitionBy(*keys)).alias("_chunks"),
+        *[F.sum(n).over(earlier).alias(f"_c_{n}") for n in [*added, *counts]],
         *[F.min(n).over(earlier).alias(f"_c_{n}") for n in lows],
         *[f"_m_{n}" for n in medians],
-    ).where(F.col("_chunks_before") > 0)
-    # Fewer rows than chunks; written so that its uses below do not recount.
-    carry = materialise(carry, "carry")
+    ).where(F.col("_chunks") > 1)
+    # A row for each chunk of a party with several; written so that its uses below do not recount.
+    carry = materialise(carry.drop("_chunks"), "carry")
 
     body = chunked.select("*", F.lit(1).alias("_seed"), F.lit(1).cast("bigint").alias("_freq"))
     for n in medians:
@@ -156,45 +235,41 @@ def _running_chunked(rows, keys, order, sums, counts, lows, medians, skew) -> Da
     prior = here.rowsBetween(W.unboundedPreceding, -1)
     so_far = here.rowsBetween(W.unboundedPreceding, W.currentRow)
 
-    def from_carry(n, zero):
-        return F.coalesce(F.col(f"_c_{n}"), F.lit(zero))
+    def with_carry(c: Column, n: str) -> Column:
+        return F.coalesce(c.over(prior), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))
 
-    out = body.join(F.broadcast(carry), [*keys, "_chunk"], "left").select(
+    out = body.join(carry, [*keys, "_chunk"], "left").select(
         *rows.columns,
         "_seed",
-        *[(F.coalesce(F.sum(v[n]).over(prior), F.lit(0.0)) + from_carry(n, 0.0)).alias(n) for n in sums],
-        *[(F.count(v[n]).over(prior) + from_carry(n, 0)).alias(n) for n in counts],
+        *[with_carry(F.sum(v[n]), n).alias(n) for n in added],
+        *[with_carry(F.count(v[n]), n).alias(n) for n in counts],
         *[F.least(F.min(v[n]).over(so_far), F.col(f"_c_{n}")).alias(n) for n in lows],
         *[F.percentile(v[n], F.lit(0.5), F.col("_freq")).over(prior).alias(n) for n in medians],
     )
-    return out.where(F.col("_seed") == 1).drop("_seed")
+    return _summed(out.where(F.col("_seed") == 1), rows.columns, sums, [*totals, *counts, *lows, *medians])
 
 
 def _histogram_seed(chunked: DataFrame, carry: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Rows (value, how often in earlier chunks) that a chunk's median starts from."""
     value = f"_v_{name}"
-    last = carry.groupBy(*keys).agg(F.max("_chunk").alias("_to"))
+    places = carry.select(*keys, "_chunk", "_pos")
+    last = carry.groupBy(*keys).agg(F.max("_pos").alias("_to"))
     seen = (
         chunked.where(F.col(value).isNotNull())
-        .join(F.broadcast(last), keys, "inner")
-        .groupBy(*keys, "_to", "_chunk", value)
+        .join(places, [*keys, "_chunk"])
+        .groupBy(*keys, "_pos", value)
         .agg(F.count("*").alias("n"))
     )
-    by_value = W.partitionBy(*keys, value).orderBy("_chunk")
-    grown = seen.select(
+    by_value = W.partitionBy(*keys, value).orderBy("_pos")
+    grown = seen.join(last, keys).select(
         *keys,
         value,
         F.sum("n").over(by_value.rowsBetween(W.unboundedPreceding, 0)).alias("_freq"),
-        (F.col("_chunk") + 1).alias("_first"),
-        F.coalesce(F.lead("_chunk").over(by_value), F.col("_to")).alias("_last"),
+        (F.col("_pos") + 1).alias("_first"),
+        F.coalesce(F.lead("_pos").over(by_value), F.col("_to")).alias("_last"),
     ).where(F.col("_first") <= F.col("_last"))
-    return grown.select(
-        *keys,
-        value,
-        "_freq",
-        F.lit(0).alias("_seed"),
-        F.explode(F.sequence("_first", "_last")).alias("_chunk"),
-    )
+    spread = grown.select(*keys, value, "_freq", F.lit(0).alias("_seed"), F.explode(F.sequence("_first", "_last")).alias("_pos"))
+    return spread.join(places, [*keys, "_pos"]).drop("_pos")
 
 
 def _with_seed(body: DataFrame, seed: DataFrame, carry: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -208,7 +283,7 @@ def _with_seed(body: DataFrame, seed: DataFrame, carry: DataFrame, keys: list[st
     value = f"_v_{name}"
     at = [*keys, "_chunk"]
     grown = W.partitionBy(*at).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranked = seed.join(F.broadcast(carry.select(*at, f"_m_{name}")), at).select(
+    ranked = seed.join(carry.select(*at, f"_m_{name}"), at).select(
         *at,
         value,
         "_freq",
@@ -227,7 +302,7 @@ def _with_seed(body: DataFrame, seed: DataFrame, carry: DataFrame, keys: list[st
     def cut(rows: DataFrame) -> DataFrame:
         # least and greatest skip a missing bound.
         inside = F.greatest(F.least(F.col(value), F.col("_high")), F.col("_low"))
-        joined = rows.join(F.broadcast(span), at, "left")
+        joined = rows.join(span, at, "left")
         return joined.withColumn(value, F.when(F.col(value).isNotNull(), inside)).drop("_low", "_high")
 
     few = cut(seed).groupBy(*at, "_seed", value).agg(F.sum("_freq").alias("_freq"))

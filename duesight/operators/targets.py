@@ -24,15 +24,15 @@ def party_by_number(customer: DataFrame) -> DataFrame:
     return rows.groupBy("TRX_NUMBER").agg(F.max("PARTY_ID").alias("_party_by_number"))
 
 
-def fill_missing_party(targets: DataFrame, customer: DataFrame) -> DataFrame:
+def fill_missing_party(targets: DataFrame, customer: DataFrame, skew: Skew = NO_SKEW) -> DataFrame:
     """Targets with PARTY_ID filled from the customer master where it is missing."""
-    joined = lookup_join(targets, party_by_number(customer), "TRX_NUMBER", "CUSTOMER_TRX_ID").drop("_lane")
+    joined = lookup_join(targets, party_by_number(customer), "TRX_NUMBER", "CUSTOMER_TRX_ID", skew).drop("_lane")
     others = [c for c in targets.columns if c != "PARTY_ID"]
     return joined.select(*others, F.coalesce("PARTY_ID", "_party_by_number").alias("PARTY_ID"))
 
 
-def target_parties(targets: DataFrame, customer: DataFrame) -> DataFrame:
-    filled = fill_missing_party(targets.select("CUSTOMER_TRX_ID", "TRX_NUMBER", "PARTY_ID"), customer)
+def target_parties(targets: DataFrame, customer: DataFrame, skew: Skew = NO_SKEW) -> DataFrame:
+    filled = fill_missing_party(targets.select("CUSTOMER_TRX_ID", "TRX_NUMBER", "PARTY_ID"), customer, skew)
     return filled.select("PARTY_ID").where(F.col("PARTY_ID").isNotNull()).distinct()
 
 
@@ -56,7 +56,7 @@ def targets_with_history(
 ) -> DataFrame:
     """Targets and history in one pass over the invoices, instead of a union of two."""
     wanted = invoice_range_predicate(invoice, time_range, snapshot, start, end, year)
-    parties = target_parties(invoice.where(wanted), customer).withColumn("_wanted_party", F.lit(True))
+    parties = target_parties(invoice.where(wanted), customer, skew).withColumn("_wanted_party", F.lit(True))
     history = F.col("_wanted_party").isNotNull()
     if snapshot is not None:
         history = history & (F.col("TRX_DATE") <= midnight(snapshot))

@@ -41,8 +41,8 @@ def _facts(raw: RawTables, core: DataFrame, snapshot, as_of_col: str, prefix: st
 
 
 def party_skew(raw: RawTables) -> Skew:
-    """Rows per party of the raw invoices, an upper bound of what is windowed."""
-    return measure_skew(clean_invoices(raw.invoice), "PARTY_ID")
+    """Rows per party of the raw invoices, an upper bound of what is windowed, and per transaction number."""
+    return measure_skew(clean_invoices(raw.invoice), "PARTY_ID", "TRX_NUMBER")
 
 
 def snapshot_features(

@@ -30,7 +30,7 @@ def _ts(text):
         ("2026-04-30", "2026-04-30"),
         ("2026-03-15", "2026-03-15"),
         ("2047-01-01", "2047-01-01"),
-        ("2263-01-01", None),
+        ("2263-01-01", "2063-01-01"),
         ("2025-07-01", "2025-07-01"),
     ],
 )
