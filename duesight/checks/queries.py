@@ -27,6 +27,7 @@ from duesight.operators import exclusion as ex
 from duesight.operators import features as ft
 from duesight.operators import history as hi
 from duesight.operators import invoices as iv
+from duesight.operators import ledger as lg
 from duesight.operators import models as md
 from duesight.operators import receipts as rc
 from duesight.operators import scoring as sc
@@ -61,7 +62,7 @@ class Context:
 
     @cached_property
     def core(self) -> DataFrame:
-        return iv.invoice_core(self.raw.invoice, self.raw.receipt, SNAP)
+        return lg.invoice_core(self.raw.invoice, self.raw.receipt, SNAP)
 
     @cached_property
     def pay(self) -> DataFrame:

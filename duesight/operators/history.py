@@ -10,6 +10,8 @@ for invoices dated strictly after it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -213,17 +215,18 @@ def party_history(facts: DataFrame, snapshot, eps: float = UNPAID_EPS, skew: Ske
     )
 
 
-def pooled_history(history: DataFrame, skew: Skew = NO_SKEW) -> DataFrame:
-    """History of the pooled variant, from invoice_history rows.
+def pooled_history(history: DataFrame, skew: Skew = NO_SKEW, keep: Sequence[str] = ()) -> DataFrame:
+    """History of the pooled variant, from invoice_history rows: the id and the values, under the prefix `pooled_`
+    beside columns to `keep`.
 
     All invoices without a party form one party, -1. Values stay missing where
     there is no history, and the business scale is a plain sum.
     """
     measures = prior_measures()
-    rows = history.withColumn("PARTY_ID", F.coalesce("PARTY_ID", F.lit(-1)))
+    rows = history.withColumn("_pool", F.coalesce("PARTY_ID", F.lit(-1)))
     done = running(
         rows,
-        ["PARTY_ID"],
+        ["_pool"],
         ["TRX_DATE", "CUSTOMER_TRX_ID"],
         sums=measures["sums"],
         totals=measures["totals"],
@@ -232,4 +235,5 @@ def pooled_history(history: DataFrame, skew: Skew = NO_SKEW) -> DataFrame:
         skew=skew,
     )
     columns = history_columns()
-    return done.select("CUSTOMER_TRX_ID", *[columns[n].alias(n) for n in POOLED])
+    prefix = "pooled_" if keep else ""
+    return done.select(*(keep or ["CUSTOMER_TRX_ID"]), *[columns[n].alias(f"{prefix}{n}") for n in POOLED])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duesight.functions.cleaning import (
-    as_of,
     keep_first,
     midnight,
     require,
@@ -21,27 +22,24 @@ from duesight.schemas import INVOICE
 
 # Columns without which there is nothing to work on.
 REQUIRED = ("CUSTOMER_TRX_ID", "TRX_DATE", "DUE_DATE", "TRX_AMOUNT")
-_CARRIED = ["TRX_NUMBER", "PARTY_ID", "TRX_DATE", "DUE_DATE", "TRX_AMOUNT", "TRANS_TYPE", "CURRENCY_CODE", "ORG_ID"]
+CARRIED = ["TRX_NUMBER", "PARTY_ID", "TRX_DATE", "DUE_DATE", "TRX_AMOUNT", "TRANS_TYPE", "CURRENCY_CODE", "ORG_ID"]
 # Which row of several with one id is kept: the earliest, then by every kept column.
-_KEEP_ORDER = ["TRX_DATE", *[c for c in _CARRIED if c != "TRX_DATE"]]
+KEEP_ORDER = ["TRX_DATE", *[c for c in CARRIED if c != "TRX_DATE"]]
 
 
-def clean_invoices(invoice: DataFrame) -> DataFrame:
-    """Typed columns in a fixed order; columns the input lacks are typed NULLs, required ones an error."""
+def clean_invoices(invoice: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Typed columns in a fixed order, then those of `more`; columns the input lacks are typed NULLs, required ones an error."""
     df = with_missing_columns(require(invoice, REQUIRED, "invoice"), INVOICE)
     kinds = {"bigint": to_id, "double": to_number, "timestamp": to_timestamp}
 
     def typed(name: str, kind: str) -> Column:
         return kinds[kind](df, name) if kind in kinds else F.col(name).cast(kind)
 
-    return df.select(*[typed(f.name, f.dataType.simpleString()).alias(f.name) for f in INVOICE])
+    return df.select(*[typed(f.name, f.dataType.simpleString()).alias(f.name) for f in INVOICE], *more)
 
 
 def drop_unpaid_nonpositive(invoice: DataFrame, receipt: DataFrame) -> DataFrame:
-    """Drop amounts <= 0 of ids without any receipt row; a missing amount stays.
-
-    Only the non-positive rows are shuffled for the check.
-    """
+    """Drop amounts <= 0 of ids without any receipt row; a missing amount stays."""
     nonpositive = F.col("TRX_AMOUNT") <= 0
     paid = invoice.where(nonpositive).join(
         invoices_with_receipt(receipt), F.col("CUSTOMER_TRX_ID") == F.col("_receipt_id"), "left_semi"
@@ -66,23 +64,25 @@ def credit_memo_totals(invoice: DataFrame, snapshot) -> DataFrame:
     )
 
 
-def net_credit_memos(invoice: DataFrame, memo_source: DataFrame, snapshot) -> DataFrame:
+def net_credit_memos(invoice: DataFrame, memo_source: DataFrame, snapshot, has_memos: bool | None = None) -> DataFrame:
     """Reduce amounts by their credit memos.
 
     Only a negative memo total reduces. When `memo_source` has memos at all,
-    every amount is cut at zero, otherwise amounts are left as they are.
+    every amount is cut at zero, otherwise amounts are left as they are; `has_memos`
+    says so where the source is part of a larger table.
     """
     totals = credit_memo_totals(memo_source, snapshot)
-    has_memos = (
-        memo_source.agg(F.coalesce(F.max(F.col("PREVIOUS_CUSTOMER_TRX_ID").isNotNull()), F.lit(False))).scalar()
-    )
+    if has_memos is None:
+        memos = memo_source.agg(F.coalesce(F.max(F.col("PREVIOUS_CUSTOMER_TRX_ID").isNotNull()), F.lit(False))).scalar()
+    else:
+        memos = F.lit(has_memos)
     gross = F.coalesce("TRX_AMOUNT", F.lit(0.0))
     effect = F.least(F.coalesce("cm_amount", F.lit(0.0)), F.lit(0.0))
     net = F.greatest(gross + effect, F.lit(0.0))
     kept = [c for c in invoice.columns if c != "TRX_AMOUNT"]
     return invoice.join(totals, F.col("CUSTOMER_TRX_ID") == F.col("_original_id"), "left").select(
         *kept,
-        F.when(has_memos, net).otherwise(gross).alias("TRX_AMOUNT"),
+        F.when(memos, net).otherwise(gross).alias("TRX_AMOUNT"),
         gross.alias("TRX_AMOUNT_GROSS"),
         (F.lit(0.0) - effect).alias("credit_memo_reduction"),
         F.coalesce("cm_count", F.lit(0)).alias("cm_count"),
@@ -92,17 +92,5 @@ def net_credit_memos(invoice: DataFrame, memo_source: DataFrame, snapshot) -> Da
 
 def one_per_id(invoice: DataFrame) -> DataFrame:
     """One row per CUSTOMER_TRX_ID; copies collapse before the shuffle."""
-    rows = invoice.where(F.col("CUSTOMER_TRX_ID").isNotNull()).select("CUSTOMER_TRX_ID", *_CARRIED)
-    return keep_first(rows, ["CUSTOMER_TRX_ID"], _KEEP_ORDER)
-
-
-def invoice_core(invoice: DataFrame, receipt: DataFrame, snapshot) -> DataFrame:
-    """Cleaned, netted and unique invoices with AS_OF_DATE, without customer columns.
-
-    Memos without a receipt are dropped before netting, so they reduce nothing.
-    Netting is per id, so it may follow the collapse of copies and reuse its
-    partitioning.
-    """
-    surviving = drop_unpaid_nonpositive(clean_invoices(invoice), receipt)
-    netted = net_credit_memos(one_per_id(surviving), surviving, snapshot)
-    return netted.withColumn("AS_OF_DATE", as_of(F.col("DUE_DATE"), snapshot))
+    rows = invoice.where(F.col("CUSTOMER_TRX_ID").isNotNull()).select("CUSTOMER_TRX_ID", *CARRIED)
+    return keep_first(rows, ["CUSTOMER_TRX_ID"], KEEP_ORDER)

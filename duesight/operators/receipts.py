@@ -80,6 +80,7 @@ def gap_variance(receipts: Column, gap_sum: Column, gap_squares: Column) -> Colu
     Receipts on one day are zero gaps: they add to the number of gaps only.
     """
     gaps = receipts - 1
+    gap_sum, gap_squares = F.coalesce(gap_sum, F.lit(0)), F.coalesce(gap_squares, F.lit(0))
     spread = gaps * gap_squares - gap_sum * gap_sum
     return F.when(gaps >= 2, spread / (gaps * (gaps - 1)))
 

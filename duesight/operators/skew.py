@@ -36,7 +36,7 @@ TASK_ROWS = 1_000_000
 LANE_ROWS = 1_000_000
 #: Lane tables of no more rows are broadcast (16 bytes a row).
 BROADCAST_KEYS = 1_000_000
-_LIMB = 1 << 20
+_HIGH, _LOW = 1 << 20, 1 << 30
 
 
 @dataclass(frozen=True)
@@ -127,23 +127,23 @@ def lookup_join(
 
 
 def limbs(value: Column) -> list[Column]:
-    """A double as whole part and two fractions of 2^-20, all integers, to 2^-40; beyond 2^62 it is missing."""
+    """A double as whole part, 20 and 30 bits of fraction, all integers; beyond 2^62 it is missing."""
     value = F.when(F.abs(value) < float(1 << 62), value)
     whole = F.floor(value)
-    rest = (value - whole) * _LIMB
+    rest = (value - whole) * _HIGH
     high = F.floor(rest)
-    return [whole, high, F.round((rest - high) * _LIMB).cast("bigint")]
+    return [whole, high, F.round((rest - high) * _LOW).cast("bigint")]
 
 
 def from_limbs(parts: Sequence[Column]) -> Column:
     whole, high, low = (p.cast("double") for p in parts)
-    return whole + (high + low / _LIMB) / _LIMB
+    return whole + (high + low / _LOW) / _HIGH
 
 
 def exact_sum(value: Column) -> Column:
     """Sum of doubles that does not depend on the order of rows. Missing if there is no value.
 
-    Integers are added, of which each limb takes 2^43 rows.
+    Integers are added: the parts of 2^33 rows at least fit.
     """
     return from_limbs([F.sum(p) for p in limbs(value)])
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duesight.functions.cleaning import keep_first, midnight
+from duesight.operators.ledger import TARGET
 from duesight.operators.skew import NO_SKEW, Skew, lookup_join
 from duesight.plans.features import RawTables
 from duesight.sources.tables import invoice_range_predicate, invoices_in_range, receipts_in_range
@@ -54,7 +55,7 @@ def targets_with_history(
     invoice: DataFrame, customer: DataFrame, time_range: str, snapshot=None, start=None, end=None,
     year: int | None = None, skew: Skew = NO_SKEW,
 ) -> DataFrame:
-    """Targets and history in one pass over the invoices, instead of a union of two."""
+    """Targets and history in one pass over the invoices, instead of a union of two; TARGET tells them apart."""
     wanted = invoice_range_predicate(invoice, time_range, snapshot, start, end, year)
     parties = target_parties(invoice.where(wanted), customer, skew).withColumn("_wanted_party", F.lit(True))
     history = F.col("_wanted_party").isNotNull()
@@ -64,7 +65,8 @@ def targets_with_history(
     rows = marked.select(*invoice.columns, F.when(wanted, 0).when(history, 1).alias("_source"))
     names = invoice.columns
     order = ["_source", "TRX_DATE", *[c for c in names if c not in ("CUSTOMER_TRX_ID", "TRX_DATE")]]
-    return keep_first(rows.where(F.col("_source").isNotNull()), ["CUSTOMER_TRX_ID"], order).select(*names)
+    kept = keep_first(rows.where(F.col("_source").isNotNull()), ["CUSTOMER_TRX_ID"], order)
+    return kept.select(*names, (F.col("_source") == 0).alias(TARGET))
 
 
 def receipts_of(receipt: DataFrame, invoices: DataFrame, snapshot=None) -> DataFrame:
@@ -99,6 +101,9 @@ def run_inputs(
 
 
 def restrict_to_targets(rows: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """Rows of the ids. Rows that carry the flag of their run need no join."""
+    if TARGET in rows.columns:
+        return rows.where(TARGET).drop(TARGET)
     if ids is None:
         return rows
     return rows.join(ids.select("CUSTOMER_TRX_ID"), "CUSTOMER_TRX_ID", "left_semi").select(*rows.columns)

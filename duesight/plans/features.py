@@ -11,21 +11,26 @@ from pyspark.sql import functions as F
 from duesight.functions.cleaning import holds, midnight, plus_days
 from duesight.operators.customers import attach_customers, base_invoices
 from duesight.operators.features import asof_columns, pre_due_columns
-from duesight.operators.history import POOLED, invoice_history, party_history, pooled_history
-from duesight.operators.invoices import clean_invoices, invoice_core
-from duesight.operators.receipts import PAYMENT_FACTS, base_payments, payment_facts
+from duesight.operators.history import invoice_history, party_history, pooled_history
+from duesight.operators.invoices import clean_invoices
+from duesight.operators.ledger import invoice_core, ledger, with_payment_facts
+from duesight.operators.receipts import PAYMENT_FACTS, base_payments
 from duesight.operators.skew import Skew, measure_skew
 from duesight.settings import OBSERVE_MIN_DAYS
 
 
 @dataclass(frozen=True)
 class RawTables:
-    """The three input tables; `target_ids` restricts what a run returns."""
+    """The three input tables; `target_ids` restricts what a run returns.
+
+    `has_memos` says whether there are credit memos at all where the invoices are part of a larger table.
+    """
 
     invoice: DataFrame
     receipt: DataFrame
     customer: DataFrame | None = None
     target_ids: DataFrame | None = None
+    has_memos: bool | None = None
 
 
 def base_tables(raw: RawTables, snapshot, repair_years: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -36,8 +41,11 @@ def base_tables(raw: RawTables, snapshot, repair_years: bool = True) -> tuple[Da
 
 def _facts(raw: RawTables, core: DataFrame, snapshot, as_of_col: str, prefix: str, skew: Skew) -> DataFrame:
     """Payment facts first, by invoice id as the core is; customers next, ending by party."""
-    facts = payment_facts(core, base_payments(raw.receipt, snapshot), snapshot, as_of_col, prefix)
-    return attach_customers(facts, raw.customer, skew)
+    return attach_customers(with_payment_facts(core, snapshot, as_of_col, prefix), raw.customer, skew)
+
+
+def _ledger(raw: RawTables, snapshot) -> DataFrame:
+    return ledger(raw.invoice, raw.receipt, snapshot, has_memos=raw.has_memos)
 
 
 def party_skew(raw: RawTables) -> Skew:
@@ -50,8 +58,7 @@ def snapshot_features(
 ) -> DataFrame:
     """The production feature table: one row per invoice."""
     skew = party_skew(raw) if skew is None else skew
-    core = invoice_core(raw.invoice, raw.receipt, snapshot)
-    facts = _facts(raw, core, snapshot, "AS_OF_DATE", "pre_due", skew)
+    facts = _facts(raw, _ledger(raw, snapshot), snapshot, "AS_OF_DATE", "pre_due", skew)
     hist = party_history(facts, snapshot, skew=skew)
     rows = hist.select("*", *pre_due_columns())
     return rows if keep_facts else rows.drop(*PAYMENT_FACTS)
@@ -67,7 +74,7 @@ def monitoring_features(
     """Features as of the snapshot, or as of a fixed age capped by the snapshot."""
     skew = party_skew(raw) if skew is None else skew
     snap = midnight(snapshot)
-    core = invoice_core(raw.invoice, raw.receipt, snapshot).drop("AS_OF_DATE")
+    core = _ledger(raw, snapshot).drop("AS_OF_DATE")
     aged = plus_days(F.col("TRX_DATE"), observe_min_days)
     as_of = snap if asof_to_snapshot else F.when(aged > snap, snap).otherwise(aged)
     core = core.withColumn("AS_OF_DATE_MON", as_of)
@@ -82,15 +89,10 @@ def monitoring_features(
 
 
 def pooled_snapshot_features(raw: RawTables, snapshot, skew: Skew | None = None) -> DataFrame:
-    """Snapshot features plus the pooled variant under the prefix `pooled_`."""
-    skew = party_skew(raw) if skew is None else skew
-    base = snapshot_features(raw, snapshot, skew)
-    core = invoice_core(raw.invoice, raw.receipt, snapshot)
-    facts = payment_facts(core, base_payments(raw.receipt, snapshot), snapshot, "AS_OF_DATE", "pre_due")
-    hist = invoice_history(facts)
-    pooled = pooled_history(hist, pooled_skew(raw))
-    renamed = pooled.select("CUSTOMER_TRX_ID", *[F.col(c).alias(f"pooled_{c}") for c in POOLED])
-    return base.join(renamed, "CUSTOMER_TRX_ID", "left")
+    """Snapshot features plus the pooled variant under the prefix `pooled_`, from the same rows."""
+    base = snapshot_features(raw, snapshot, skew, keep_facts=True)
+    names = [c for c in base.columns if c not in PAYMENT_FACTS]
+    return pooled_history(invoice_history(base), pooled_skew(raw), names)
 
 
 def pooled_skew(raw: RawTables) -> Skew:

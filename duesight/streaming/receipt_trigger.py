@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from duesight.operators.invoices import clean_invoices, drop_unpaid_nonpositive
+from duesight.operators.ledger import TARGET
 from duesight.operators.scoring import Model, score_table
 from duesight.operators.targets import history_of_parties, receipts_of
 from duesight.plans.features import RawTables
@@ -25,14 +27,16 @@ from duesight.schemas import RECEIPT
 from duesight.session import materialise
 from duesight.sinks.publish import RunKey, publish_scores
 
+
 def receipt_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(RECEIPT).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
 def touched_invoices(receipts: DataFrame, invoice: DataFrame) -> DataFrame:
-    """All invoices of the parties whose invoices got a receipt, and those without a party themselves.
+    """All invoices of the parties whose invoices got a receipt, and those without a party themselves; TARGET is true.
 
-    A receipt of a credit memo also touches the invoice that the memo is netted with.
+    A receipt of a credit memo also touches the invoice that the memo is netted with. Memos of touched invoices that
+    belong to other parties, or to none, come along for the netting only: their TARGET is false.
     """
     paid = receipts.select(F.col("APPLIED_CUSTOMER_TRX_ID").alias("CUSTOMER_TRX_ID")).distinct()
     narrow = invoice.select("CUSTOMER_TRX_ID", "PARTY_ID", "PREVIOUS_CUSTOMER_TRX_ID")
@@ -44,7 +48,18 @@ def touched_invoices(receipts: DataFrame, invoice: DataFrame) -> DataFrame:
     parties = both.select("PARTY_ID").where(F.col("PARTY_ID").isNotNull()).distinct()
     alone = both.where(F.col("PARTY_ID").isNull()).select("CUSTOMER_TRX_ID").distinct()
     without = invoice.where(F.col("PARTY_ID").isNull()).join(alone, "CUSTOMER_TRX_ID", "left_semi")
-    return history_of_parties(invoice, parties).unionByName(without.select(*invoice.columns))
+    touched = history_of_parties(invoice, parties).unionByName(without.select(*invoice.columns))
+    ids = touched.select(F.col("CUSTOMER_TRX_ID").alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    memos = invoice.where(F.col("PREVIOUS_CUSTOMER_TRX_ID").isNotNull())
+    context = memos.join(ids, F.col("PREVIOUS_CUSTOMER_TRX_ID") == F.col("_id"), "left_semi").join(
+        ids, F.col("CUSTOMER_TRX_ID") == F.col("_id"), "left_anti").select(*invoice.columns)
+    return touched.withColumn(TARGET, F.lit(True)).unionByName(context.withColumn(TARGET, F.lit(False)))
+
+
+def surviving_memos(tables: RawTables) -> bool:
+    """Whether the whole table has credit memos that count; stops at the first."""
+    memos = clean_invoices(tables.invoice).where(F.col("PREVIOUS_CUSTOMER_TRX_ID").isNotNull())
+    return not drop_unpaid_nonpositive(memos, tables.receipt).isEmpty()
 
 
 def rescore_batch(
@@ -63,7 +78,9 @@ def rescore_batch(
         tables = source()
         # Written out: the batch is read once, the invoices several times.
         invoices = materialise(touched_invoices(batch, tables.invoice), "touched")
-        raw = RawTables(invoices, receipts_of(tables.receipt, invoices), tables.customer)
+        # What the batch nets with is part of the whole; whether amounts are cut at zero is up to the whole.
+        memos = surviving_memos(tables)
+        raw = RawTables(invoices, receipts_of(tables.receipt, invoices), tables.customer, has_memos=memos)
         scored = score_table(score_snapshot(raw, snapshot, model))
         # Of one moment's batches the larger number sorts last as text, too.
         run = replace(served, job_id=f"stream-{number:019d}", published_at=clock().isoformat(" "))

@@ -3,7 +3,8 @@ import datetime as dt
 
 from duesight.operators import customer_risk as cr
 from duesight.operators import receipts as rc
-from duesight.operators.invoices import clean_invoices, invoice_core
+from duesight.operators.invoices import clean_invoices
+from duesight.operators.ledger import invoice_core
 from duesight.operators.targets import run_inputs
 from duesight.plans.features import RawTables, snapshot_features
 from duesight.schemas import CUSTOMER, INVOICE, RECEIPT

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from duesight.checks.fixtures import SNAPSHOT, raw_tables
 from duesight.functions.cleaning import keep_first
 from duesight.operators.history import invoice_history, pooled_history
-from duesight.operators.invoices import invoice_core
+from duesight.operators.ledger import invoice_core
 from duesight.operators.receipts import base_payments, payment_facts
 from duesight.operators.skew import NO_SKEW, Skew, exact_sum, lookup_join, measure_skew, running
 from duesight.plans.features import RawTables, snapshot_features
