@@ -1,6 +1,6 @@
 """Party-ordered running aggregates and lookups that hold up when one key is huge.
 
-Two physical forms of the running aggregates give the same values, bit by bit:
+Two physical forms of the running aggregates give the same values:
 
 * plain: one exchange and one sort on the party, every aggregate in one window
   operator. Right while no party exceeds what a running median bears, as that
@@ -12,8 +12,8 @@ Two physical forms of the running aggregates give the same values, bit by bit:
   of the earlier values, cut to where the median can lie. Only a party that
   crosses a chunk border needs that carry, at most one party per border.
 
-Sums are exact (see `exact_sum`), so neither the form nor the partitioning can be
-seen in them. `measure_skew` decides between the forms from a count per party, and
+Sums of integers, counts, minima and medians agree bit by bit, sums of doubles up to
+the order of adding. `measure_skew` decides between the forms from a count per party, and
 gives the keys whose rows a lookup join has to deal to several lanes.
 """
 
@@ -36,7 +36,6 @@ TASK_ROWS = 1_000_000
 LANE_ROWS = 1_000_000
 #: Lane tables of no more rows are broadcast (16 bytes a row).
 BROADCAST_KEYS = 1_000_000
-_HIGH, _LOW = 1 << 20, 1 << 30
 
 
 @dataclass(frozen=True)
@@ -126,26 +125,12 @@ def lookup_join(
     return with_lane(rows, key, row_id, skew).join(lookup.select(*names, lane.alias("_lane")), [key, "_lane"], "left")
 
 
-def limbs(value: Column) -> list[Column]:
-    """A double as whole part, 20 and 30 bits of fraction, all integers; beyond 2^62 it is missing."""
-    value = F.when(F.abs(value) < float(1 << 62), value)
-    whole = F.floor(value)
-    rest = (value - whole) * _HIGH
-    high = F.floor(rest)
-    return [whole, high, F.round((rest - high) * _LOW).cast("bigint")]
-
-
-def from_limbs(parts: Sequence[Column]) -> Column:
-    whole, high, low = (p.cast("double") for p in parts)
-    return whole + (high + low / _LOW) / _HIGH
-
-
 def exact_sum(value: Column) -> Column:
     """Sum of doubles that does not depend on the order of rows. Missing if there is no value.
 
-    Integers are added: the parts of 2^33 rows at least fit.
+    Decimals of 18 places are added; a value with more than 20 digits before them is missing.
     """
-    return from_limbs([F.sum(p) for p in limbs(value)])
+    return F.sum(value.try_cast("decimal(38,18)")).cast("double")
 
 
 def running(
@@ -163,7 +148,7 @@ def running(
     """Add aggregates over the rows of the same key that come earlier in `order`.
 
     `order` names columns that are total within a key; missing values sort last.
-    sums: of doubles, exact; totals: of integers; both 0 when there is no earlier
+    sums: of doubles; totals: of integers; both 0 when there is no earlier
     value. counts: earlier non-missing values. lows: minimum so far, the row
     itself included. medians: exact, of integers.
     """
@@ -175,28 +160,18 @@ def running(
     prior = here.rowsBetween(W.unboundedPreceding, -1)
     so_far = here.rowsBetween(W.unboundedPreceding, W.currentRow)
 
-    def total(c: Column) -> Column:
-        return F.coalesce(F.sum(c).over(prior), F.lit(0))
-
-    parts = {f"_{k}_{n}": p for n, c in sums.items() for k, p in enumerate(limbs(c))}
-    found = rows.select(
+    return rows.select(
         "*",
-        *[total(p).alias(n) for n, p in parts.items()],
-        *[total(c).alias(n) for n, c in totals.items()],
+        *[F.coalesce(F.sum(c).over(prior), F.lit(0.0)).alias(n) for n, c in sums.items()],
+        *[F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(n) for n, c in totals.items()],
         *[F.count(c).over(prior).alias(n) for n, c in counts.items()],
         *[F.min(c).over(so_far).alias(n) for n, c in lows.items()],
         *[F.percentile(c, F.lit(0.5)).over(prior).alias(n) for n, c in medians.items()],
     )
-    return _summed(found, rows.columns, sums, [*totals, *counts, *lows, *medians])
-
-
-def _summed(found: DataFrame, names: Sequence[str], sums, rest: Sequence[str]) -> DataFrame:
-    return found.select(*names, *[from_limbs([F.col(f"_{k}_{n}") for k in range(3)]).alias(n) for n in sums], *rest)
 
 
 def _running_chunked(rows, keys, order, sums, totals, counts, lows, medians, skew) -> DataFrame:
-    parts = {f"_{k}_{n}": p for n, c in sums.items() for k, p in enumerate(limbs(c))}
-    added = {**parts, **totals}
+    added = {**sums, **totals}
     values = {**added, **counts, **lows, **medians}
     wide = rows.select("*", *[c.alias(f"_v_{n}") for n, c in values.items()])
     along = [*[F.col(k) for k in keys], *[F.asc_nulls_last(c) for c in order]]
@@ -246,7 +221,7 @@ def _running_chunked(rows, keys, order, sums, totals, counts, lows, medians, ske
         *[F.least(F.min(v[n]).over(so_far), F.col(f"_c_{n}")).alias(n) for n in lows],
         *[F.percentile(v[n], F.lit(0.5), F.col("_freq")).over(prior).alias(n) for n in medians],
     )
-    return _summed(out.where(F.col("_seed") == 1), rows.columns, sums, [*totals, *counts, *lows, *medians])
+    return out.where(F.col("_seed") == 1).drop("_seed")
 
 
 def _histogram_seed(chunked: DataFrame, carry: DataFrame, keys: list[str], name: str) -> DataFrame:
