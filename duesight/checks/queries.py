@@ -626,7 +626,7 @@ def _labelled(ctx: Context) -> DataFrame:
     skew = pf.party_skew(ctx.raw)
     rows = pf.snapshot_features(ctx.raw, SNAP, skew, keep_facts=True)
     labelled = rows.withColumn("label", md.bad_debt_label(SNAP))
-    return materialise(md.feature_matrix(labelled, "label"), "training")
+    return materialise(md.feature_matrix(labelled, "label", "PARTY_ID"), "training")
 
 
 def _score_gbt(ctx: Context) -> DataFrame:
@@ -636,7 +636,7 @@ def _score_gbt(ctx: Context) -> DataFrame:
 
 def _score_stacked(ctx: Context) -> DataFrame:
     train = _labelled(ctx)
-    return md.predict_stack(md.fit_stack(train), train)
+    return md.predict_stack(md.fit_stack(train, by="PARTY_ID"), train)
 
 
 def _calibrate_isotonic(ctx: Context) -> DataFrame:
@@ -832,7 +832,7 @@ add("latest_run_covering", RUN_COLS + " effective_time_range:s",
     f"SELECT *, time_range AS effective_time_range FROM runs_sql WHERE {MINE} AND days >= 180 AND time_range <> '6m' ORDER BY completed_at DESC, job_id LIMIT 1")
 PUB_COLS = "job_id:s time_range:s snapshot_date:d published_at:t total_invoices:i"
 add("published_runs", PUB_COLS, lambda c: ct.published_runs(c.store.scores, "stacked", SNAP), "SELECT * FROM publications")
-add("published_run_covering", PUB_COLS, lambda c: ct.covering_publication(c.store.scores, "stacked", SNAP, "1m"),
+add("published_run_covering", PUB_COLS, lambda c: ct.covering_publication(c.store.scores, "stacked", SNAP, "1m", index=c.store.index),
     "SELECT * FROM publications WHERE days >= 30 ORDER BY published_at DESC, job_id LIMIT 1")
 add("published_run_exact", "job_id:s snapshot_date:d last_published_at:t",
     lambda c: ct.exact_publication(c.store.scores, "stacked", SNAP, "6m"),
@@ -861,26 +861,26 @@ add("score_preview", SCORE_COLS, lambda c: rp.preview(sc.score_table(c.store.sco
 REPORT_COLS = SCORE_COLS
 ANSWER_3M = o.answering_sql("1m")
 add("report_score", REPORT_COLS,
-    lambda c: rp.score_report(c.store.scores, "stacked", SNAP, "1m", sort_by="TRX_AMOUNT", level="MEDIUM", search="customer")["page"],
+    lambda c: rp.score_report(c.store.scores, "stacked", SNAP, "1m", sort_by="TRX_AMOUNT", level="MEDIUM", search="customer", index=c.store.index)["page"],
     f"SELECT * FROM ({ANSWER_3M}) WHERE risk_level = 'MEDIUM' AND CUSTOMER_NAME ILIKE '%customer%' ORDER BY TRX_AMOUNT DESC NULLS LAST, CUSTOMER_TRX_ID LIMIT 50")
 add("report_score_totals", "page:i page_size:i total_records:i total_pages:i",
-    lambda c: rp.score_report(c.store.scores, "stacked", SNAP, "6m", level="LOW")["totals"],
+    lambda c: rp.score_report(c.store.scores, "stacked", SNAP, "6m", level="LOW", index=c.store.index)["totals"],
     f"SELECT 1 AS page, 50 AS page_size, count(*) AS total_records, CAST(ceil(count(*) / 50.0) AS BIGINT) AS total_pages FROM ({o.answering_sql('6m')}) WHERE risk_level = 'LOW'")
 add("report_score_summary", "risk_level:s cnt:i",
-    lambda c: rp.score_report(c.store.scores, "stacked", SNAP, "1m")["risk_summary"],
+    lambda c: rp.score_report(c.store.scores, "stacked", SNAP, "1m", index=c.store.index)["risk_summary"],
     f"SELECT risk_level, count(*) AS cnt FROM ({ANSWER_3M}) GROUP BY 1")
 add("report_score_custom", REPORT_COLS,
-    lambda c: rp.score_report(c.store.scores, "stacked", SNAP, "custom", "2000-01-01", "2000-03-31", sort_by="TRX_AMOUNT")["page"],
+    lambda c: rp.score_report(c.store.scores, "stacked", SNAP, "custom", "2000-01-01", "2000-03-31", sort_by="TRX_AMOUNT", index=c.store.index)["page"],
     f"SELECT * FROM ({o.answering_sql('custom', '2000-01-01', '2000-03-31')}) ORDER BY TRX_AMOUNT DESC NULLS LAST, CUSTOMER_TRX_ID LIMIT 50")
 add("report_alerts", REPORT_COLS,
-    lambda c: rp.alerts_report(c.store.scores, "stacked", SNAP, "1y", threshold=0.6, sort_by="TRX_AMOUNT")["page"],
+    lambda c: rp.alerts_report(c.store.scores, "stacked", SNAP, "1y", threshold=0.6, sort_by="TRX_AMOUNT", index=c.store.index)["page"],
     f"SELECT * FROM ({o.answering_sql('1y')}) WHERE prob_bad_debt >= 0.6 ORDER BY TRX_AMOUNT DESC NULLS LAST, CUSTOMER_TRX_ID LIMIT 50")
 add("report_early_warning", "processed_invoices:i alerts_count:i high_risk_count:i",
-    lambda c: rp.early_warning_report(c.store.scores, "stacked", SNAP, "1m")["counts"], f"""
+    lambda c: rp.early_warning_report(c.store.scores, "stacked", SNAP, "1m", index=c.store.index)["counts"], f"""
 SELECT count(*) AS processed_invoices, count(*) FILTER (WHERE prob_bad_debt >= 0.3) AS alerts_count,
        count(*) FILTER (WHERE prob_bad_debt >= 0.6) AS high_risk_count FROM ({ANSWER_3M})""")
 add("report_chart", f"{ID} ACCOUNT_NUMBER:s CUSTOMER_NAME:s SBU:s prob_bad_debt:f expected_financial_loss:f risk_level:s recommended_action:s",
-    lambda c: rp.chart_rows(c.store.scores, "stacked", SNAP, "1y"), f"SELECT * FROM ({o.answering_sql('1y')})")
+    lambda c: rp.chart_rows(c.store.scores, "stacked", SNAP, "1y", index=c.store.index), f"SELECT * FROM ({o.answering_sql('1y')})")
 add("report_customer_risk", RISK_COLS,
     lambda c: rp.customer_risk_report(
         st.catalogue(c.store.risk), c.store.risk, "stacked", SNAP, "1m", sort_by="total_amount", level="MEDIUM")["page"],

@@ -18,7 +18,7 @@ from duesight.operators.scoring import score, score_table
 from duesight.plans.features import RawTables, snapshot_features
 from duesight.schemas import CUSTOMER_RISK, SCORES
 from duesight.session import materialise, scratch_path
-from duesight.sinks.publish import RunKey, publish_customer_risk, publish_scores, read_table
+from duesight.sinks.publish import RunKey, publish_customer_risk, publish_scores, read_index, read_table
 from duesight.sources.tables import invoices_in_range
 
 # job, model, range, start, end, published at
@@ -44,6 +44,7 @@ class Store:
     scores: DataFrame
     risk: DataFrame
     scores_path: str
+    index: DataFrame
 
 
 _stores: dict[tuple[str, str], Store] = {}
@@ -63,20 +64,21 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
         scored = materialise(scored_all(spark, sf_dir), "scored")
-        scores_path, risk_path = scratch_path(spark, "scores"), scratch_path(spark, "risk")
+        scores_path, risk_path, index_path = (scratch_path(spark, n) for n in ("scores", "risk", "index"))
         for run in run_keys():
             rows = invoices_in_range(scored, run.time_range, SNAPSHOT, run.start_date, run.end_date)
-            publish_scores(score_table(rows), scores_path, run)
+            publish_scores(score_table(rows), scores_path, run, index_path=index_path)
             publish_customer_risk(customer_risk(rows, True), risk_path, run)
         again = RunKey(AGAIN[0], "stacked", SNAPSHOT, "3m", AGAIN[1])
         rows = invoices_in_range(halved(scored), "3m", SNAPSHOT)
-        publish_scores(score_table(rows), scores_path, again, replace=False)
+        publish_scores(score_table(rows), scores_path, again, replace=False, index_path=index_path)
         _stores[key] = Store(
             raw_tables(spark, sf_dir),
             scored,
             read_table(spark, scores_path, SCORES),
             read_table(spark, risk_path, CUSTOMER_RISK),
             scores_path,
+            read_index(spark, index_path),
         )
     return _stores[key]
 

@@ -6,6 +6,8 @@ hand, with the label "any of the three bad-debt events happened by the snapshot"
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -49,8 +51,7 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.select("CUSTOMER_TRX_ID", positive("probability").alias("prob_bad_debt"))
 
 
-def fit_stack(train: DataFrame, trees: int = 10, depth: int = 4) -> PipelineModel:
-    """Boosted trees on the features and a logistic on their scaled form, then a logistic on both."""
+def _bases(trees: int, depth: int) -> Pipeline:
     tree = GBTClassifier(
         featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=7
     ).setPredictionCol("tree_class").setRawPredictionCol("tree_raw").setProbabilityCol("tree_p")
@@ -59,12 +60,31 @@ def fit_stack(train: DataFrame, trees: int = 10, depth: int = 4) -> PipelineMode
         featuresCol="scaled", labelCol="label", predictionCol="logit_class",
         rawPredictionCol="logit_raw", probabilityCol="logit_p",
     )
-    base = Pipeline(stages=[*_prepared(), tree, scaler, logit]).fit(train)
+    return Pipeline(stages=[*_prepared(), tree, scaler, logit])
+
+
+def fold_of(by: str, row_id: str = "CUSTOMER_TRX_ID", folds: int = 3) -> Column:
+    """Rows of one key share a fold; rows without a key are dealt by their id."""
+    return F.pmod(F.when(F.col(by).isNull(), F.xxhash64(row_id)).otherwise(F.xxhash64(by)), F.lit(folds))
+
+
+def fit_stack(train: DataFrame, trees: int = 10, depth: int = 4, by: str = "CUSTOMER_TRX_ID", folds: int = 3) -> PipelineModel:
+    """Boosted trees on the features and a logistic on their scaled form, then a logistic on both.
+
+    Cross-fitted: the last step learns from probabilities that base models gave to folds they were not fitted on, so it
+    trusts them for what they know about other rows. Folds go by the hash of a key, as the rows of one party tell about
+    each other. The base models that stay are fitted on all rows.
+    """
+    dealt = train.withColumn("_fold", fold_of(by, folds=folds))
+    unseen = [
+        base_probabilities(_bases(trees, depth).fit(dealt.where(F.col("_fold") != k)), dealt.where(F.col("_fold") == k), "label")
+        for k in range(folds)
+    ]
     pair = VectorAssembler(inputCols=["p_tree", "p_logit"], outputCol="pair")
     meta = Pipeline(stages=[pair, LogisticRegression(featuresCol="pair", labelCol="label")]).fit(
-        base_probabilities(base, train, "label")
+        reduce(DataFrame.unionByName, unseen)
     )
-    return PipelineModel(stages=[base, meta])
+    return PipelineModel(stages=[_bases(trees, depth).fit(train), meta])
 
 
 def base_probabilities(base, rows: DataFrame, *more: str) -> DataFrame:

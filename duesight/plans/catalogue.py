@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duesight.schemas import PUBLICATIONS
 from duesight.settings import COVER_DAYS
 
 
@@ -68,24 +69,30 @@ def latest_covering_run(
     )
 
 
-def published_runs(scores: DataFrame, model_key: str, snapshot) -> DataFrame:
-    """Every publication of a model and snapshot with its number of rows."""
-    return (
-        scores.where((F.col("model_key") == model_key) & (F.col("snapshot_date") == _day(snapshot)))
-        .groupBy("job_id", "time_range", "snapshot_date", "published_at", "start_date", "end_date", "date_window")
-        .agg(F.count("*").alias("total_invoices"))
-    )
+def publications(scores: DataFrame) -> DataFrame:
+    """The index of a published table: a row per publication. Jobs append theirs, so that no report has to count."""
+    keys = [c for c in PUBLICATIONS.names if c != "total_invoices"]
+    return scores.groupBy(*keys).agg(F.count("*").alias("total_invoices"))
+
+
+def _wanted(rows: DataFrame, model_key: str, snapshot) -> DataFrame:
+    return rows.where((F.col("model_key") == model_key) & (F.col("snapshot_date") == _day(snapshot)))
+
+
+def published_runs(scores: DataFrame, model_key: str, snapshot, index: DataFrame | None = None) -> DataFrame:
+    """Every publication of a model and snapshot with its number of rows, from the index where there is one."""
+    return publications(_wanted(scores, model_key, snapshot)) if index is None else _wanted(index, model_key, snapshot)
 
 
 def covering_publication(
-    scores: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None
+    scores: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None, index: DataFrame | None = None
 ) -> DataFrame:
     """The newest publication that covers the request, else the newest exact one.
 
     `all` covers every preset and an `all` request; a preset covers shorter
     ones; a custom request needs its own dates.
     """
-    found = published_runs(scores, model_key, snapshot)
+    found = published_runs(scores, model_key, snapshot, index)
     exact = _exact(time_range, start, end)
     if time_range == "custom":
         covers = exact
@@ -122,3 +129,14 @@ def rows_of(rows: DataFrame, run: DataFrame) -> DataFrame:
     take part in the join, so only its partition is read."""
     keys = ["job_id", *[c for c in ("time_range", "date_window") if c in run.columns and c in rows.columns]]
     return rows.join(F.broadcast(run.select(*keys)), keys, "left_semi").select(*rows.columns)
+
+
+def rows_of_found(rows: DataFrame, run: DataFrame) -> DataFrame:
+    """As rows_of, with the run looked up first: its partition is named by literals, so that nothing else is listed or read."""
+    found = run.first()
+    if found is None:
+        return rows.where(F.lit(False))
+    keys = ["model_key", "snapshot_date", "time_range", "date_window", "job_id"]
+    for c in (k for k in keys if k in run.columns and k in rows.columns):
+        rows = rows.where(F.col(c) == F.lit(found[c]))
+    return rows

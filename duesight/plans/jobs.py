@@ -95,6 +95,7 @@ def run_snapshot(
     models: Mapping[str, Model] | None = None,
     replace: bool = True,
     runs_path: str | None = None,
+    index_path: str | None = None,
     keep_published_days: int | None = None,
     year: int | None = None,
     low: float = THRESHOLD_LOW,
@@ -103,7 +104,8 @@ def run_snapshot(
     """Fetch, score, exclude, aggregate and publish one run; returns its catalogue row.
 
     The scored rows are written out once and feed both result tables. The row is
-    appended to the run catalogue at `runs_path`, once both tables are published.
+    appended to the run catalogue at `runs_path`, once both tables are published, and
+    the publication to the index at `index_path`, from which the reports find it.
     With `keep_published_days` older score rows go then.
     """
     began = time.time()
@@ -118,7 +120,7 @@ def run_snapshot(
     kept = materialise(scored.select(*names), "scored")
 
     risk = customer_risk(kept, True, low, high)
-    publish_scores(score_table(kept), scores_path, run, replace)
+    publish_scores(score_table(kept), scores_path, run, replace, index_path)
     publish_customer_risk(risk, risk_path, run, replace)
 
     levels = _counts(kept, "risk_level")

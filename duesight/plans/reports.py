@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duesight.operators.customer_risk import level_counts, warning_counts
-from duesight.plans.catalogue import covering_publication, latest_covering_run, rows_of
+from duesight.plans.catalogue import covering_publication, latest_covering_run, rows_of, rows_of_found
 from duesight.functions.risk import checked
 from duesight.settings import MAX_PAGE_SIZE, PAGE_SIZE, PREVIEW_ROWS, RISK_LEVELS, THRESHOLD_HIGH, THRESHOLD_LOW, TOP_LOSS_ROWS
 from duesight.sinks.publish import latest_per_invoice
@@ -156,22 +156,38 @@ def preview(rows: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
     return rows.orderBy("CUSTOMER_TRX_ID").limit(n)
 
 
-def answering_rows(scores: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None) -> DataFrame:
-    """Newest row per invoice of the covering publication, cut to the requested range."""
-    run = covering_publication(scores, model_key, snapshot, time_range, start, end)
+def answering_rows(
+    scores: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None, index: DataFrame | None = None
+) -> DataFrame:
+    """Newest row per invoice of the covering publication, cut to the requested range.
+
+    With the index of publications no score row is read to find it, and only its partition is read.
+    """
+    run = covering_publication(scores, model_key, snapshot, time_range, start, end, index)
     wanted = scores.where(
         (F.col("model_key") == model_key) & (F.col("snapshot_date") == F.lit(str(snapshot)).cast("date"))
     )
-    return latest_per_invoice(scored_in_range(rows_of(wanted, run), time_range, snapshot, start, end))
+    rows = rows_of(wanted, run) if index is None else rows_of_found(scores, run)
+    return latest_per_invoice(scored_in_range(rows, time_range, snapshot, start, end))
+
+
+def _paged(
+    shown: DataFrame, page: int, size: int, sort_by: str, direction: str, allowed: list[str], ties: list[str],
+    after: Mapping[str, object] | None,
+) -> DataFrame:
+    """The page of a number, or the one after a row that the caller has seen."""
+    if after is not None:
+        return page_after(shown, after, sort_by, direction, allowed, ties, size)
+    return page_of(shown, sort_order(sort_by, direction, allowed, ties), page, size)
 
 
 def _score_parts(
-    rows: DataFrame, page: int, size: int, sort_by: str, direction: str, level: str | None, search: str | None
+    rows: DataFrame, page: int, size: int, sort_by: str, direction: str, level: str | None, search: str | None,
+    after: Mapping[str, object] | None = None,
 ) -> dict[str, DataFrame]:
     shown = with_name(with_level(rows, level, "risk_level"), search)
-    order = sort_order(sort_by, direction, SCORE_SORT, ["CUSTOMER_TRX_ID"])
     return {
-        "page": page_of(shown, order, page, size).select(*SCORE_REPORT),
+        "page": _paged(shown, page, size, sort_by, direction, SCORE_SORT, ["CUSTOMER_TRX_ID"], after).select(*SCORE_REPORT),
         "totals": page_totals(shown, page, size),
         "risk_summary": level_counts(rows, "risk_level"),
         "top_loss": top_loss(rows).select(*SCORE_REPORT),
@@ -181,27 +197,28 @@ def _score_parts(
 def score_report(
     scores: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None, page: int = 1,
     size: int = PAGE_SIZE, sort_by: str = "prob_bad_debt", direction: str = "desc",
-    level: str | None = None, search: str | None = None,
+    level: str | None = None, search: str | None = None, index: DataFrame | None = None,
+    after: Mapping[str, object] | None = None,
 ) -> dict[str, DataFrame]:
     """Page, totals, counts per level and the largest expected losses.
 
     The parts are separate frames over the same rows; a caller who wants several
-    of them may write the answering rows out first.
+    of them may write the answering rows out first. `after` is the last row of the page before.
     """
-    rows = answering_rows(scores, model_key, snapshot, time_range, start, end)
-    return _score_parts(rows, page, size, sort_by, direction, level, search)
+    rows = answering_rows(scores, model_key, snapshot, time_range, start, end, index)
+    return _score_parts(rows, page, size, sort_by, direction, level, search, after)
 
 
 def alerts_report(
     scores: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None,
     threshold: float = THRESHOLD_LOW, page: int = 1, size: int = PAGE_SIZE,
     sort_by: str = "prob_bad_debt", direction: str = "desc", search: str | None = None,
+    index: DataFrame | None = None, after: Mapping[str, object] | None = None,
 ) -> dict[str, DataFrame]:
-    rows = answering_rows(scores, model_key, snapshot, time_range, start, end)
+    rows = answering_rows(scores, model_key, snapshot, time_range, start, end, index)
     shown = with_name(rows.where(F.col("prob_bad_debt") >= threshold), search)
-    order = sort_order(sort_by, direction, ALERT_SORT, ["CUSTOMER_TRX_ID"])
     return {
-        "page": page_of(shown, order, page, size).select(*SCORE_REPORT),
+        "page": _paged(shown, page, size, sort_by, direction, ALERT_SORT, ["CUSTOMER_TRX_ID"], after).select(*SCORE_REPORT),
         "totals": page_totals(shown, page, size),
         "risk_summary": level_counts(rows, "risk_level"),
     }
@@ -211,22 +228,25 @@ def early_warning_report(
     scores: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None, page: int = 1,
     size: int = PAGE_SIZE, sort_by: str = "prob_bad_debt", direction: str = "desc",
     level: str | None = None, search: str | None = None, low: float = THRESHOLD_LOW, high: float = THRESHOLD_HIGH,
+    index: DataFrame | None = None, after: Mapping[str, object] | None = None,
 ) -> dict[str, DataFrame]:
     """The score report plus alert and high-risk counts over the searched rows."""
     low, high = checked(low, high)
-    rows = answering_rows(scores, model_key, snapshot, time_range, start, end)
-    parts = _score_parts(rows, page, size, sort_by, direction, level, search)
+    rows = answering_rows(scores, model_key, snapshot, time_range, start, end, index)
+    parts = _score_parts(rows, page, size, sort_by, direction, level, search, after)
     return {**parts, "counts": warning_counts(with_name(rows, search), low, high)}
 
 
-def chart_rows(scores: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None) -> DataFrame:
+def chart_rows(
+    scores: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None, index: DataFrame | None = None
+) -> DataFrame:
     """Narrow rows for a chart; empty when nothing was published.
 
     A request that no publication answers is served from the `all` run, cut to
     its range.
     """
-    run = covering_publication(scores, model_key, snapshot, time_range, start, end)
-    other = covering_publication(scores, model_key, snapshot, "all")
+    run = covering_publication(scores, model_key, snapshot, time_range, start, end, index)
+    other = covering_publication(scores, model_key, snapshot, "all", index=index)
     first = (
         run.withColumn("_choice", F.lit(0))
         .unionByName(other.withColumn("_choice", F.lit(1)))
@@ -236,14 +256,15 @@ def chart_rows(scores: DataFrame, model_key: str, snapshot, time_range: str, sta
     wanted = scores.where(
         (F.col("model_key") == model_key) & (F.col("snapshot_date") == F.lit(str(snapshot)).cast("date"))
     )
-    rows = scored_in_range(rows_of(wanted, first), time_range, snapshot, start, end)
+    found = rows_of(wanted, first) if index is None else rows_of_found(scores, first)
+    rows = scored_in_range(found, time_range, snapshot, start, end)
     return latest_per_invoice(rows).select(*CHART)
 
 
 def customer_risk_report(
     runs: DataFrame, risk: DataFrame, model_key: str, snapshot, time_range: str, start=None, end=None,
     page: int = 1, size: int = PAGE_SIZE, sort_by: str = "cust_score_max", direction: str = "desc",
-    level: str | None = None, search: str | None = None,
+    level: str | None = None, search: str | None = None, after: Mapping[str, object] | None = None,
 ) -> dict[str, DataFrame]:
     """Customer risk of the run that answers, with the run itself."""
     run = latest_covering_run(runs, model_key, snapshot, time_range, start, end)
@@ -251,9 +272,8 @@ def customer_risk_report(
     wanted = risk.where((F.col("model_key") == model_key) & (F.col("snapshot_date") == F.lit(str(snapshot)).cast("date")))
     rows = rows_of(wanted, run.select("job_id", "time_range"))
     shown = with_name(with_level(rows, level, "risk_cust"), search)
-    order = sort_order(sort_by, direction, RISK_SORT, RISK_TIE)
     return {
-        "page": page_of(shown, order, page, size).select(*RISK_REPORT),
+        "page": _paged(shown, page, size, sort_by, direction, RISK_SORT, RISK_TIE, after).select(*RISK_REPORT),
         "totals": page_totals(shown, page, size),
         "run": run,
     }

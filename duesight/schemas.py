@@ -73,6 +73,12 @@ CUSTOMER_RISK = _struct(
 # is "start_end" for a custom range and "-" otherwise.
 PARTITION = ["model_key", "snapshot_date", "time_range", "date_window"]
 
+# The index of publications: one row for each publication of a run, with its number of score rows.
+PUBLICATIONS = _struct(
+    "job_id string, model_key string, snapshot_date date, time_range string, date_window string, "
+    "start_date date, end_date date, published_at timestamp, total_invoices bigint"
+)
+
 RUNS = _struct(
     "job_id string, status string, model_key string, snapshot_date date, time_range string, "
     "start_date date, end_date date, total_invoices bigint, total_customers bigint, "

@@ -6,13 +6,13 @@ import datetime as dt
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duesight.functions.cleaning import finite
-from duesight.schemas import CUSTOMER_RISK, PARTITION, SCORES
+from duesight.schemas import CUSTOMER_RISK, PARTITION, PUBLICATIONS, SCORES
 from duesight.session import materialise
 
 
@@ -68,21 +68,39 @@ def drop_partition(spark: SparkSession, path: str, values: dict) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def _publish(rows: DataFrame, path: str, run: RunKey, replace: bool) -> None:
-    _write(rows, path, replace)
-    if replace and rows.isEmpty():
+def _publish(rows: DataFrame, path: str, run: RunKey, replace: bool) -> int:
+    """The number of rows written, counted by the write itself. A rerun without rows removes what the run had published."""
+    seen = Observation()
+    _write(rows.observe(seen, F.count("*").alias("n")), path, replace)
+    written = seen.get["n"]
+    if replace and not written:
         drop_partition(rows.sparkSession, path, {n: getattr(run, n) for n in PARTITION})
+    return written
 
 
-def publish_scores(scored: DataFrame, path: str, run: RunKey, replace: bool = True) -> None:
-    """Publish invoice scores. Replacing touches only the run's own partition,
+def publish_scores(
+    scored: DataFrame, path: str, run: RunKey, replace: bool = True, index_path: str | None = None
+) -> int:
+    """Publish invoice scores; returns how many. Replacing touches only the run's own partition,
     custom windows each having their own; appending leaves older rows, which
-    readers skip by taking the newest row per invoice."""
-    _publish(conform(scored, SCORES, run), path, run, replace)
+    readers skip by taking the newest row per invoice. With `index_path` the
+    publication's row goes to the index of publications."""
+    written = _publish(conform(scored, SCORES, run), path, run, replace)
+    if index_path is not None:
+        spark = scored.sparkSession
+        keys = {n: c.cast(PUBLICATIONS[n].dataType).alias(n) for n, c in run.columns().items()}
+        row = spark.range(1).select(*[keys[n] if n in keys else F.lit(written).cast("bigint").alias(n) for n in PUBLICATIONS.names])
+        row.coalesce(1).write.mode("append").parquet(index_path)
+    return written
 
 
-def publish_customer_risk(risk: DataFrame, path: str, run: RunKey, replace: bool = True) -> None:
-    _publish(conform(risk, CUSTOMER_RISK, run), path, run, replace)
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index of publications. Of one partition's rows the newest says what a replacing job has left."""
+    return read_table(spark, path, PUBLICATIONS)
+
+
+def publish_customer_risk(risk: DataFrame, path: str, run: RunKey, replace: bool = True) -> int:
+    return _publish(conform(risk, CUSTOMER_RISK, run), path, run, replace)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

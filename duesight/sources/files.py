@@ -18,27 +18,30 @@ FORMATS = {"parquet": "parquet", "pq": "parquet", "csv": "csv", "json": "json",
 CSV = {"header": True, "escape": '"'}
 
 
-def _csv(spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = True) -> DataFrame:
+def _csv(spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = False) -> DataFrame:
     """By header name: columns may be in any order, more or fewer than the schema's.
 
-    Files of one folder must have the same header; another one is an error. With
-    `line_breaks` fields may hold line breaks, and a file is read by one task;
-    without, large files are split.
+    Files of one folder must have the same header; another one is an error. Large
+    files are split, so a line must be a record: one with more or fewer fields than
+    the header is an error, as the parts of a record with a line break are. With
+    `line_breaks` fields may hold them, and a file is read by one task.
     """
-    reader = spark.read.options(**CSV, multiLine=line_breaks)
-    header = reader.csv(path).schema
+    header = spark.read.options(**CSV).csv(path).schema
+    # Fields are counted only where all columns are parsed.
+    reader = spark.read.options(**CSV, multiLine=line_breaks, columnPruning=line_breaks,
+                                mode="PERMISSIVE" if line_breaks else "FAILFAST")
     found = reader.schema(header).option("enforceSchema", False).csv(path)
     return found.select(
         *[(F.col(f.name) if f.name in found.columns else F.lit(None).cast("string")).alias(f.name) for f in schema]
     )
 
 
-def read_invoices(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, path, BRONZE_INVOICE)
+def read_invoices(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    return _csv(spark, path, BRONZE_INVOICE, line_breaks)
 
 
-def read_receipts(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, path, BRONZE_RECEIPT)
+def read_receipts(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    return _csv(spark, path, BRONZE_RECEIPT, line_breaks)
 
 
 def infer_format(name: str | None) -> str | None:
@@ -47,12 +50,12 @@ def infer_format(name: str | None) -> str | None:
 
 
 def read_customers(
-    spark: SparkSession, path: str, name: str | None = None, file_format: str | None = None
+    spark: SparkSession, path: str, name: str | None = None, file_format: str | None = None, line_breaks: bool = False
 ) -> DataFrame:
     """A given format wins over the file ending; without either it is a JSON array."""
     kind = file_format or infer_format(name or path)
     if kind == "csv":
-        return _csv(spark, path, BRONZE_CUSTOMER)
+        return _csv(spark, path, BRONZE_CUSTOMER, line_breaks)
     if kind == "parquet":
         found = spark.read.parquet(path)
         have = [c for c in BRONZE_CUSTOMER.names if c in found.columns]
@@ -69,11 +72,12 @@ def load_raw_tables(
     customer_path: str | None = None,
     customer_name: str | None = None,
     customer_format: str | None = None,
+    line_breaks: bool = False,
 ) -> RawTables:
     customer = None
     if customer_path is not None:
-        customer = read_customers(spark, customer_path, customer_name, customer_format)
-    return RawTables(read_invoices(spark, invoice_path), read_receipts(spark, receipt_path), customer)
+        customer = read_customers(spark, customer_path, customer_name, customer_format, line_breaks)
+    return RawTables(read_invoices(spark, invoice_path, line_breaks), read_receipts(spark, receipt_path, line_breaks), customer)
 
 
 def read_excluded_names(spark: SparkSession, path: str) -> DataFrame:

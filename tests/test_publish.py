@@ -145,3 +145,44 @@ def test_many_late_batches_are_scored_in_order(spark, sf_dir):
         handle(paid, number)
     rows = latest_per_invoice(read_table(spark, path, SCORES)).select("job_id", "time_range").distinct().collect()
     assert [(int(r["job_id"].split("-")[1]), r["time_range"]) for r in rows] == [(11, "all")]
+
+
+def test_the_index_answers_as_counting_does(spark, sf_dir):
+    made = store(spark, sf_dir)
+    names = ["job_id", "time_range", "date_window", "published_at", "total_invoices"]
+    assert sorted(ct.publications(made.scores).select(names).collect()) == sorted(made.index.select(names).collect())
+    for asked in (("1m",), ("6m",), ("1y",), ("all",), ("custom", "2000-01-01", "2000-03-31"), ("custom", "1999-01-01", "1999-01-02")):
+        counted = rp.answering_rows(made.scores, "stacked", SNAPSHOT, *asked)
+        looked_up = rp.answering_rows(made.scores, "stacked", SNAPSHOT, *asked, index=made.index)
+        assert sorted(map(repr, counted.collect())) == sorted(map(repr, looked_up.collect())), asked
+    assert rp.chart_rows(made.scores, "nobody", SNAPSHOT, "1m", index=made.index).count() == 0
+
+
+def test_a_report_reads_its_partition_only(spark, sf_dir):
+    """With the index the run is known before the plan: literal partition filters, no aggregate over scores, no join."""
+    made = store(spark, sf_dir)
+    page = rp.score_report(made.scores, "stacked", SNAPSHOT, "6m", index=made.index)["page"]
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2_000)
+    try:
+        plan = page._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    filters = plan[plan.index("PartitionFilters:") :].split("PushedFilters")[0]
+    assert all(x in filters for x in ("time_range", "= 6m", "date_window", "= -", "= stacked"))
+    assert "Aggregate" not in plan and "Join" not in plan and plan.count("FileScan") == 1
+
+
+def test_report_pages_follow_a_row(spark, sf_dir):
+    made = store(spark, sf_dir)
+
+    def page(**more):
+        return rp.score_report(made.scores, "stacked", SNAPSHOT, "1y", sort_by="TRX_AMOUNT", size=40, index=made.index, **more)["page"].collect()
+
+    first, second = page(), page(page=2)
+    assert page(after=first[-1].asDict()) == second and len(second) == 40
+
+
+def test_the_write_counts(spark, sf_dir):
+    rows, path = score_table(store(spark, sf_dir).scored), scratch_path(spark, "counted")
+    assert pb.publish_scores(rows.limit(7), path, _key("j", "2000-07-01 00:00:00")) == 7
+    assert pb.publish_scores(rows.limit(0), path, _key("j", "2000-07-01 00:00:00")) == 0
