@@ -29,6 +29,7 @@ from duesight.operators import history as hi
 from duesight.operators import invoices as iv
 from duesight.operators import ledger as lg
 from duesight.operators import models as md
+from duesight.operators.quality import Quality
 from duesight.operators import receipts as rc
 from duesight.operators import scoring as sc
 from duesight.operators import targets as tg
@@ -358,7 +359,7 @@ add("day_diffs", "CUSTOMER_TRX_ID:i whole:i floored:i",
     """SELECT CUSTOMER_TRX_ID, date_diff('day', TRX_DATE, DUE_DATE) AS whole,
  floor((epoch_us(TRX_DATE - INTERVAL 6 HOUR) - epoch_us(DUE_DATE)) / 86400000000.0) AS floored FROM ar_invoice""")
 add("calendar_parts", "CUSTOMER_TRX_ID:i trx_month:i trx_weekday:i",
-    lambda c: c.raw.invoice.select("CUSTOMER_TRX_ID", F.month("TRX_DATE").alias("trx_month"), F.weekday("TRX_DATE").alias("trx_weekday")),
+    lambda c: c.raw.invoice.select("CUSTOMER_TRX_ID", *ft.due_calendar()),
     "SELECT CUSTOMER_TRX_ID, month(TRX_DATE) AS trx_month, isodow(TRX_DATE) - 1 AS trx_weekday FROM ar_invoice")
 add("safe_ratios", "CUSTOMER_TRX_ID:i percent:f signed:f bounded:f",
     lambda c: c.raw.invoice.select(
@@ -404,18 +405,12 @@ add(
 
 
 def _dq(ctx: Context) -> DataFrame:
-    """Counters for the cleaning step: unreadable ids and dates, dates without repair."""
-    text = fx.text_invoices(ctx.spark, ctx.sf_dir)
-    both = ctx.raw.receipt.withColumn("was", F.col("APPLY_DATE"))
-    broken = cl.repair_dates(both, ["APPLY_DATE"], SNAP).agg(
-        F.count_if(F.col("was").isNotNull() & F.col("APPLY_DATE").isNull()).alias("n")
-    )
-    unread = cl.parse_timestamp(F.col("TRX_DATE")).isNull() & F.col("TRX_DATE").isNotNull()
-    return text.agg(
-        F.count_if(cl.to_id(text, "CUSTOMER_TRX_ID").isNull() & F.col("CUSTOMER_TRX_ID").isNotNull()).alias("bad_ids"),
-        F.count_if(unread).alias("bad_dates"),
-        F.count_if(cl.to_number(text, "TRX_AMOUNT").isNull()).alias("null_amounts"),
-    ).withColumn("bad_repairs", broken.scalar())
+    """The counters that a pass over the delivered texts gathers on its way."""
+    seen = Quality()
+    rows = lg.ledger(fx.text_invoices(ctx.spark, ctx.sf_dir), ctx.raw.receipt, SNAP, quality=seen)
+    rows.write.format("noop").mode("overwrite").save()
+    found = seen.counts()
+    return ctx.spark.range(1).select(*[F.lit(n).alias(c) for c, n in found.items()])
 
 
 # ---- filters -------------------------------------------------------------
@@ -451,8 +446,10 @@ add("payments_in_window", "CUSTOMER_TRX_ID:i PAYMENT_DATE:d AMOUNT_APPLIED:f", _
 
 # ---- netting, customers, base --------------------------------------------
 add("credit_memo_totals", "original_id:i cm_amount:f cm_count:i cm_first_date:d",
-    lambda c: iv.credit_memo_totals(c.surviving, SNAP).where("cm_count > 0").withColumnRenamed("_original_id", "original_id"),
-    "SELECT * FROM cm_totals")
+    lambda c: iv.credit_memo_totals(c.surviving, SNAP).withColumnRenamed("_original_id", "original_id"), """
+SELECT PREVIOUS_CUSTOMER_TRX_ID AS original_id, coalesce(sum(CASE WHEN TRX_DATE <= {SNAP} THEN coalesce(TRX_AMOUNT, 0) END), 0) AS cm_amount,
+       count(*) FILTER (WHERE TRX_DATE <= {SNAP}) AS cm_count, min(TRX_DATE) FILTER (WHERE TRX_DATE <= {SNAP}) AS cm_first_date
+FROM surviving WHERE PREVIOUS_CUSTOMER_TRX_ID IS NOT NULL GROUP BY 1""")
 NET_COLS = f"{ID} TRX_AMOUNT:f TRX_AMOUNT_GROSS:f credit_memo_reduction:f cm_count:i cm_first_date:d"
 add("credit_memo_netting", NET_COLS, lambda c: iv.net_credit_memos(c.surviving, c.surviving, SNAP), "SELECT * FROM netted")
 add("dedupe_invoices", f"{ID} TRX_NUMBER:s TRX_DATE:d TRX_AMOUNT:f", lambda c: iv.one_per_id(_with_copies(c)), """
@@ -805,8 +802,8 @@ add("export_scores_csv", SCORE_COLS, _export, "SELECT * FROM scored")
 add("records_json", "record:s", lambda c: pb.json_records(c.raw.invoice.select("CUSTOMER_TRX_ID", "TRX_NUMBER", "PARTY_ID")), """
 SELECT '{"CUSTOMER_TRX_ID":' || CUSTOMER_TRX_ID || ',"TRX_NUMBER":"' || TRX_NUMBER || '","PARTY_ID":' || coalesce(CAST(PARTY_ID AS VARCHAR), 'null') || '}' AS record
 FROM ar_invoice""")
-add("latest_per_invoice", PUBLISHED_COLS, lambda c: pb.latest_per_invoice(c.store.scores.where("model_key = 'stacked'")),
-    o.latest_sql("SELECT * FROM stacked_rows"))
+add("latest_per_invoice", PUBLISHED_COLS, lambda c: pb.latest_per_invoice(c.store.scores),
+    o.latest_sql("SELECT * FROM pub"))
 
 # ---- run lookup ----------------------------------------------------------
 RUN_KINDS = ["1w", "2w", "1m", "3m", "6m", "1y", "all", "custom"]

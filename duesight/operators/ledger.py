@@ -29,6 +29,7 @@ from duesight.functions.cleaning import (
     with_missing_columns,
 )
 from duesight.operators.invoices import CARRIED, KEEP_ORDER, clean_invoices
+from duesight.operators.quality import Quality
 from duesight.operators.receipts import REQUIRED, gap_variance, status_counts
 from duesight.operators.skew import exact_sum
 from duesight.schemas import RECEIPT
@@ -37,7 +38,7 @@ from duesight.schemas import RECEIPT
 TARGET = "_is_target"
 
 
-def receipt_days(receipt: DataFrame, snapshot, repair_years: bool = True) -> DataFrame:
+def receipt_days(receipt: DataFrame, snapshot, repair_years: bool = True, quality: Quality | None = None) -> DataFrame:
     """_receipt_id, _days: a row for each id with any receipt row, whatever its status.
 
     _days lists the dates of the payments that count, in order: day, n, amount, and for all but the first the day before
@@ -50,8 +51,12 @@ def receipt_days(receipt: DataFrame, snapshot, repair_years: bool = True) -> Dat
         *[to_timestamp(df, c).alias(c) for c in names],
         F.when(status_counts(F.col("RECEIPT_STATUS")), F.coalesce(to_number(df, "AMOUNT_APPLIED"), F.lit(0.0))).alias("amount"),
     ).where(F.col("_receipt_id").isNotNull())
+    if quality is not None:
+        rows = rows.withColumn("_was", F.col(names[0]))
     if repair_years:
         rows = repair_dates(rows, names, snapshot)
+    if quality is not None:
+        rows = quality.watch_repairs(rows, "_was", names[0])
     daily = rows.groupBy("_receipt_id", F.coalesce(*names).alias("day")).agg(
         F.count("amount").alias("n"), exact_sum(F.col("amount")).alias("amount"))
     counts = F.col("day").isNotNull() & (F.col("n") > 0)
@@ -96,7 +101,8 @@ def first_rows(clean: DataFrame) -> DataFrame:
 
 
 def ledger(
-    invoice: DataFrame, receipt: DataFrame, snapshot, repair_years: bool = True, has_memos: bool | None = None
+    invoice: DataFrame, receipt: DataFrame, snapshot, repair_years: bool = True, has_memos: bool | None = None,
+    quality: Quality | None = None,
 ) -> DataFrame:
     """Unique netted invoices with AS_OF_DATE and `_days`, without customer columns.
 
@@ -105,9 +111,10 @@ def ledger(
     """
     flag = [TARGET] if TARGET in invoice.columns else []
     clean = clean_invoices(invoice, flag)
-    days = receipt_days(receipt, snapshot, repair_years)
+    days = receipt_days(receipt, snapshot, repair_years, quality)
     totals = memo_totals(clean, days, snapshot)
-    found = first_rows(clean).join(days, F.col("CUSTOMER_TRX_ID") == F.col("_receipt_id"), "left")
+    watched = clean if quality is None else clean_invoices(quality.watch_invoices(invoice), flag)
+    found = first_rows(watched).join(days, F.col("CUSTOMER_TRX_ID") == F.col("_receipt_id"), "left")
     kept = F.when(F.coalesce(F.size("_days"), F.lit(-1)) >= 0, F.least("_positive", "_other")).otherwise(F.col("_positive"))
     rows = found.select("CUSTOMER_TRX_ID", kept.alias("_row"), "_days", *flag).where(F.col("_row").isNotNull())
     if has_memos is None:

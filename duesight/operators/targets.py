@@ -93,11 +93,11 @@ def run_inputs(
     ids = target_ids(targets)
     if time_range == "all":
         receipts = receipts_in_range(source.receipt, "all", snapshot)
-        return RawTables(targets, receipts, source.customer, ids)
+        return RawTables(targets, receipts, source.customer, ids, quality=source.quality)
     invoices = targets_with_history(
         source.invoice, source.customer, time_range, snapshot, start, end, year, skew
     )
-    return RawTables(invoices, receipts_of(source.receipt, invoices, snapshot), source.customer, ids)
+    return RawTables(invoices, receipts_of(source.receipt, invoices, snapshot), source.customer, ids, quality=source.quality)
 
 
 def restrict_to_targets(rows: DataFrame, ids: DataFrame | None) -> DataFrame:

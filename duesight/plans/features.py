@@ -14,6 +14,7 @@ from duesight.operators.features import asof_columns, pre_due_columns
 from duesight.operators.history import invoice_history, party_history, pooled_history
 from duesight.operators.invoices import clean_invoices
 from duesight.operators.ledger import invoice_core, ledger, with_payment_facts
+from duesight.operators.quality import Quality
 from duesight.operators.receipts import PAYMENT_FACTS, base_payments
 from duesight.operators.skew import Skew, measure_skew
 from duesight.settings import OBSERVE_MIN_DAYS
@@ -23,7 +24,8 @@ from duesight.settings import OBSERVE_MIN_DAYS
 class RawTables:
     """The three input tables; `target_ids` restricts what a run returns.
 
-    `has_memos` says whether there are credit memos at all where the invoices are part of a larger table.
+    `has_memos` says whether there are credit memos at all where the invoices are part of a larger table;
+    `quality` gathers the counters of the cleaning.
     """
 
     invoice: DataFrame
@@ -31,6 +33,7 @@ class RawTables:
     customer: DataFrame | None = None
     target_ids: DataFrame | None = None
     has_memos: bool | None = None
+    quality: Quality | None = None
 
 
 def base_tables(raw: RawTables, snapshot, repair_years: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +48,7 @@ def _facts(raw: RawTables, core: DataFrame, snapshot, as_of_col: str, prefix: st
 
 
 def _ledger(raw: RawTables, snapshot) -> DataFrame:
-    return ledger(raw.invoice, raw.receipt, snapshot, has_memos=raw.has_memos)
+    return ledger(raw.invoice, raw.receipt, snapshot, has_memos=raw.has_memos, quality=raw.quality)
 
 
 def party_skew(raw: RawTables) -> Skew:
