@@ -909,16 +909,32 @@ def _run(ctx: Context) -> tuple[DataFrame, str, str]:
     return jb.stored_runs(ctx.spark, runs), *paths
 
 
-def _retained(ctx: Context) -> DataFrame:
-    """A second run a month later, and what is kept after it."""
+def _two_runs(ctx: Context) -> tuple[DataFrame, str, str]:
+    """A run, and a second one a month later."""
     run, scores, risk = _run(ctx)
     later = run.withColumns({"job_id": F.lit("job-s"), "started_at": F.lit("2000-08-10 06:00:00").cast("timestamp")})
     key = pb.RunKey("job-s", "stacked", SNAP, "3m", "2000-08-10 06:00:00")
     pb.publish_scores(sc.score_table(ctx.store.scored), scores, key)
     pb.publish_customer_risk(cr.customer_risk(ctx.store.scored, True), risk, key)
+    return run.unionByName(later), scores, risk
+
+
+def _retained(ctx: Context) -> DataFrame:
+    """What is kept of two runs."""
+    runs, scores, risk = _two_runs(ctx)
     new = ctx.path("kept-scores"), ctx.path("kept-risk")
-    kept = jb.retain_results(ctx.spark, run.unionByName(later), scores, risk, "2000-08-10 07:00:00", *new)
-    counts = [kept, pb.read_table(ctx.spark, new[0], SCORES), pb.read_table(ctx.spark, new[1], CUSTOMER_RISK)]
+    kept = jb.retain_results(ctx.spark, runs, scores, risk, "2000-08-10 07:00:00", *new)
+    return _kept_by_job(ctx, kept, *new)
+
+
+def _retained_in_place(ctx: Context) -> DataFrame:
+    runs, scores, risk = _two_runs(ctx)
+    kept = jb.retain_in_place(ctx.spark, runs, scores, risk, "2000-08-10 07:00:00")
+    return _kept_by_job(ctx, kept, scores, risk)
+
+
+def _kept_by_job(ctx: Context, runs: DataFrame, scores: str, risk: str) -> DataFrame:
+    counts = [runs, pb.read_table(ctx.spark, scores, SCORES), pb.read_table(ctx.spark, risk, CUSTOMER_RISK)]
     return counts[0].select("job_id", F.lit("runs").alias("tab")).unionByName(
         counts[1].select("job_id", F.lit("scores").alias("tab"))
     ).unionByName(counts[2].select("job_id", F.lit("risk").alias("tab"))).groupBy("job_id", "tab").agg(F.count("*").alias("n"))
@@ -935,9 +951,11 @@ add("run_snapshot_risk", RISK_COLS + " job_id:s", lambda c: pb.read_table(c.spar
 add("run_snapshot_catalogue", "job_id:s status:s model_key:s snapshot_date:d time_range:s total_invoices:i total_customers:i",
     lambda c: _run(c)[0], f"""
 SELECT 'completed' AS status, (SELECT count(*) FROM run_scored) AS total_invoices, (SELECT count(*) FROM run_risk) AS total_customers, {_RUN_TAIL}""")
-add("retain_results", "job_id:s tab:s n:i", _retained, """
+RETAINED_SQL = """
 SELECT 'job-s' AS job_id, 'runs' AS tab, 1 AS n UNION ALL SELECT 'job-s', 'scores', count(*) FROM scored
-UNION ALL SELECT 'job-s', 'risk', count(*) FROM cust_risk""")
+UNION ALL SELECT 'job-s', 'risk', count(*) FROM cust_risk"""
+add("retain_results", "job_id:s tab:s n:i", _retained, RETAINED_SQL)
+add("retain_results_in_place", "job_id:s tab:s n:i", _retained_in_place, RETAINED_SQL)
 
 
 def _stream(ctx: Context) -> DataFrame:

@@ -23,6 +23,9 @@ from duesight.settings import KEEP_PUBLISHED_DAYS, KEEP_RUN_DAYS, THRESHOLD_HIGH
 from duesight.sinks.publish import (
     RunKey,
     drop_expired,
+    drop_from_index,
+    drop_jobs,
+    expired_runs,
     publish_customer_risk,
     publish_scores,
     read_table,
@@ -97,6 +100,7 @@ def run_snapshot(
     runs_path: str | None = None,
     index_path: str | None = None,
     keep_published_days: int | None = None,
+    keep_run_days: int | None = None,
     year: int | None = None,
     low: float = THRESHOLD_LOW,
     high: float = THRESHOLD_HIGH,
@@ -106,7 +110,8 @@ def run_snapshot(
     The scored rows are written out once and feed both result tables. The row is
     appended to the run catalogue at `runs_path`, once both tables are published, and
     the publication to the index at `index_path`, from which the reports find it.
-    With `keep_published_days` older score rows go then.
+    With `keep_published_days` older score rows go then; with `keep_run_days` older
+    runs of that catalogue with all their score and risk rows.
     """
     began = time.time()
     key = resolve_model_key(model_key)
@@ -138,6 +143,12 @@ def run_snapshot(
         found.coalesce(1).write.mode("append").parquet(runs_path)
     if keep_published_days is not None:
         drop_expired(spark, scores_path, SCORES, published_at, keep_published_days)
+    if keep_run_days is not None and runs_path is not None:
+        runs = stored_runs(spark, runs_path)
+        stay = materialise(retain_in_place(spark, runs, scores_path, risk_path, published_at, -1, keep_run_days), "runs")
+        if index_path is not None:
+            drop_from_index(spark, index_path, runs.join(stay, "job_id", "left_anti"))
+        stay.coalesce(1).write.mode("overwrite").parquet(runs_path)
     return found
 
 
@@ -174,6 +185,23 @@ def retain_results(
     return runs
 
 
+def retain_in_place(
+    spark: SparkSession,
+    runs: DataFrame,
+    scores_path: str,
+    risk_path: str,
+    as_of: str,
+    keep_published_days: int = KEEP_PUBLISHED_DAYS,
+    keep_run_days: int = KEEP_RUN_DAYS,
+) -> DataFrame:
+    """retain_results on the tables themselves, by dropping partitions; returns the runs that stay."""
+    drop_expired(spark, scores_path, SCORES, as_of, keep_published_days)
+    old = materialise(expired_runs(runs, as_of, keep_run_days).select("job_id"), "expired")
+    for path, schema in ((scores_path, SCORES), (risk_path, CUSTOMER_RISK)):
+        drop_jobs(spark, path, schema, old)
+    return runs.join(old, "job_id", "left_anti").select(*runs.columns)
+
+
 def run_summary(runs_rows: DataFrame) -> DataFrame:
     """Rows and customers per published job."""
     customer = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CUSTOMER_KEY if c in runs_rows.columns])

@@ -11,6 +11,7 @@ _TYPES = {
     "double": T.DoubleType(),
     "date": T.DateType(),
     "timestamp": T.TimestampType(),
+    "boolean": T.BooleanType(),
 }
 
 
@@ -73,10 +74,11 @@ CUSTOMER_RISK = _struct(
 # is "start_end" for a custom range and "-" otherwise.
 PARTITION = ["model_key", "snapshot_date", "time_range", "date_window"]
 
-# The index of publications: one row for each publication of a run, with its number of score rows.
+# The index of publications: one row for each publication of a run, with its number of score rows, and whether it
+# replaced what its partition held.
 PUBLICATIONS = _struct(
     "job_id string, model_key string, snapshot_date date, time_range string, date_window string, "
-    "start_date date, end_date date, published_at timestamp, total_invoices bigint"
+    "start_date date, end_date date, published_at timestamp, total_invoices bigint, replaces boolean"
 )
 
 RUNS = _struct(

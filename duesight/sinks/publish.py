@@ -89,14 +89,25 @@ def publish_scores(
     if index_path is not None:
         spark = scored.sparkSession
         keys = {n: c.cast(PUBLICATIONS[n].dataType).alias(n) for n, c in run.columns().items()}
-        row = spark.range(1).select(*[keys[n] if n in keys else F.lit(written).cast("bigint").alias(n) for n in PUBLICATIONS.names])
+        keys |= {"total_invoices": F.lit(written).cast("bigint").alias("total_invoices"), "replaces": F.lit(replace).alias("replaces")}
+        row = spark.range(1).select(*[keys[n] for n in PUBLICATIONS.names])
         row.coalesce(1).write.mode("append").parquet(index_path)
     return written
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index of publications. Of one partition's rows the newest says what a replacing job has left."""
-    return read_table(spark, path, PUBLICATIONS)
+    """The publications that have rows: of a partition the newest that replaced it, and what was appended since."""
+    order = F.struct("published_at", "job_id")
+    newest = F.max(F.when(F.col("replaces"), order)).over(W.partitionBy(*PARTITION))
+    rows = read_table(spark, path, PUBLICATIONS).withColumn("_from", newest)
+    return rows.where((F.col("_from").isNull() | (order >= F.col("_from"))) & (F.col("total_invoices") > 0)).drop("_from")
+
+
+def drop_from_index(spark: SparkSession, path: str, jobs: DataFrame) -> None:
+    """Take the rows of jobs out of the index, which has a row per publication."""
+    rows = read_table(spark, path, PUBLICATIONS)
+    kept = materialise(rows.join(jobs.select("job_id").distinct(), "job_id", "left_anti").select(*rows.columns), "index")
+    kept.coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def publish_customer_risk(risk: DataFrame, path: str, run: RunKey, replace: bool = True) -> int:
@@ -153,11 +164,29 @@ def drop_expired(spark: SparkSession, path: str, schema: T.StructType, as_of: st
         if r["whole"] and not r["undated"]:
             drop_partition(spark, path, r.asDict())
         else:
-            same = [F.col(n).eqNullSafe(F.lit(r[n])) for n in PARTITION]
-            mixed = retain_published(rows.where(reduce(lambda a, b: a & b, same)), as_of, keep_days)
+            mixed = retain_published(rows.where(_of_partition(r)), as_of, keep_days)
             _write(materialise(mixed, "retained"), path, True)
 
 
+def _of_partition(values) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.lit(values[n])) for n in PARTITION])
+
+
+def drop_jobs(spark: SparkSession, path: str, schema: T.StructType, jobs: DataFrame) -> None:
+    """Remove the rows of jobs in place: partitions that are theirs as a whole go, only shared ones are rewritten."""
+    rows = read_table(spark, path, schema)
+    old = jobs.select("job_id").distinct()
+    # A row for each partition that changes, that is, for each expired run.
+    found = rows.join(old.withColumn("_old", F.lit(True)), "job_id", "left").groupBy(*PARTITION).agg(
+        F.count("_old").alias("old"), F.count("*").alias("n")).where("old > 0").collect()
+    for r in found:
+        if r["old"] == r["n"]:
+            drop_partition(spark, path, r.asDict())
+        else:
+            kept = rows.where(_of_partition(r)).join(old, "job_id", "left_anti").select(*rows.columns)
+            _write(materialise(kept, "retained"), path, True)
+
+
 def expired_runs(runs: DataFrame, as_of: str, keep_days: int) -> DataFrame:
     return runs.where(F.col("started_at") < _cutoff(as_of, keep_days))
 

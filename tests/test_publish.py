@@ -186,3 +186,46 @@ def test_the_write_counts(spark, sf_dir):
     rows, path = score_table(store(spark, sf_dir).scored), scratch_path(spark, "counted")
     assert pb.publish_scores(rows.limit(7), path, _key("j", "2000-07-01 00:00:00")) == 7
     assert pb.publish_scores(rows.limit(0), path, _key("j", "2000-07-01 00:00:00")) == 0
+
+
+def test_jobs_go_in_place(spark, sf_dir):
+    """Of a partition that two jobs share only one job's rows go; a job's own partition goes as a whole; others stay."""
+    rows, path = score_table(store(spark, sf_dir).scored).limit(30), scratch_path(spark, "jobs")
+    pb.publish_scores(rows, path, _key("old", "2000-07-01 00:00:00"))
+    pb.publish_scores(rows.limit(4), path, _key("new", "2000-07-02 00:00:00"), replace=False)
+    pb.publish_scores(rows.limit(5), path, _key("old", "2000-07-01 00:00:00", time_range="6m"))
+    pb.publish_scores(rows.limit(6), path, _key("other", "2000-07-01 00:00:00", time_range="1y"))
+    pb.drop_jobs(spark, path, SCORES, spark.createDataFrame([("old",), ("none",)], "job_id string"))
+    left = pb.read_table(spark, path, SCORES).groupBy("job_id", "time_range").count().collect()
+    assert sorted(map(tuple, left)) == [("new", "3m", 4), ("other", "1y", 6)]
+
+
+def test_a_run_lets_old_runs_go(spark, sf_dir):
+    from duesight.checks.fixtures import raw_tables
+    from duesight.plans.jobs import run_snapshot, stored_runs
+    from duesight.schemas import CUSTOMER_RISK
+
+    raw, paths = raw_tables(spark, sf_dir), [scratch_path(spark, n) for n in ("s", "r", "runs", "index")]
+    for job, span, at in (("a", "3m", "2000-07-01 06:00:00"), ("b", "1m", "2000-08-10 06:00:00")):
+        run_snapshot(spark, raw, SNAPSHOT, span, *paths[:2], job, at, runs_path=paths[2], index_path=paths[3], keep_run_days=30)
+    assert [r["job_id"] for r in stored_runs(spark, paths[2]).collect()] == ["b"]
+    for path, schema in ((paths[0], SCORES), (paths[1], CUSTOMER_RISK)):
+        assert [r["job_id"] for r in pb.read_table(spark, path, schema).select("job_id").distinct().collect()] == ["b"]
+    assert [r["job_id"] for r in pb.read_index(spark, paths[3]).collect()] == ["b"]
+
+
+def test_the_index_follows_reruns(spark, sf_dir):
+    rows, path, index = score_table(store(spark, sf_dir).scored).limit(9), scratch_path(spark, "p"), scratch_path(spark, "i")
+
+    def publish(job, day, n, **more):
+        pb.publish_scores(rows.limit(n), path, _key(job, f"2000-07-0{day} 00:00:00", **more), index_path=index)
+
+    publish("a", 1, 5)
+    publish("b", 2, 4)  # replaces a
+    pb.publish_scores(rows.limit(3), path, _key("c", "2000-07-03 00:00:00"), replace=False, index_path=index)
+    publish("d", 1, 6, time_range="6m")
+    publish("e", 4, 0, time_range="6m")  # a rerun without rows
+    names = ["job_id", "time_range", "total_invoices"]
+    counted = ct.publications(pb.read_table(spark, path, SCORES)).select(names).collect()
+    assert sorted(map(tuple, pb.read_index(spark, index).select(names).collect())) == sorted(map(tuple, counted)) == [
+        ("b", "3m", 4), ("c", "3m", 3)]
