@@ -79,7 +79,9 @@ class Context:
 
     @cached_property
     def history(self) -> DataFrame:
-        return hi.party_history(self.facts, SNAP, skew=pf.party_skew(self.raw))
+        rows = lg.ledger(self.raw.invoice, self.raw.receipt, SNAP)
+        facts = lg.with_payment_facts(rows, SNAP, "AS_OF_DATE", "pre_due")
+        return hi.party_history(facts, SNAP, skew=pf.party_skew(self.raw))
 
     @cached_property
     def surviving(self) -> DataFrame:
