@@ -46,8 +46,15 @@ def test_passages_are_found_and_clean_texts_are_not(spark, benchmark):
     kept = decontaminate.decontaminated(docs, benchmark)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - ids
-    # In blocks the result is the same.
-    assert sorted(decontaminate.overlaps(docs, benchmark, words=200).collect()) == sorted(found.collect())
+
+
+def test_filter_without_room_changes_nothing(spark, benchmark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 60) + " " + t + " " + prose(50 + i, 60)) for i, t in enumerate(ITEMS)],
+                                 "doc_id long, text string")
+    want = sorted(decontaminate.overlaps(docs, benchmark).collect())
+    assert {(r["doc_id"], r["item_id"]) for r in want} == {(i, i) for i in range(20)} | {(0, 94)}
+    monkeypatch.setattr(decontaminate, "FILTER", 10)
+    assert sorted(decontaminate.overlaps(docs, benchmark).collect()) == want
 
 
 def test_one_text_never_completes_another(spark, benchmark):
@@ -65,27 +72,64 @@ def test_odd_and_empty_tables(spark, odd, empty, benchmark):
     assert decontaminate.overlaps(odd, benchmark.limit(0)).count() == 0
 
 
-def test_every_place_of_substitutions_as_brute_force():
+def share_or_run(equal, n):
+    """The rule, written apart: 80 % of the item equal, or a stretch of 13 equal words that outweigh its changes."""
+    total = sum(equal)
+    if 5 * total >= 4 * n:
+        return True
+    stretches = [(sum(1 if e else -2 for e in equal[i:j]), sum(equal[i:j])) for i in range(n) for j in range(i + 1, n + 1)]
+    best = max(stretches, default=(0, 0))
+    return best[1] >= 13 or 5 * best[1] >= 4 * n
+
+
+def test_every_place_of_substitutions(spark):
+    """Whichever words are changed, up to a fifth of an item and beyond."""
     rng = random.Random(8)
-    for n in (5, 6, 8, 10, 12, 15, 17, 20, 25, 30):
+    items, rows, want = [], [], {}
+    for n in range(5, 31):
         item = [f"w{n}x{i}" for i in range(n)]
-        index = decontaminate.Index([7], [" ".join(item)])
-        texts, want = [], []
+        items.append((n, " ".join(item)))
         for changes in range(n // 5 + 2):
-            places = list(itertools.combinations(range(n), changes)) if n <= 15 and changes <= 3 else [
-                rng.sample(range(n), changes) for _ in range(300)]
+            places = list(itertools.combinations(range(n), changes))
+            if len(places) > 1500:
+                places = rng.sample(places, 300)
             for chosen in places:
-                equal = np.array([i not in chosen for i in range(n)])
-                texts.append(" ".join(["before"] * 3 + [w if e else "other" for w, e in zip(item, equal)] + ["after"]))
-                want.append(decontaminate.best_stretch(equal))
-        least = min(decontaminate.MATCHES, decontaminate.SHARE * n)
-        assert {t: m for t, _, m, _ in index.overlaps(texts)} == {t: m for t, m in enumerate(want) if m >= least}
-
-
-def test_many_hits_are_compared_in_parts(monkeypatch):
-    items = [prose(60, 12) + " " + prose(61 + i, 8) for i in range(30)]
-    texts = [prose(1, 50) + " " + t + " " + prose(2, 40) for t in items]
-    found = list(decontaminate.Index(list(range(30)), items).overlaps(texts))
-    assert {(t, i) for t, i, *_ in found} >= {(i, i) for i in range(30)}
-    monkeypatch.setattr(decontaminate, "COMPARED", 50)
-    assert list(decontaminate.Index(list(range(30)), items).overlaps(texts)) == found
+                equal = [i not in chosen for i in range(n)]
+                want[len(rows)] = (n, share_or_run(equal, n))
+                rows.append((len(rows), " ".join(["before"] * 3 + [w if e else "other" for w, e in zip(item, equal)] + ["after"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(
+        docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, n) for i, (n, good) in want.items() if good}
+    # A fifth of the item changed is always found.
+    assert all(want[i][1] for i, t in rows if t.split().count("other") * 5 <= want[i][0])
+
+
+def test_no_overlap_is_without_a_seed():
+    """All places of a fifth of the words, for items of every length to 25, against the masks alone."""
+    for n in range(5, 26):
+        changes = n // 5
+        places = np.array(list(itertools.combinations(range(n), changes)))
+        equal = np.ones((len(places), n), bool)
+        np.put_along_axis(equal, places, False, axis=1)
+        hit = np.zeros(len(places), bool)
+        for mask in decontaminate.MASKS:
+            for at in range(n - mask[-1]):
+                hit |= equal[:, [at + i for i in mask]].all(axis=1)
+        assert hit.all(), n
+
+
+def test_items_with_a_common_phrase(spark):
+    items = [(i, prose(60, 12) + " " + prose(61 + i, 8)) for i in range(30)]
+    docs = spark.createDataFrame([(i, prose(1, 50) + " " + t + " " + prose(2, 40)) for i, t in items], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(
+        docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(i, i) for i in range(30)} <= found
+    assert all(i == j or sum(a == b for a, b in zip(items[i][1].split(), items[j][1].split())) >= 13 for i, j in found)
+
+
+def test_rows_without_an_id_and_clashing_names(spark, benchmark):
+    rows = [(None, ITEMS[0], 1, "a"), (None, "clean words only in this text", 2, "b"), (None, None, 3, "c"), (7, ITEMS[0].upper(), 4, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class long, digest string")
+    assert sorted(r["class"] for r in decontaminate.decontaminated(docs, benchmark).collect()) == [2, 3]
+    assert decontaminate.overlaps(docs, benchmark).where("item_id = 0").count() == 2
