@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass
-from functools import cached_property
+from dataclasses import dataclass, replace
+from functools import cached_property, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +43,7 @@ from duesight.settings import COLD_START, SCORECARD
 from duesight.sinks import publish as pb
 from duesight.sources import files as sf
 from duesight.sources import tables as tb
+from duesight.streaming import party_state as ps
 from duesight.streaming import receipt_trigger as rt
 
 SNAP = fx.SNAPSHOT
@@ -979,3 +980,25 @@ WITH hit AS (SELECT * FROM ar_invoice WHERE CUSTOMER_TRX_ID IN (SELECT APPLIED_C
  touched AS (SELECT * FROM hit UNION ALL SELECT * FROM ar_invoice WHERE CUSTOMER_TRX_ID IN (SELECT PREVIOUS_CUSTOMER_TRX_ID FROM hit))
 SELECT * FROM scored WHERE PARTY_ID IN (SELECT PARTY_ID FROM touched WHERE PARTY_ID IS NOT NULL)
  OR (PARTY_ID IS NULL AND CUSTOMER_TRX_ID IN (SELECT CUSTOMER_TRX_ID FROM touched))""")
+
+
+def _stream_state(ctx: Context) -> DataFrame:
+    """A full run without the receipts of two spans, which then arrive in batches that go on from the stored state."""
+    folder, out, checkpoint = ctx.path("state-in"), ctx.path("state-out"), ctx.path("state-cp")
+    state, booked = ps.PartyState(ctx.spark, ctx.path("state"), parts=16), F.col("RECEIPT_DATE")
+    spans = [("2000-06-01", "2000-06-14"), ("2000-06-15", "2000-06-30"), ("2000-01-01", "2000-01-31")]
+    arrived = [booked.between(F.lit(low), F.lit(high)) for low, high in spans]
+    late = F.coalesce(reduce(lambda a, b: a | b, arrived), F.lit(False))
+    held = replace(ctx.raw, receipt=ctx.raw.receipt.where(~late))
+    memos = rt.surviving_memos(held)
+    served = pb.RunKey("job-s", "stacked", SNAP, "all", "2000-07-05 06:00:00")
+    pb.publish_scores(ps.score_and_store(state, held, SNAP), out, served)
+    for batch in arrived:
+        ctx.raw.receipt.where(batch).write.mode("append").json(folder)
+        held = replace(held, receipt=held.receipt.unionByName(ctx.raw.receipt.where(batch)))
+        handle = ps.replay_batch(lambda: held, state, SNAP, out, served, memos, lambda: dt.datetime(2000, 7, 5, 7))
+        rt.start_trigger(rt.receipt_stream(ctx.spark, folder), handle, checkpoint).awaitTermination()
+    return pb.latest_per_invoice(pb.published_scores(ctx.spark, out, "stacked", SNAP))
+
+
+add("stream_receipt_state", f"{ID} prob_bad_debt:f risk_level:s", _stream_state, "SELECT * FROM scored")

@@ -20,12 +20,13 @@ from duesight.operators.features import paid_fraction
 from duesight.operators.skew import NO_SKEW, Skew, running, with_lane
 from duesight.settings import COLD_START, UNPAID_EPS
 
-INVOICE_ROW, BD90, LATE_FIRST, GAP90 = 0, 1, 2, 3
+SEED, INVOICE_ROW, BD90, LATE_FIRST, GAP90 = -1, 0, 1, 2, 3
 EVENT_COUNTS = {
     BD90: "party_prior_bd90_cnt",
     LATE_FIRST: "party_prior_late_firstpay90_cnt",
     GAP90: "party_prior_gap90_cnt",
 }
+EVENT_DATES = {BD90: "bd90_event_date", LATE_FIRST: "late_firstpay90_event_date", GAP90: "gap90_event_date"}
 
 
 def days_past_due() -> Column:
@@ -72,8 +73,7 @@ def invoice_history(facts: DataFrame) -> DataFrame:
 
 def _event_stream(rows: DataFrame, keep: list[str], work: list[str]) -> DataFrame:
     """Invoice rows plus one narrow row per event; `_kind`, `_at` and the key order them."""
-    dates = {INVOICE_ROW: "TRX_DATE", BD90: "bd90_event_date", LATE_FIRST: "late_firstpay90_event_date",
-             GAP90: "gap90_event_date"}
+    dates = {INVOICE_ROW: "TRX_DATE", **EVENT_DATES}
     entries = F.array(*[F.struct(F.lit(k).alias("_kind"), F.col(c).alias("_at")) for k, c in dates.items()])
     keys = ["PARTY_ID", "_lane", "CUSTOMER_TRX_ID"]
     payload = [c for c in dict.fromkeys([*keep, *work]) if c not in keys]
@@ -164,27 +164,46 @@ POOLED = [
 ]
 
 
-def party_history(facts: DataFrame, snapshot, eps: float = UNPAID_EPS, skew: Skew = NO_SKEW) -> DataFrame:
-    """Add the party's history to every invoice; all columns of `facts` are kept.
-
-    Invoices without a party get the cold-start values. They are windowed one by
-    one, by id, so that they do not pile up in one task.
-    """
-    if "PARTY_ID" in skew.lanes or "_lane" not in facts.columns:
-        # Lanes that spread a hot party for the join must not split its window.
-        facts = with_lane(facts.drop("_lane"), "PARTY_ID", "CUSTOMER_TRX_ID")
-    keep = [c for c in facts.columns if c != "_lane"]
-    outcome, events = outcome_columns(), event_columns(snapshot, eps)
+def dated_rows(facts: DataFrame, snapshot, eps: float = UNPAID_EPS) -> DataFrame:
+    """Invoices with their payment outcome and the dates of their events."""
     aged = facts.withColumn("actual_dpd", days_past_due())
-    rows = aged.select("*", *[c.alias(n) for n, c in {**outcome, **events}.items()])
-    stream = _event_stream(rows, keep, ["actual_dpd", *outcome])
+    return aged.select("*", *[c.alias(n) for n, c in {**outcome_columns(), **event_columns(snapshot, eps)}.items()])
+
+
+def running_values() -> list[str]:
+    """Names of the running values of a party but for the median, which goes on from a histogram."""
+    measures = prior_measures()
+    return [n for kind in ("sums", "totals", "counts", "lows") for n in measures[kind]] + list(EVENT_COUNTS.values())
 
+
+def party_stream(
+    rows: DataFrame, keep: Sequence[str], skew: Skew = NO_SKEW, earlier: DataFrame | None = None
+) -> DataFrame:
+    """The running values of every invoice and event of `dated_rows`, which have a `_lane`.
+
+    `earlier` has what the parties had before these rows: SEED rows with the running values (under the prefix `_s_`),
+    SEED rows of the median's histogram (`_s_value`, `_s_freq`), and events of invoices that are not among the rows.
+    Sums go on from a seed as if its rows were there, bit by bit.
+    """
+    stream = _event_stream(rows, list(keep), ["actual_dpd", *outcome_columns()])
     measures = prior_measures()
     is_invoice = F.col("_kind") == INVOICE_ROW
     sums = {n: F.when(is_invoice, c) for n, c in measures["sums"].items()}
     totals = {n: F.when(is_invoice, c) for n, c in measures["totals"].items()}
     counts = {n: F.when(is_invoice, c) for n, c in measures["counts"].items()}
     counts |= {n: F.when(F.col("_kind") == k, 1) for k, n in EVENT_COUNTS.items()}
+    lows, medians, weight = measures["lows"], measures["medians"], None
+    if earlier is not None:
+        stream = stream.unionByName(earlier, allowMissingColumns=True)
+        is_seed = F.col("_kind") == SEED
+
+        def seeded(measure: dict[str, Column]) -> dict[str, Column]:
+            return {n: F.when(is_seed, F.col(f"_s_{n}")).otherwise(c) for n, c in measure.items()}
+
+        ones = {n: F.when(c.isNotNull(), F.lit(1).cast("bigint")) for n, c in counts.items()}
+        sums, totals, counts, lows = seeded(sums), seeded(totals | ones), {}, seeded(lows)
+        medians = {n: F.when(is_seed, F.col("_s_value")).otherwise(c) for n, c in medians.items()}
+        weight = F.coalesce("_s_freq", F.lit(1).cast("bigint"))
     done = running(
         stream,
         ["PARTY_ID", "_lane"],
@@ -192,11 +211,16 @@ def party_history(facts: DataFrame, snapshot, eps: float = UNPAID_EPS, skew: Ske
         sums=sums,
         totals=totals,
         counts=counts,
-        lows=measures["lows"],
-        medians=measures["medians"],
+        lows=lows,
+        medians=medians,
+        weight=weight,
         skew=skew,
-    ).where(is_invoice)
+    )
+    return done if earlier is None else done.where(F.col("_kind") != SEED).drop(*[c for c in earlier.columns if c.startswith("_s_")])
+
 
+def history_of_stream(done: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The columns to keep and the history features of the invoices of a party stream."""
     has_party = F.col("PARTY_ID").isNotNull()
     dated = has_party & F.col("TRX_DATE").isNotNull()
     prior = F.when(dated, F.col("_n")).otherwise(0)
@@ -204,7 +228,7 @@ def party_history(facts: DataFrame, snapshot, eps: float = UNPAID_EPS, skew: Ske
         n: F.coalesce(F.when(has_party, c), F.lit(COLD_START[n])) for n, c in history_columns().items()
     }
     history["business_scale_proxy"] = log1p_floor0(history["business_scale_proxy"])
-    return done.select(
+    return done.where(F.col("_kind") == INVOICE_ROW).select(
         *keep,
         (~has_party).cast("int").alias("party_missing"),
         prior.alias("party_prior_invoice_cnt"),
@@ -215,6 +239,24 @@ def party_history(facts: DataFrame, snapshot, eps: float = UNPAID_EPS, skew: Ske
     )
 
 
+def with_window_lane(facts: DataFrame, skew: Skew = NO_SKEW) -> DataFrame:
+    """Lanes that spread a hot party for a join must not split its window."""
+    if "PARTY_ID" in skew.lanes or "_lane" not in facts.columns:
+        facts = with_lane(facts.drop("_lane"), "PARTY_ID", "CUSTOMER_TRX_ID")
+    return facts
+
+
+def party_history(facts: DataFrame, snapshot, eps: float = UNPAID_EPS, skew: Skew = NO_SKEW) -> DataFrame:
+    """Add the party's history to every invoice; all columns of `facts` are kept.
+
+    Invoices without a party get the cold-start values. They are windowed one by
+    one, by id, so that they do not pile up in one task.
+    """
+    facts = with_window_lane(facts, skew)
+    keep = [c for c in facts.columns if c != "_lane"]
+    return history_of_stream(party_stream(dated_rows(facts, snapshot, eps), keep, skew), keep)
+
+
 def pooled_history(history: DataFrame, skew: Skew = NO_SKEW, keep: Sequence[str] = ()) -> DataFrame:
     """History of the pooled variant, from invoice_history rows: the id and the values, under the prefix `pooled_`
     beside columns to `keep`.

@@ -143,6 +143,7 @@ def running(
     counts: Mapping[str, Column] | None = None,
     lows: Mapping[str, Column] | None = None,
     medians: Mapping[str, Column] | None = None,
+    weight: Column | None = None,
     skew: Skew = NO_SKEW,
 ) -> DataFrame:
     """Add aggregates over the rows of the same key that come earlier in `order`.
@@ -150,15 +151,16 @@ def running(
     `order` names columns that are total within a key; missing values sort last.
     sums: of doubles; totals: of integers; both 0 when there is no earlier
     value. counts: earlier non-missing values. lows: minimum so far, the row
-    itself included. medians: exact, of integers.
+    itself included. medians: exact, of integers; a row counts `weight` times there.
     """
     spec = (dict(sums or {}), dict(totals or {}), dict(counts or {}), dict(lows or {}), dict(medians or {}))
     if skew.heavy:
-        return _running_chunked(rows, list(keys), list(order), *spec, skew)
+        return _running_chunked(rows, list(keys), list(order), *spec, weight, skew)
     sums, totals, counts, lows, medians = spec
     here = W.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in order])
     prior = here.rowsBetween(W.unboundedPreceding, -1)
     so_far = here.rowsBetween(W.unboundedPreceding, W.currentRow)
+    often = () if weight is None else (weight,)
 
     return rows.select(
         "*",
@@ -166,14 +168,15 @@ def running(
         *[F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(n) for n, c in totals.items()],
         *[F.count(c).over(prior).alias(n) for n, c in counts.items()],
         *[F.min(c).over(so_far).alias(n) for n, c in lows.items()],
-        *[F.percentile(c, F.lit(0.5)).over(prior).alias(n) for n, c in medians.items()],
+        *[F.percentile(c, F.lit(0.5), *often).over(prior).alias(n) for n, c in medians.items()],
     )
 
 
-def _running_chunked(rows, keys, order, sums, totals, counts, lows, medians, skew) -> DataFrame:
+def _running_chunked(rows, keys, order, sums, totals, counts, lows, medians, weight, skew) -> DataFrame:
     added = {**sums, **totals}
     values = {**added, **counts, **lows, **medians}
-    wide = rows.select("*", *[c.alias(f"_v_{n}") for n, c in values.items()])
+    often = F.lit(1) if weight is None else weight
+    wide = rows.select("*", *[c.alias(f"_v_{n}") for n, c in values.items()], often.cast("bigint").alias("_freq"))
     along = [*[F.col(k) for k in keys], *[F.asc_nulls_last(c) for c in order]]
     spread = wide.repartitionByRange(skew.tasks(rows), *along).sortWithinPartitions(*along)
     # The id counts the rows of a task in their order, from a number that grows with the task's.
@@ -187,7 +190,7 @@ def _running_chunked(rows, keys, order, sums, totals, counts, lows, medians, ske
         *[F.coalesce(F.sum(v[n]), F.lit(0)).alias(n) for n in added],
         *[F.count(v[n]).alias(n) for n in counts],
         *[F.min(v[n]).alias(n) for n in lows],
-        *[F.count(v[n]).alias(f"_m_{n}") for n in medians],
+        *[F.coalesce(F.sum(F.when(v[n].isNotNull(), F.col("_freq"))), F.lit(0)).alias(f"_m_{n}") for n in medians],
     )
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     carry = sizes.select(
@@ -202,7 +205,7 @@ def _running_chunked(rows, keys, order, sums, totals, counts, lows, medians, ske
     # A row for each chunk of a party with several; written so that its uses below do not recount.
     carry = materialise(carry.drop("_chunks"), "carry")
 
-    body = chunked.select("*", F.lit(1).alias("_seed"), F.lit(1).cast("bigint").alias("_freq"))
+    body = chunked.select("*", F.lit(1).alias("_seed"))
     for n in medians:
         body = _with_seed(body, materialise(_histogram_seed(chunked, carry, keys, n), "seed"), carry, keys, n)
 
@@ -233,7 +236,7 @@ def _histogram_seed(chunked: DataFrame, carry: DataFrame, keys: list[str], name:
         chunked.where(F.col(value).isNotNull())
         .join(places, [*keys, "_chunk"])
         .groupBy(*keys, "_pos", value)
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("_freq").alias("n"))
     )
     by_value = W.partitionBy(*keys, value).orderBy("_pos")
     grown = seen.join(last, keys).select(

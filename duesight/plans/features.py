@@ -56,12 +56,17 @@ def party_skew(raw: RawTables) -> Skew:
     return measure_skew(clean_invoices(raw.invoice), "PARTY_ID", "TRX_NUMBER")
 
 
+def snapshot_facts(raw: RawTables, snapshot, skew: Skew) -> DataFrame:
+    """Invoices with customer columns and payment facts, before any history."""
+    return _facts(raw, _ledger(raw, snapshot), snapshot, "AS_OF_DATE", "pre_due", skew)
+
+
 def snapshot_features(
     raw: RawTables, snapshot, skew: Skew | None = None, keep_facts: bool = False
 ) -> DataFrame:
     """The production feature table: one row per invoice."""
     skew = party_skew(raw) if skew is None else skew
-    facts = _facts(raw, _ledger(raw, snapshot), snapshot, "AS_OF_DATE", "pre_due", skew)
+    facts = snapshot_facts(raw, snapshot, skew)
     hist = party_history(facts, snapshot, skew=skew)
     rows = hist.select("*", *pre_due_columns())
     return rows if keep_facts else rows.drop(*PAYMENT_FACTS)

@@ -32,19 +32,23 @@ def receipt_stream(spark: SparkSession, folder: str, files_per_batch: int = 100)
     return spark.readStream.schema(RECEIPT).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def touched_invoices(receipts: DataFrame, invoice: DataFrame) -> DataFrame:
-    """All invoices of the parties whose invoices got a receipt, and those without a party themselves; TARGET is true.
-
-    A receipt of a credit memo also touches the invoice that the memo is netted with. Memos of touched invoices that
-    belong to other parties, or to none, come along for the netting only: their TARGET is false.
-    """
+def hit_invoices(receipts: DataFrame, invoice: DataFrame) -> DataFrame:
+    """CUSTOMER_TRX_ID, PARTY_ID, PREVIOUS_CUSTOMER_TRX_ID of the invoices that got a receipt, and of those whose memo did."""
     paid = receipts.select(F.col("APPLIED_CUSTOMER_TRX_ID").alias("CUSTOMER_TRX_ID")).distinct()
     narrow = invoice.select("CUSTOMER_TRX_ID", "PARTY_ID", "PREVIOUS_CUSTOMER_TRX_ID")
     hit = narrow.join(paid, "CUSTOMER_TRX_ID", "left_semi")
     originals = hit.select(F.col("PREVIOUS_CUSTOMER_TRX_ID").alias("CUSTOMER_TRX_ID")).where(
         F.col("CUSTOMER_TRX_ID").isNotNull()).distinct()
-    netted = narrow.join(originals, "CUSTOMER_TRX_ID", "left_semi")
-    both = hit.unionByName(netted)
+    return hit.unionByName(narrow.join(originals, "CUSTOMER_TRX_ID", "left_semi"))
+
+
+def touched_invoices(receipts: DataFrame, invoice: DataFrame, hit: DataFrame | None = None) -> DataFrame:
+    """All invoices of the parties whose invoices got a receipt, and those without a party themselves; TARGET is true.
+
+    A receipt of a credit memo also touches the invoice that the memo is netted with. Memos of touched invoices that
+    belong to other parties, or to none, come along for the netting only: their TARGET is false.
+    """
+    both = hit_invoices(receipts, invoice) if hit is None else hit
     parties = both.select("PARTY_ID").where(F.col("PARTY_ID").isNotNull()).distinct()
     alone = both.where(F.col("PARTY_ID").isNull()).select("CUSTOMER_TRX_ID").distinct()
     without = invoice.where(F.col("PARTY_ID").isNull()).join(alone, "CUSTOMER_TRX_ID", "left_semi")
