@@ -41,6 +41,7 @@ from duesight.schemas import CUSTOMER_RISK, SCORES
 from duesight.session import materialise, prepare, scratch_path
 from duesight.settings import COLD_START, SCORECARD
 from duesight.sinks import publish as pb
+from duesight.sources import by_party as bp
 from duesight.sources import files as sf
 from duesight.sources import tables as tb
 from duesight.streaming import party_state as ps
@@ -989,14 +990,15 @@ def _stream_state(ctx: Context) -> DataFrame:
     spans = [("2000-06-01", "2000-06-14"), ("2000-06-15", "2000-06-30"), ("2000-01-01", "2000-01-31")]
     arrived = [booked.between(F.lit(low), F.lit(high)) for low, high in spans]
     late = F.coalesce(reduce(lambda a, b: a | b, arrived), F.lit(False))
-    held = replace(ctx.raw, receipt=ctx.raw.receipt.where(~late))
-    memos = rt.surviving_memos(held)
+    tables = bp.PartyTables(ctx.spark, ctx.path("by-party"), ctx.raw.customer, parts=16)
+    tables.write(replace(ctx.raw, receipt=ctx.raw.receipt.where(~late)))
+    held = tables.everything()
     served = pb.RunKey("job-s", "stacked", SNAP, "all", "2000-07-05 06:00:00")
     pb.publish_scores(ps.score_and_store(state, held, SNAP), out, served)
+    handle = ps.replay_batch(
+        lambda: tables, state, SNAP, out, served, rt.surviving_memos(held), lambda: dt.datetime(2000, 7, 5, 7))
     for batch in arrived:
         ctx.raw.receipt.where(batch).write.mode("append").json(folder)
-        held = replace(held, receipt=held.receipt.unionByName(ctx.raw.receipt.where(batch)))
-        handle = ps.replay_batch(lambda: held, state, SNAP, out, served, memos, lambda: dt.datetime(2000, 7, 5, 7))
         rt.start_trigger(rt.receipt_stream(ctx.spark, folder), handle, checkpoint).awaitTermination()
     return pb.latest_per_invoice(pb.published_scores(ctx.spark, out, "stacked", SNAP))
 

@@ -48,6 +48,7 @@ from duesight.operators.targets import receipts_of, restrict_to_targets, target_
 from duesight.plans.features import RawTables, party_skew, snapshot_facts
 from duesight.session import materialise
 from duesight.sinks.publish import RunKey, publish_scores
+from duesight.sources.by_party import PartyTables
 from duesight.streaming.receipt_trigger import hit_invoices, surviving_memos, touched_invoices
 
 #: The number under which a full run stores its state.
@@ -191,21 +192,29 @@ def score_and_store(state: PartyState, raw: RawTables, snapshot, model: Model |
 
 
 def replay_batch(
-    source: Callable[[], RawTables], state: PartyState, snapshot: str, scores_path: str, served: RunKey, has_memos: bool,
+    source: Callable[[], RawTables | PartyTables], state: PartyState, snapshot: str, scores_path: str, served: RunKey,
+    has_memos: bool,
     clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
     model: Model | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """Handler for foreachBatch, as `rescore_batch`, but for the rows from the first change on.
 
+    Plain tables hold the batch's receipts by then. To tables by party the batch is appended, and only the parts that it
+    touches are read.
     `has_memos` says whether the run that stored the state had credit memos that count. If the first such memo arrives
     by a receipt, all amounts may change: the batch fails, and a full run has to come first.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         tables = source()
-        if not has_memos and surviving_memos(tables):
+        by_party = isinstance(tables, PartyTables)
+        if by_party:
+            tables.append(batch, number)
+        if not has_memos and surviving_memos(tables.everything() if by_party else tables):
             raise ValueError("the first credit memo that counts arrived: store the state anew by a full run")
-        hit = materialise(hit_invoices(batch, tables.invoice), "hit")
+        hit = materialise(tables.hit(batch) if by_party else hit_invoices(batch, tables.invoice), "hit")
+        if by_party:
+            tables = tables.around(hit)
         touched = touched_invoices(batch, tables.invoice, hit)
         touched = materialise(clean_invoices(touched, [TARGET]), "touched")
         since = materialise(first_changes(hit, tables, snapshot), "since")
