@@ -34,6 +34,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -223,7 +224,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that overlap no item, with all their columns. Equal texts share their fate, so texts are what goes."""
+    """The rows of `docs` that overlap no item, with all their columns. Equal texts share their fate, so texts are what goes.
+
+    Rows whose digest isn't in a filter of the bad ones stay where they are; only the others, few more than the bad
+    ones, meet the bad digests in a join.
+    """
     items = materialise(item_words(benchmark), "benchmark")
     bad = materialise(found(docs, items).select("digest").distinct(), "contaminated").withColumnRenamed("digest", "_digest")
-    return docs.join(bad, F.sha2(docs["text"], 256) == bad["_digest"], "left_anti")
+    size, packed = seed_filter(bad.select(F.xxhash64("_digest").alias("hash")))
+    bits = docs.sparkSession.sparkContext.broadcast(packed)  # 2^FILTER bits at most
+
+    @F.pandas_udf("boolean")
+    def doubtful(h: pd.Series) -> pd.Series:
+        held, hashes, out = bits.value, h.to_numpy(np.int64).view(np.uint64), np.ones(len(h), bool)
+        for probe in range(PROBES):
+            at = bits_of(hashes, probe, size)
+            out &= held[at >> 3] & (np.uint8(128) >> (at & 7).astype(np.uint8)) != 0
+        return pd.Series(out)
+
+    digest = F.sha2(docs["text"], 256)
+    doubt = doubtful(F.xxhash64(digest))
+    checked = docs.where(doubt).join(bad, digest == bad["_digest"], "left_anti")
+    return docs.where(~doubt).union(checked)
