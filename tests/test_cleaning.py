@@ -65,6 +65,20 @@ def test_dates_of_mixed_formats(spark):
     assert rows == ["2017-09-03"] * 7 + [None] * 4 + ["2400-01-01"]
 
 
+def test_a_text_is_tried_against_the_formats_it_looks_like_only(spark):
+    odd = ["1-Jan-2000", "007-JAN-2000", "-5-Jan-2000", "31-FEB-2000", " 1-Jan-2000", "1 Jan 2000", "1  Jan 2000", "20000601",
+           "+20000601", "-20000601", "20001301", "20000601\n", "1/2/2000", "13/2/2000", "01/02/+20000", "1-Jan-+12000", "2000",
+           "2000-06", "2000-06-01T00:00:00.000+00:00", "12:00", "junk", "", None]
+    text = F.col("t")
+    every = [F.try_to_timestamp(text, F.lit(p)) for p in cl.DATE_PATTERNS]
+    plain = F.coalesce(*every, F.when(text.rlike(cl.STARTS_WITH_YEAR), text.try_cast("timestamp")))
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    assert df.where(~plain.eqNullSafe(cl.parse_timestamp(text))).count() == 0
+    tried = F.array(*[text.rlike(shape) for shape in cl.DATE_PATTERNS.values()])
+    iso = df.where(text.like("2000-%")).select(F.array_contains(tried, True)).collect()
+    assert [r[0] for r in iso] == [False, False]
+
+
 def test_ids_and_numbers(spark):
     df = spark.createDataFrame([("12",), ("12.0",), ("abc",), (None,), ("NaN",)], "v string")
     assert [r[0] for r in df.select(cl.to_id(df, "v")).collect()] == [12, 12, None, None, None]
