@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from duesight.checks import store as st
 from duesight.checks.fixtures import SNAPSHOT
 from duesight.checks.store import catalogue, store
 from duesight.operators.scoring import score_table
@@ -229,3 +230,12 @@ def test_the_index_follows_reruns(spark, sf_dir):
     counted = ct.publications(pb.read_table(spark, path, SCORES)).select(names).collect()
     assert sorted(map(tuple, pb.read_index(spark, index).select(names).collect())) == sorted(map(tuple, counted)) == [
         ("b", "3m", 4), ("c", "3m", 3)]
+
+
+def test_the_store_publishes_only_what_is_read(spark, sf_dir):
+    store = st.Store(spark, sf_dir)
+    assert store.scored.count() > 0 and set(vars(store)) == {"spark", "sf_dir", "scored"}
+    jobs = {run.job_id for run in st.run_keys()}
+    assert {r[0] for r in store.risk.select("job_id").distinct().collect()} <= jobs and "_published" not in vars(store)
+    assert store.scores.where("job_id = 'job-3m'").select("published_at").distinct().count() == 2
+    assert store.index.count() > 0
