@@ -3,6 +3,7 @@
 import math
 import random
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from duesight.operators import models as md
@@ -45,3 +46,11 @@ def test_rows_of_a_party_share_a_fold(spark):
     dealt = _table(spark, 300, 5, 0).withColumn("f", md.fold_of("PARTY_ID"))
     assert dealt.where("PARTY_ID IS NOT NULL").groupBy("PARTY_ID").agg(F.count_distinct("f").alias("n")).where("n > 1").isEmpty()
     assert dealt.select("f").distinct().count() == 3 == dealt.where("PARTY_ID IS NULL").select("f").distinct().count()
+
+
+def test_stack_in_a_session_that_observed_rows(spark):
+    train, seen = _table(spark, 300, 6, 3), Observation()
+    train.observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 300
+    scored = md.predict_stack(md.fit_stack(train, trees=2, depth=2, by="PARTY_ID"), train)
+    assert scored.where("prob_bad_debt BETWEEN 0 AND 1").count() == 300
