@@ -5,12 +5,13 @@ corpus. A pair seen at least `SEEN` times scores count(pair) / count(first word)
 another `BACKOFF` * count(second word) / words in the corpus, and the first word
 of a text its share of the corpus.
 
-Pairs become rows (document, first word, second word, times), once for each
-document, and go to the partition of their pair, where a window adds up their
-count. The word whose count decides is joined by its hash. Only words that make
+Pairs become rows (document, pair, times), once for each document, and go to the
+partition of their pair, where a window adds up their count. Only words that make
 up `COMMON` of the corpus or more (there are 1 / `COMMON` at most) are known to
 all tasks; they have short numbers in place of their hashes, and their counts are
-joined by broadcast. All others stay in the table. A pair that makes up a
+joined by broadcast. All others stay in the table: a pair with such a rare word
+goes to the partition of that word, where it meets the word's count; one of two
+rare words goes to both, and either adds what its word decides. A pair that makes up a
 thousandth of all pairs or more (there are a thousand of them at most) is
 counted beforehand and never moves, so no partition is crowded.
 
@@ -44,11 +45,11 @@ BACKOFF = 0.4
 FREQUENT = 1 / 1000
 #: Pairs in a partition, about.
 PER_PARTITION = 2_000_000
-#: Words that a task gathers before it deals out their pairs.
+#: Words that a task gathers before it counts them, and characters before it deals out their pairs.
 GATHERED = 4_000_000
 NO_ID = -(1 << 63)
-#: First words of rows that are no pairs: a sum known already, a number of words, the first word of a text.
-KNOWN, LENGTH, START = -1, -2, -3
+#: In place of the word before the first one of a text.
+START = -1
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -129,12 +130,12 @@ def vocabulary(counts: DataFrame, most: int | None = WORDS) -> Vocabulary:
     return Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total)
 
 
-def numbered(texts: list[str | None], words: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def numbered(texts: list[str | None], words: Vocabulary, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, last, numbers of their words, their keys, where each text's words begin) by batches.
 
     The key of a word is its number, or if it has none its hash below zero.
     """
-    for a, b in batches(texts):
+    for a, b in batches(texts, most):
         hashes, starts = hashed_words(texts[a:b], LETTERS_AND_SIGNS)
         numbers = words.numbers(hashes)
         keys = np.where(numbers == words.unknown, rare_key(hashes), numbers) if words.open else numbers
@@ -185,54 +186,90 @@ def pair_scores(pair: np.ndarray, count: np.ndarray, words: Vocabulary) -> np.nd
                     np.log(BACKOFF) + np.log(np.maximum(words.counts[second], 1)) - np.log(max(words.total, 1)))
 
 
-def pair_rows(docs: DataFrame, words: Vocabulary, frequent: tuple[np.ndarray, np.ndarray], rare: bool) -> DataFrame:
-    """doc_id, a, b (keys of words), x (times) for each pair of a document.
+def dealt_out(doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each (keys, text) is first found, in order of the keys, and how often; `doc` ascends.
 
-    The pairs with a rare word, or the others with what is known of each document.
+    Rows of one key that follow each other take a third less room in a shuffle.
+    """
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in (doc, *keys)], axis=0)
+    begin = np.flatnonzero(new)
+    return order[begin], np.diff(np.append(begin, len(order)))
+
+
+def doc_ids(part: pa.RecordBatch) -> np.ndarray:
+    return np.array([NO_ID if i is None else i for i in part.column("doc_id").to_pylist()], np.int64)
+
+
+def common_rows(docs: DataFrame, words: Vocabulary, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, pair, x (times) for each pair of a document whose words have numbers, but for the frequent pairs.
+
+    A pair is second * (unknown + 1) + first. Two rows below zero tell what is known of each document: odd ones a sum,
+    even ones the number of words.
     """
     hot, hot_counts = frequent
     hot_scores = pair_scores(hot, hot_counts, words)
 
     def run(parts):
         for part in parts:
-            ids = np.array([NO_ID if i is None else i for i in part.column("doc_id").to_pylist()], np.int64)
-            texts = part.column("text").to_pylist()
-            for at, end, numbers, keys, starts in numbered(texts, words):
+            ids, texts = doc_ids(part), part.column("text").to_pylist()
+            for at, end, numbers, keys, starts in numbered(texts, words, GATHERED):
                 n, lengths = end - at, np.diff(starts)
                 doc, pair = pairs_of(numbers, starts, words.unknown)
-                inside = np.repeat(np.arange(n), lengths)
-                inside = inside[1:] == inside[:-1]
-                first, second = keys[:-1][inside], keys[1:][inside]
-                scarce = (first < 0) | (second < 0)
-                head, full = np.zeros(n, np.int64), lengths > 0
+                first, second = pair // (words.unknown + 1), pair % (words.unknown + 1)
+                mine = (first != words.unknown) & (second != words.unknown) if words.open else np.ones(len(pair), bool)
+                known, full = np.zeros(n), lengths > 0
+                head = np.full(n, -1)
                 head[full] = keys[starts[:-1][full]]
-                if rare:
-                    mine, at_start = scarce, np.flatnonzero(head < 0)
-                    more = [(at_start, np.full(len(at_start), START), head[at_start], np.ones(len(at_start)))]
-                else:
-                    mine, known = ~scarce, np.zeros(n)
-                    common = full & (head >= 0)
-                    known[common] = np.log(words.counts[head[common]]) - np.log(words.total)
-                    if len(hot):
-                        place = np.minimum(np.searchsorted(hot, pair), len(hot) - 1)
-                        found = hot[place] == pair
-                        known += np.bincount(doc[found], hot_scores[place[found]], n)
-                        mine &= ~found
-                    every, spread = np.arange(n), mix((ids[at:end] + np.arange(n)).view(np.uint64)).view(np.int64)
-                    more = [(every, np.full(n, KNOWN), spread, known),
-                            (every, np.full(n, LENGTH), spread, lengths.astype(float))]
-                doc, first, second = doc[mine], first[mine], second[mine]
-                with np.errstate(over="ignore"):
-                    h = (first.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ second.view(np.uint64)
-                    h = mix(mix(h) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                _, once, times = np.unique(h, return_index=True, return_counts=True)
-                doc, first, second, x = (np.concatenate(c) for c in zip(
-                    (doc[once], first[once], second[once], times.astype(float)), *more))
-                yield pa.record_batch([pa.array(c) for c in (ids[at:end][doc], first, second, x)],
-                                      names=["doc_id", "a", "b", "x"])
+                common = head >= 0
+                known[common] = np.log(words.counts[head[common]]) - np.log(words.total)
+                if len(hot):
+                    place = np.minimum(np.searchsorted(hot, pair), len(hot) - 1)
+                    found = hot[place] == pair
+                    known += np.bincount(doc[found], hot_scores[place[found]], n)
+                    mine &= ~found
+                doc, pair = doc[mine], (second * (words.unknown + 1) + first)[mine]
+                once, times = dealt_out(doc, pair)
+                spread = (mix((ids[at:end] + np.arange(n)).view(np.uint64)) >> np.uint64(3)).view(np.int64)
+                columns = (np.concatenate([ids[at:end][doc[once]], ids[at:end], ids[at:end]]),
+                           np.concatenate([pair[once], -1 - 2 * spread, -2 - 2 * spread]),
+                           np.concatenate([times.astype(float), known, lengths.astype(float)]))
+                yield pa.record_batch([pa.array(c) for c in columns], names=["doc_id", "pair", "x"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, pair long, x double")
+
+
+def rare_rows(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """doc_id, rare, other (keys of words), x: each pair of a document with a rare word, by that word.
+
+    x is how often the pair occurs, below zero where the rare word is the first. A pair of two rare words has a row for
+    either. A rare word at the start of a text has START for the other.
+    """
+
+    def run(parts):
+        for part in parts:
+            ids, texts = doc_ids(part), part.column("text").to_pylist()
+            for at, end, _, keys, starts in numbered(texts, words, GATHERED):
+                doc = np.repeat(np.arange(end - at), np.diff(starts))
+                head = starts[:-1][np.diff(starts) > 0]
+                inside = doc[1:] == doc[:-1]
+                # The word itself, the word beside it, and whether that comes second.
+                behind, before = np.flatnonzero(inside & (keys[1:] < 0)) + 1, np.flatnonzero(inside & (keys[:-1] < 0))
+                head = head[keys[head] < 0]
+                place = np.concatenate([behind, before, head])
+                other = np.concatenate([keys[behind - 1], keys[before + 1], np.full(len(head), START)])
+                leads = np.concatenate([np.zeros(len(behind), bool), np.ones(len(before), bool), np.zeros(len(head), bool)])
+                order = np.argsort(place, kind="stable")
+                place, other, leads = place[order], other[order], leads[order]
+                rare, doc = keys[place], doc[place]
+                once, times = dealt_out(doc, rare, other, leads)
+                columns = (ids[at:end][doc[once]], rare[once], other[once], np.where(leads[once], -1.0, 1.0) * times)
+                yield pa.record_batch([pa.array(c) for c in columns], names=["doc_id", "rare", "other", "x"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, a long, b long, x double")
+        run, "doc_id long, rare long, other long, x double")
 
 
 def scored(docs: DataFrame, most: int | None = WORDS, partitions: int | None = None) -> DataFrame:
@@ -246,28 +283,31 @@ def scored(docs: DataFrame, most: int | None = WORDS, partitions: int | None = N
     common = F.broadcast(spark.createDataFrame(
         pa.table({"key": np.arange(len(words.counts)), "c": np.log(np.maximum(words.counts, 1))})))
 
-    def terms(rows: DataFrame) -> DataFrame:
-        """doc_id, s, n_words, key and how often the logarithm of its count comes to s; c where the key is common."""
-        rows = rows.repartition(partitions, "a", "b").withColumn("n", F.sum("x").over(Window.partitionBy("a", "b")))
-        a, x, plain = F.col("a"), F.col("x"), (F.col("a") == KNOWN) | (F.col("a") == LENGTH)
-        seen = (a != START) & (F.col("n") >= SEEN)
-        s = (F.when(a == KNOWN, x).when(a == LENGTH, 0.0).when(a == START, -x * log_total)
-             .when(seen, x * F.log("n")).otherwise(x * (float(np.log(BACKOFF)) - log_total)))
-        return rows.select("doc_id", s.alias("s"), F.when(a == LENGTH, x).otherwise(0.0).alias("n_words"),
-                           F.when(~plain, F.when(seen, a).otherwise(F.col("b"))).alias("key"),
-                           F.when(plain, 0.0).when(seen, -x).otherwise(x).alias("times")).join(common, "key", "left")
-
-    def summed(rows: DataFrame) -> DataFrame:
-        return rows.select("doc_id", "n_words", (F.col("s") + F.col("times") * F.coalesce("c", F.lit(0.0))).alias("s"))
-
-    sums = summed(terms(pair_rows(docs, words, frequent, rare=False)))
+    unseen, n, x = float(np.log(BACKOFF)) - log_total, F.col("n"), F.col("x")
+    pair, base = F.col("pair"), words.unknown + 1
+    is_pair = pair >= 0
+    seen = is_pair & (n >= SEEN)
+    rows = common_rows(docs, words, frequent).repartition(partitions, "pair")
+    rows = rows.withColumn("n", F.sum("x").over(Window.partitionBy("pair"))).select(
+        "doc_id", F.when(is_pair, F.when(seen, pair % base).otherwise(F.floor(pair / base))).alias("key"),
+        F.when(seen, x * F.log("n")).when(is_pair, x * unseen).when(pair % 2 != 0, x).otherwise(0.0).alias("s"),
+        F.when(~is_pair & (pair % 2 == 0), x).otherwise(0.0).alias("n_words"),
+        F.when(seen, -x).when(is_pair, x).otherwise(0.0).alias("times"))
+    sums = rows.join(common, "key", "left").select(
+        "doc_id", "n_words", (F.col("s") + F.col("times") * F.coalesce("c", F.lit(0.0))).alias("s"))
     if words.open:
-        found = terms(pair_rows(docs, words, frequent, rare=True))
-        rest = counts.where(F.col("n") < COMMON * words.total).select(
-            F.col("word").bitwiseOR(F.lit(NO_ID)).alias("key"), F.log("n").alias("own"))
-        # Rows whose key was common join nothing; they are dealt out by document.
-        apart = found.withColumn("key", F.when(F.col("c").isNull(), F.col("key")).otherwise(F.xxhash64("doc_id").bitwiseAND((1 << 63) - 1)))
-        sums = sums.union(summed(apart.join(rest, "key", "left").withColumn("c", F.coalesce("c", "own"))))
+        # A word has no more rows than its count, and all its rows and its count meet in one partition.
+        own = counts.where(n < COMMON * words.total).select(
+            F.col("word").bitwiseOR(F.lit(NO_ID)).alias("rare"), F.log("n").alias("own"))
+        rows = rare_rows(docs, words).repartition(partitions, "rare").join(own, "rare", "left")
+        rows = rows.select("*", (x < 0).alias("leads")).withColumn(
+            "n", F.sum(F.abs("x")).over(Window.partitionBy("rare", "other", "leads")))
+        rows, times = rows.join(common.withColumnRenamed("key", "other"), "other", "left"), F.abs(x)
+        # The count that decides is the first word's for a pair that was seen, else the second's; that word has the row.
+        deciding = F.when(F.col("leads") == (n >= SEEN), F.col("own")).otherwise(F.col("c"))
+        s = F.when(F.col("other") == START, F.col("own") - log_total).when(
+            n >= SEEN, F.log("n") - deciding).otherwise(unseen + deciding)
+        sums = sums.union(rows.select("doc_id", F.lit(0.0).alias("n_words"), F.coalesce(times * s, F.lit(0.0)).alias("s")))
     sums = sums.groupBy("doc_id").agg(F.sum("n_words").cast("long").alias("n_words"), F.round(F.sum("s"), 6).alias("log_score"))
     return sums.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_words", "log_score",
                        F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("per_word"))

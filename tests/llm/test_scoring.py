@@ -78,3 +78,16 @@ def test_words_that_no_task_knows_are_joined(spark, monkeypatch):
     vocabulary = prose(10, 400).split()
     same_as_brute_force(spark, [" ".join(rng.choice(vocabulary[: rng.choice((5, 60, 400))]) for _ in range(rng.randrange(60)))
                                 for _ in range(300)] + ["", vocabulary[-1], vocabulary[-1]])
+
+
+def test_rows_of_rare_words_are_not_dealt_out_again_for_a_count(spark, monkeypatch, capsys):
+    monkeypatch.setattr(scoring, "COMMON", 1 / 100)
+    texts = ["a b rare word a b", "rare word", "word a", "b rare a word rare word", "lone", "a lone"] * 2 + ["a a b b"] * 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scoring.scored(df).explain()
+        assert "hashpartitioning(key" not in capsys.readouterr().out
+        same_as_brute_force(spark, texts)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
