@@ -65,22 +65,23 @@ class WordTokens:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def recall(self, words: set[str]) -> set[str]:
+        """Take up again what was put aside of these words; returns the others. `old` is looked up, never gone through."""
+        again = {w: self.old[w] for w in words if w in self.old}
+        self.words.update(again)
+        return words.difference(again)
+
     def learn(self, words: set[str], forget: bool = True) -> None:
         if forget and len(self.words) + len(words) > REMEMBERED // 2:
             self.old, self.words = self.words, {}
-        again = words.intersection(self.old)
-        self.words.update({w: self.old[w] for w in again})
-        words = words - again
+        words = self.recall(words)
         plain = {}
         for w in words:
             if "'" in w:
                 self.words[w] = self.whole(w)
             else:
                 plain[w] = _PART.findall(w)
-        new = {p for parts in plain.values() for p in parts}.difference(self.words)
-        again = new.intersection(self.old)
-        self.words.update({p: self.old[p] for p in again})
-        new -= again
+        new = self.recall({p for parts in plain.values() for p in parts}.difference(self.words))
         letters = [p for p in new if _LETTERS.match(p)]
         if letters:
             ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")

@@ -82,3 +82,17 @@ def test_empty_table(spark, empty):
 def test_small_capacity(spark, odd, capacity):
     rows = packing.pack_documents(odd.where("doc_id IN (1, 5, 6, 9)"), tokenizer_path(), capacity).collect()
     assert max(r["offset"] + r["length"] for r in rows) <= capacity
+
+
+class _LookedUp(dict):
+    def __iter__(self):
+        raise AssertionError("gone through")
+
+
+def test_words_put_aside_are_looked_up_only():
+    tokens = packing.WordTokens(tokenizer_path())
+    texts = ["one two three.", "four, five"]
+    ids = tokens.encode(texts)
+    tokens.words, tokens.old = {}, _LookedUp(tokens.words)
+    assert tokens.encode(texts) == ids
+    assert set(tokens.words) == {"one", "two", "three.", "four,", "five"}
