@@ -36,3 +36,10 @@ def test_registry_is_consistent():
 
 def test_entry_has_the_features(spark):
     assert "median_payment_delay" in entry.entry(spark).columns
+
+
+def test_a_session_made_elsewhere_leaves_no_method_too_long_to_compile(spark):
+    from duesight.session import prepare
+
+    # HotSpot compiles methods of up to 8,000 bytes.
+    assert prepare(spark.newSession()).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
