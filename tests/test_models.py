@@ -54,3 +54,16 @@ def test_stack_in_a_session_that_observed_rows(spark):
     assert seen.get["n"] == 300
     scored = md.predict_stack(md.fit_stack(train, trees=2, depth=2, by="PARTY_ID"), train)
     assert scored.where("prob_bad_debt BETWEEN 0 AND 1").count() == 300
+
+
+def test_a_fit_holds_parts_of_bounded_rows(spark, monkeypatch):
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id", "id % 2 AS label")
+    dealt = md.in_parts(rows, 20)
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 50 and max(sizes) <= 25 and sum(sizes) == 1000
+    assert md.in_parts(rows, 1000) is rows
+    train = _table(spark, 600, 7, 3)
+    asked, deal = [], md.in_parts
+    monkeypatch.setattr(md, "in_parts", lambda points: asked.append(points.columns) or deal(points, 20))
+    scored = md.predict(md.fit_boosted(train, trees=2, depth=2), train)
+    assert asked == [["label", "features"]] and scored.count() == 600
