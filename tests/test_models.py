@@ -67,3 +67,16 @@ def test_a_fit_holds_parts_of_bounded_rows(spark, monkeypatch):
     monkeypatch.setattr(md, "in_parts", lambda points: asked.append(points.columns) or deal(points, 20))
     scored = md.predict(md.fit_boosted(train, trees=2, depth=2), train)
     assert asked == [["label", "features"]] and scored.count() == 600
+
+
+def test_a_fit_makes_its_rows_once(spark):
+    made, table = spark.sparkContext.accumulator(0), _table(spark, 300, 8, 3)
+
+    def counted(row):
+        made.add(1)
+        return row
+
+    train = spark.createDataFrame(table.rdd.map(counted), table.schema)
+    # Once for the means, once to count, once for the points; the trees, the scaler and the logistic read these.
+    md.fit_bases(train, trees=2, depth=2)
+    assert made.value <= 3 * 300
