@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from duesight.checks.fixtures import SNAPSHOT, raw_tables
 from duesight.functions.cleaning import as_of
 from duesight.operators.invoices import clean_invoices, drop_unpaid_nonpositive, net_credit_memos, one_per_id
-from duesight.operators.ledger import TARGET, invoice_core, ledger, with_payment_facts
+from duesight.operators.ledger import TARGET, invoice_core, ledger, receipt_days, with_payment_facts
 from duesight.operators.receipts import base_payments, payment_facts
 from duesight.operators.targets import restrict_to_targets, run_inputs
 from duesight.plans.features import RawTables, pooled_snapshot_features, snapshot_features
@@ -105,3 +105,17 @@ def test_targets_carry_a_flag(spark, sf_dir):
     joined = restrict_to_targets(rows.drop(TARGET), got.target_ids)
     assert _rows(flagged) == _rows(joined) and flagged.count() < rows.count()
     assert "LeftSemi" not in _plan(flagged).split("Window")[0]
+
+
+def test_memos_read_lists_that_are_not_put_in_order(spark, sf_dir):
+    raw = raw_tables(spark, sf_dir)
+    plan = ledger(raw.invoice, raw.receipt, SNAPSHOT, has_memos=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") == 1 and "array_sort(" not in plan
+
+
+def test_receipt_lists_are_in_order_of_days(spark):
+    rows = [(1, f"2000-03-{d:02d}", None, float(a), None) for d, a in ((9, 1), (2, -3), (9, 4), (5, 0))]
+    names = "APPLIED_CUSTOMER_TRX_ID bigint, APPLY_DATE string, RECEIPT_DATE string, AMOUNT_APPLIED double, RECEIPT_STATUS string"
+    found = receipt_days(spark.createDataFrame([*rows, (2, None, None, 1.0, "REV")], names), SNAPSHOT)
+    days = {r["_receipt_id"]: [(d["day"].day, d["n"], d["amount"], d["gap"]) for d in r["_days"]] for r in found.collect()}
+    assert days == {1: [(2, 1, -3.0, None), (5, 1, 0.0, 3), (9, 2, 5.0, 4)], 2: []}
