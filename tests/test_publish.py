@@ -6,6 +6,7 @@ from duesight.checks.store import catalogue, store
 from duesight.operators.scoring import score_table
 from duesight.plans import catalogue as ct
 from duesight.plans import reports as rp
+from duesight.plans.jobs import PUBLISHED_INPUTS
 from duesight.schemas import SCORES
 from duesight.session import scratch_path
 from duesight.sinks import publish as pb
@@ -239,3 +240,15 @@ def test_the_store_publishes_only_what_is_read(spark, sf_dir):
     assert {r[0] for r in store.risk.select("job_id").distinct().collect()} <= jobs and "_published" not in vars(store)
     assert store.scores.where("job_id = 'job-3m'").select("published_at").distinct().count() == 2
     assert store.index.count() > 0
+
+
+def test_publications_are_made_of_narrow_rows(spark, sf_dir):
+    store = st.Store(spark, sf_dir)
+    assert store.published_rows.columns == PUBLISHED_INPUTS and "scored" not in vars(store)
+    store.risk, store.scores
+    assert "scored" not in vars(store)
+    again = st.Store(spark, sf_dir)
+    wide = again.scored.select(*PUBLISHED_INPUTS)
+    # The rows that are there already.
+    assert "Window" not in again.published_rows._jdf.queryExecution().executedPlan().toString()
+    assert wide.exceptAll(store.published_rows).isEmpty() and store.published_rows.exceptAll(wide).isEmpty()
