@@ -86,3 +86,11 @@ def test_the_first_memo_asks_for_a_full_run(spark, sf_dir):
     handle = ps.replay_batch(lambda: raw, ps.PartyState(spark, scratch_path(spark, "s")), SNAPSHOT, "unused", SERVED, False)
     with pytest.raises(ValueError):
         handle(raw.receipt.limit(1), 0)
+
+
+def test_the_stream_is_stored_without_facts_that_nothing_reads(spark, sf_dir, monkeypatch):
+    stored, write = {}, ps.materialise
+    monkeypatch.setattr(ps, "materialise", lambda df, name: stored.setdefault(name, df.columns) and write(df, name))
+    raw = few_parties(spark, sf_dir, 40)
+    ps.score_and_store(ps.PartyState(spark, scratch_path(spark, "state"), parts=4), raw, SNAPSHOT)
+    assert not {"CURRENCY_CODE", "AS_OF_DATE", "total_paid", "is_late"} & set(stored["stream"])
